@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A run of the six ASCII white-space characters, as a Java regular expression.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -50,3 +51,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def to_long(col: Column) -> Column:
     return col.cast("long")
+
+
+#: Rows and bytes that one call of an annotating function gets at most (a longer single text is a call of its own).
+CALL_ROWS, CALL_BYTES = 2000, 8 << 20
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def annotate(docs: DataFrame, text_col: str, make: Callable[[], Callable], out: T.StructType, name: str, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with a struct column ``name`` computed from each text, without a shuffle.
+
+    ``make`` runs once per task and gives a function from a list of texts (None for null) to a list
+    of rows or an Arrow struct array. Only the columns of ``keep`` (default: all) are sent back.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    keep = list(docs.columns) if keep is None else keep
+    cols = list(dict.fromkeys([*keep, text_col]))
+    at, kind = cols.index(text_col), to_arrow_type(out)
+
+    def run(batches):
+        fn = make()
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            sizes = [len(x) if x is not None else 0 for x in texts]
+            i = 0
+            while i < len(texts):
+                j, total = i + 1, sizes[i]
+                while j < len(texts) and j - i < CALL_ROWS and total + sizes[j] <= CALL_BYTES:
+                    total += sizes[j]
+                    j += 1
+                got = fn(texts[i:j])
+                got = got.cast(kind) if isinstance(got, pa.Array) else pa.array(got, kind)
+                yield pa.RecordBatch.from_arrays([*(batch.column(cols.index(k)).slice(i, j - i) for k in keep), got], names=[*keep, name])
+                i = j
+
+    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField(name, out, True)])
+    return docs.select(*cols).mapInArrow(run, schema)
