@@ -134,7 +134,7 @@ def fit_cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = rows.where("not base_failed").join(known, "doc_id")
-    levels = _scored(held).groupBy("stratum", "rule", "level").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad"))
+    levels = cut(_scored(held).groupBy("stratum", "rule", "level").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad")))
     # every level of a rule must be there, so that a cutoff no document reaches can be certified too
     grid = F.expr("case rule " + " ".join(f"when '{r}' then {k}" for r, (_, _, _, k) in RULES.items()) + " end")
     strata = levels.groupBy("stratum", "rule").agg(F.sum("good").alias("n_good"), F.sort_array(F.collect_list(F.struct("level", "good", "bad"))).alias("seen"))
@@ -142,9 +142,9 @@ def fit_cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     total = lambda what: F.aggregate(F.filter("seen", lambda s: s["level"] > F.col("j")), F.lit(0).cast("long"), lambda a, s: a + s[what])
     each = each.select("stratum", "rule", "n_good", "j", total("good").alias("false_rejections"), total("bad").alias("bad_caught"))
     risk = alpha / len(RULES)
-    count = strata.where("n_good > 0").agg(F.count_distinct(F.coalesce("stratum", F.lit("\x00"))).alias("n_strata"))
-    tested = each.crossJoin(F.broadcast(count)).withColumn("p_value", F.when(F.col("false_rejections") < risk * F.col("n_good"), binomial_tail(F.col("false_rejections"), F.col("n_good"), risk)).otherwise(F.lit(1.0)))
-    passed = tested.withColumn("ok", F.col("p_value") <= delta / (F.col("n_strata") * len(RULES)))
+    n_strata = max(1, levels.where("good > 0").select("stratum").distinct().count())
+    tested = each.withColumn("p_value", F.when(F.col("false_rejections") < risk * F.col("n_good"), binomial_tail(F.col("false_rejections"), F.col("n_good"), risk)).otherwise(F.lit(1.0)))
+    passed = tested.withColumn("ok", F.col("p_value") <= delta / (n_strata * len(RULES)))
     order = Window.partitionBy("stratum", "rule").orderBy(F.col("j").desc())
     certified = passed.withColumn("all_ok", F.min("ok").over(order)).where("all_ok")
     best = certified.withColumn("rank", F.row_number().over(Window.partitionBy("stratum", "rule").orderBy(F.col("bad_caught").desc(), F.col("j").desc()))).where("rank = 1")

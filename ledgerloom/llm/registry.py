@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .bpe import op10_bpe
 from .decontaminate import OP5_SQL, op5_decontaminate
+from .pii import op8_pii
 from .quality import op4_quality
 
-QUERIES = {"op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op10_bpe": op10_bpe}
+QUERIES = {"op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op8_pii": op8_pii, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL}
