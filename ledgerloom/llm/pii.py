@@ -214,5 +214,5 @@ def span_list(spans: Column) -> Column:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     base = F.filter("pii.spans", lambda s: s["base"])
-    counts = [F.size(F.filter("pii.spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"), span_list(F.col("pii.spans")).alias("spans"))
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"), span_list(F.col("pii.spans")).alias("spans"))
