@@ -96,3 +96,21 @@ def annotate(docs: DataFrame, text_col: str, make: Callable[[], Callable], out:
 
     schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField(name, out, True)])
     return docs.select(*cols).mapInArrow(run, schema)
+
+
+#: Bits of the bitmap of :func:`maybe_in`, and of one of its rows.
+MAP_BITS, MAP_ROW = 1 << 26, 1 << 15
+
+
+def maybe_in(df: DataFrame, key: Column, members: DataFrame, member_key: str) -> DataFrame:
+    """The rows of ``df`` whose key may be among the members; never drops one that is.
+
+    A filter before a shuffle of wide rows: a bitmap of hashed keys of fixed size (8 MB, whatever the
+    number of members) is broadcast. An exact join must follow.
+    """
+    spot = F.pmod(F.xxhash64(F.col(member_key)), F.lit(MAP_BITS))
+    rows = members.select(spot.alias("s")).groupBy(F.floor(F.col("s") / MAP_ROW).cast("int").alias("_row")).agg(F.bitmap_construct_agg(F.col("s") % MAP_ROW).alias("_bits"))
+    own = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), ((own % MAP_ROW) / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    marked = df.join(F.broadcast(rows), F.floor(own / MAP_ROW).cast("int") == F.col("_row"))
+    return marked.where(F.expr("true") & (F.floor(byte / F.pow(F.lit(2), (own % 8).cast("int"))).cast("int") % 2 == 1)).drop("_row", "_bits")

@@ -51,7 +51,7 @@ ENCODINGS = {
     "base64": (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.06),
 }
 #: How often identifiers change between digits, capitals and small letters; a sequence's correlation.
-CLASS_CHANGE, SEQUENCE = 0.2, 0.5
+CLASS_CHANGE, SEQUENCE = 0.3, 0.5
 FDR = 0.01
 BINS = 3000
 
@@ -105,7 +105,7 @@ def randomness(token: Column) -> Column:
             chi = squares * k / n - n
             excess = n * (k * c["coincide"] - 1)
             uniform = (k - 1 + excess - chi) / F.sqrt(2 * (k - 1 + 2 * excess))
-            changes = F.size(F.regexp_extract_all(text, F.lit("[0-9]+|[a-z]+|[A-Z]+|[+/=]+"), F.lit(0))) - 1
+            changes = F.size(F.regexp_extract_all(F.translate(text, "+/=", ""), F.lit("[0-9]+|[a-z]+|[A-Z]+"), F.lit(0))) - 1
             runs = (changes - (n - 1) * CLASS_CHANGE) / F.sqrt((n - 1) * CLASS_CHANGE * (1 - CLASS_CHANGE))
             mean = F.aggregate(codes, F.lit(0.0), lambda s, x: s + x) / n
 
