@@ -7,10 +7,11 @@
    3e-6.
 3. First every set is compared with one popular set of its buckets (a star, not all pairs). Links
    that hold are merged into components. Then, as long as a bucket holds sets of different
-   components, pairs across components are compared, block by block: a pair whose signatures agree
-   too little is dropped, the best untested pair of each set and foreign component is verified.
-   Pairs inside one component need no test, as they cannot change the result. No pair that shares a
-   bucket and could still join two components stays untested.
+   components, sets are compared across components, block by block: pairs whose signatures agree
+   too little are dropped, and the best untested partner of each set is verified. When a round joins
+   nothing, the sets that still have a partner are compared exactly, all with all of their cluster
+   of buckets across components, in blocks that give back links only. Pairs inside one component
+   need no test, as they cannot change the result; no other close pair of a bucket stays untested.
 4. A link is verified on the full shingle sets.
 5. Components: alternating large-star and small-star.
 
@@ -155,21 +156,73 @@ def _similar(percent: int) -> Callable:
     return run
 
 
+def _blocks(key: Any, group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The two blocks of a group; one block alone is compared with itself."""
+    left, right = group[group["side"] == 0], group[group["side"] == 1]
+    return left, left if right.empty else right
+
+
 def _across(key: Any, group: pd.DataFrame) -> pd.DataFrame:
-    """Of two blocks of a bucket (``side`` 0 and 1, or one block alone): the pairs of different components that agree enough."""
+    """Of two blocks of a bucket, for each set: its best untested partner of another component whose signature agrees enough."""
     import numpy as np
 
-    left = group[group["side"] == 0]
-    right = group[group["side"] == 1]
-    right = left if right.empty else right
-    sig = lambda g: np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), -1)
-    out, sb, ib, cb = [], sig(right), right["id"].to_numpy(), right["component"].to_numpy()
-    for s, i, c in zip(sig(left), left["id"], left["component"], strict=True):
-        n = (sb == s).sum(axis=1)
-        hit = (n >= LEAST_AGREEING) & (cb != c)
-        for j in np.flatnonzero(hit):
-            out.append((min(i, ib[j]), max(i, ib[j]), n[j], *((c, cb[j]) if i < ib[j] else (cb[j], c))))
-    return pd.DataFrame(out, columns=["a", "b", "n", "ca", "cb"]).astype("int64")
+    left, right = _blocks(key, group)
+    out = []
+    for own, other in ((left, right),) if left is right else ((left, right), (right, left)):
+        so = np.frombuffer(b"".join(other["sig"]), np.uint16).reshape(len(other), -1)
+        ids, of = other["id"].to_numpy(), other["component"].to_numpy()
+        for s, i, c, tried in zip(own["sig"], own["id"], own["component"], own["tried"], strict=True):
+            n = (so == np.frombuffer(s, np.uint16)).sum(axis=1)
+            n[(of == c) | (n < LEAST_AGREEING)] = 0
+            if tried is not None:
+                n[np.isin(ids, tried)] = 0
+            if n.any():
+                out.append((i, int(n.max()), int(ids[n.argmax()])))
+    return pd.DataFrame(out, columns=["id", "n", "to"], dtype="int64")
+
+
+def _exact(percent: int) -> Callable:
+    """Of two blocks: links between components, on full sets; a component that is joined already isn't joined again."""
+
+    def run(key: Any, group: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        left, right = _blocks(key, group)
+        sets = [np.frombuffer(h, np.uint64) for h in right["hashes"]]
+        tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+        sizes = np.array([len(x) for x in sets])
+        begins = np.cumsum(sizes) - sizes
+        ids, of, joined, out = right["id"].to_numpy(), right["component"].to_numpy().copy(), {}, []
+        mark = np.zeros(len(tokens), np.int64)
+        for h, i, c in zip(left["hashes"], left["id"], left["component"], strict=True):
+            own = np.frombuffer(h, np.uint64)
+            spot = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+            spot = spot[tokens[spot] == own]
+            mark[spot] = 1
+            both = np.add.reduceat(mark[at], begins)
+            mark[spot] = 0
+            while c in joined:
+                c = joined[c]
+            for j in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)):
+                if of[j] != c and ids[j] != i:
+                    out.append((min(i, ids[j]), max(i, ids[j])))
+                    joined[int(of[j])] = int(c)
+                    of[of == of[j]] = c
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _pairs(proposed: DataFrame) -> DataFrame:
+    return proposed.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
+
+
+def _dealt(members: DataFrame, key: str) -> DataFrame:
+    """Members (key, id, component, c in all) of a group dealt into blocks: a row for each pair of blocks that a member is in."""
+    n = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = members.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("id"), n).cast("int"))
+    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side")))
+    return own.select(key, "id", "component", F.inline(other))
 
 
 class NearDuplicates:
@@ -196,11 +249,14 @@ class NearDuplicates:
         close = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").mapInPandas(_agree, "a long, b long")
         return self.confirmed(cut(close))
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """id and hashes: the shingle sets of these ids."""
         own = maybe_in(self.docs.where("id is not null"), F.col("id"), ids, "id").join(ids, "id", "left_semi").dropDuplicates(["id"])
         size = self.size
-        sets = annotate(own, "text", lambda: set_maker(size), SET, "s", ["id"]).select("id", F.col("s.hashes").alias("h"))
+        return annotate(own, "text", lambda: set_maker(size), SET, "s", ["id"]).select("id", "s.hashes")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        sets = self.sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
         return cut(both.mapInPandas(_similar(self.percent), "a long, b long"))
 
@@ -209,31 +265,37 @@ class NearDuplicates:
         shared = cut(self.buckets())
         top = shared.groupBy("key").agg(F.max(F.struct("popularity", (-F.col("id")).alias("m"))).alias("top"))
         to = shared.join(top, "key").select("id", F.struct("top.popularity", F.col("top.m")).alias("top")).where(F.col("id") != -F.col("top.m"))
-        star = to.groupBy("id").agg(F.max("top").alias("top")).select(F.least("id", -F.col("top.m")).alias("a"), F.greatest("id", -F.col("top.m")).alias("b")).distinct()
-        tested = cut(star)
-        found = self.verified(tested)
+        tried = cut(to.groupBy("id").agg((-F.max("top")["m"]).alias("to")))
+        found = self.verified(_pairs(tried))
         while True:
             of = components(found)
-            now = shared.select("key", "id").join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+            now = cut(shared.select("key", "id").join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
             mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c")
-            more = cut(self._untested(now.join(mixed, "key"), tested))
+            more = cut(self._proposed(now.join(mixed, "key"), tried))
             if more.isEmpty():
                 return found
-            tested = cut(tested.union(more))
-            found = cut(found.union(self.confirmed(more)))
-
-    def _untested(self, members: DataFrame, tested: DataFrame) -> DataFrame:
-        """The best untested pair of each set with each other component, among sets that share a bucket."""
-        # members of one bucket are dealt into blocks; each pair of blocks is a group of its own
-        n = F.ceil(F.col("c") / BLOCK).cast("int")
-        dealt = members.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("id"), n).cast("int"))
-        other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side")))
-        rows = dealt.select("key", "id", "component", F.inline(other)).join(self.classes.select("id", "sig"), "id")
-        pairs = rows.groupBy("key", "x", "y").applyInPandas(_across, "a long, b long, n long, ca long, cb long")
-        fresh = pairs.dropDuplicates(["a", "b"]).join(tested, ["a", "b"], "left_anti")
-        pick = F.max(F.struct("n", "a", "b")).alias("p")
-        best = fresh.groupBy("a", "cb").agg(pick).select("p.a", "p.b").union(fresh.groupBy("b", "ca").agg(pick).select("p.a", "p.b"))
-        return best.distinct()
+            new = self.confirmed(_pairs(more))
+            if new.isEmpty():
+                # no set's best partner joins anything: decide the rest exactly
+                return found.union(self._rest(now.join(more.select("id"), "id", "left_semi")))
+            found, tried = cut(found.union(new)), cut(tried.union(more))
+
+    def _proposed(self, members: DataFrame, tried: DataFrame) -> DataFrame:
+        """id, to: for each set of buckets with several components (key, id, component, c) the best untested partner."""
+        known = self.classes.select("id", "sig").join(tried.groupBy("id").agg(F.collect_set("to").alias("tried")), "id", "left")
+        rows = _dealt(members, "key").join(known, "id")
+        pairs = rows.groupBy("key", "x", "y").applyInPandas(_across, "id long, n long, to long")
+        return pairs.groupBy("id").agg(F.max(F.struct("n", "to")).alias("p")).select("id", "p.to")
+
+    def _rest(self, members: DataFrame) -> DataFrame:
+        """Links among sets that still have a close partner in another component, of whole bucket clusters."""
+        members = cut(members)
+        lead = members.groupBy("key").agg(F.min("id").alias("lead"))
+        cluster = components(members.join(lead, "key").select(F.col("id").alias("a"), F.col("lead").alias("b"))).toDF("id", "key")
+        sized = members.select("id", "component").distinct().join(cluster, "id")
+        sized = cut(sized.join(sized.groupBy("key").agg(F.count("*").alias("c")), "key"))
+        rows = _dealt(sized, "key").join(self.sets(sized.select("id")), "id")
+        return cut(rows.groupBy("key", "x", "y").applyInPandas(_exact(self.percent), "a long, b long").distinct())
 
     def result(self) -> DataFrame:
         """id, n, component per document row."""
