@@ -39,6 +39,8 @@ PERCENT = 80
 LEAST_AGREEING = int(0.61 * BANDS * ROWS)
 #: Sets of a bucket that are compared at once, signature by signature.
 BLOCK = 256
+#: Bucket members that one group of the signature comparison holds on average.
+GROUP_ROWS = 2000
 _WORDS_KEPT = 400_000
 #: Lower-case A-Z.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -162,22 +164,27 @@ def _blocks(key: Any, group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     return left, left if right.empty else right
 
 
-def _across(key: Any, group: pd.DataFrame) -> pd.DataFrame:
-    """Of two blocks of a bucket, for each set: its best untested partner of another component whose signature agrees enough."""
+def _across(group: pd.DataFrame) -> pd.DataFrame:
+    """For each set of each pair of blocks (key, x, y): its best untested partner of another component whose signature agrees enough."""
     import numpy as np
 
-    left, right = _blocks(key, group)
+    g = group.sort_values(["key", "x", "y", "side"])
+    sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), -1)
+    ids, of, side, tried = g["id"].to_numpy(), g["component"].to_numpy(), g["side"].to_numpy(), g["tried"].to_numpy()
+    names = g[["key", "x", "y"]].to_numpy()
+    begins = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1)])
     out = []
-    for own, other in ((left, right),) if left is right else ((left, right), (right, left)):
-        so = np.frombuffer(b"".join(other["sig"]), np.uint16).reshape(len(other), -1)
-        ids, of = other["id"].to_numpy(), other["component"].to_numpy()
-        for s, i, c, tried in zip(own["sig"], own["id"], own["component"], own["tried"], strict=True):
-            n = (so == np.frombuffer(s, np.uint16)).sum(axis=1)
-            n[(of == c) | (n < LEAST_AGREEING)] = 0
-            if tried is not None:
-                n[np.isin(ids, tried)] = 0
-            if n.any():
-                out.append((i, int(n.max()), int(ids[n.argmax()])))
+    for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(g)], strict=True):
+        mid = lo + int(np.searchsorted(side[lo:hi], 1))
+        for own, other in (((lo, hi), (lo, hi)),) if mid == hi else (((lo, mid), (mid, hi)), ((mid, hi), (lo, mid))):
+            theirs, kind, name = sig[slice(*other)], of[slice(*other)], ids[slice(*other)]
+            for k in range(*own):
+                n = (theirs == sig[k]).sum(axis=1)
+                n[(kind == of[k]) | (n < LEAST_AGREEING)] = 0
+                if n.any() and tried[k] is not None:
+                    n[np.isin(name, tried[k])] = 0
+                if n.any():
+                    out.append((ids[k], int(n.max()), name[n.argmax()]))
     return pd.DataFrame(out, columns=["id", "n", "to"], dtype="int64")
 
 
@@ -284,7 +291,9 @@ class NearDuplicates:
         """id, to: for each set of buckets with several components (key, id, component, c) the best untested partner."""
         known = self.classes.select("id", "sig").join(tried.groupBy("id").agg(F.collect_set("to").alias("tried")), "id", "left")
         rows = _dealt(members, "key").join(known, "id")
-        pairs = rows.groupBy("key", "x", "y").applyInPandas(_across, "id long, n long, to long")
+        # many small buckets share a group, the blocks of large ones are spread
+        bins = max(1, -(-members.count() // GROUP_ROWS))
+        pairs = rows.groupBy(F.pmod(F.xxhash64("key", "x", "y"), F.lit(bins))).applyInPandas(_across, "id long, n long, to long")
         return pairs.groupBy("id").agg(F.max(F.struct("n", "to")).alias("p")).select("id", "p.to")
 
     def _rest(self, members: DataFrame) -> DataFrame:
