@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from .bpe import op10_bpe
 from .decontaminate import OP5_SQL, op5_decontaminate
+from .html import op1_extract
 from .near_dedup import op9_near_dedup
 from .pii import op8_pii
 from .quality import op4_quality
 from .secrets import op7_secrets
 from .sharding import op6_sharding
+from .warc import OP2_SQL, op2_warc
 
-QUERIES = {"op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_sharding": op6_sharding, "op7_secrets": op7_secrets, "op8_pii": op8_pii, "op9_near_dedup": op9_near_dedup, "op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL}
+QUERIES = {
+    "op1_extract": op1_extract,
+    "op2_warc": op2_warc,
+    "op4_quality": op4_quality,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_sharding": op6_sharding,
+    "op7_secrets": op7_secrets,
+    "op8_pii": op8_pii,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_bpe": op10_bpe,
+}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op5_decontaminate": OP5_SQL}
