@@ -102,15 +102,23 @@ def annotate(docs: DataFrame, text_col: str, make: Callable[[], Callable], out:
 MAP_BITS, MAP_ROW = 1 << 26, 1 << 15
 
 
-def maybe_in(df: DataFrame, key: Column, members: DataFrame, member_key: str) -> DataFrame:
-    """The rows of ``df`` whose key may be among the members; never drops one that is.
+def marked(df: DataFrame, key: Column, members: DataFrame, member_key: str, name: str) -> DataFrame:
+    """``df`` with a boolean column ``name``: may the key be among the members? False is certain.
 
-    A filter before a shuffle of wide rows: a bitmap of hashed keys of fixed size (8 MB, whatever the
-    number of members) is broadcast. An exact join must follow.
+    A bitmap of hashed keys of fixed size (8 MB, whatever the number of members) is broadcast, so
+    that wide rows need no shuffle to be told apart; where it says true, an exact join must follow.
     """
+    row, bits = free_name(df, "bitmap_row"), free_name(df, "bitmap_bits")
     spot = F.pmod(F.xxhash64(F.col(member_key)), F.lit(MAP_BITS))
-    rows = members.select(spot.alias("s")).groupBy(F.floor(F.col("s") / MAP_ROW).cast("int").alias("_row")).agg(F.bitmap_construct_agg(F.col("s") % MAP_ROW).alias("_bits"))
+    rows = members.select(spot.alias("s")).groupBy(F.floor(F.col("s") / MAP_ROW).cast("int").alias(row)).agg(F.bitmap_construct_agg(F.col("s") % MAP_ROW).alias(bits))
     own = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), ((own % MAP_ROW) / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    marked = df.join(F.broadcast(rows), F.floor(own / MAP_ROW).cast("int") == F.col("_row"))
-    return marked.where(F.expr("true") & (F.floor(byte / F.pow(F.lit(2), (own % 8).cast("int"))).cast("int") % 2 == 1)).drop("_row", "_bits")
+    byte = F.conv(F.hex(F.substring(F.col(bits), ((own % MAP_ROW) / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    hit = F.floor(byte / F.pow(F.lit(2), (own % 8).cast("int"))).cast("int") % 2 == 1
+    joined = df.join(F.broadcast(rows), F.floor(own / MAP_ROW).cast("int") == F.col(row), "left")
+    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop(row, bits)
+
+
+def maybe_in(df: DataFrame, key: Column, members: DataFrame, member_key: str) -> DataFrame:
+    """The rows of ``df`` whose key may be among the members; never drops one that is."""
+    name = free_name(df, "maybe")
+    return marked(df, key, members, member_key, name).where(name).drop(name)

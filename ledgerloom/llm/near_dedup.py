@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, cut, free_name, maybe_in, table
+from .common import annotate, cut, free_name, marked, maybe_in, table
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -320,5 +320,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_c
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the least id.
+
+    Of repeated rows with the same id and text one stays; rows without words or id all stay. Only
+    rows that may have to go are shuffled.
+    """
+    found = cut(NearDuplicates(docs, size, percent, id_col, text_col).result().where("n > 0 and id is not null"))
+    gone = found.where("id <> component").select("id").distinct()
+    again = found.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    mark, same = free_name(docs, "odd"), free_name(docs, "same")
+    flagged = marked(docs, F.col(f"`{id_col}`").cast("long"), gone.union(again), "id", mark)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    odd = flagged.where(mark).withColumn(same, F.xxhash64(f"`{text_col}`"))
+    odd = odd.join(gone.withColumnRenamed("id", mark + "id"), F.col(f"`{id_col}`").cast("long") == F.col(mark + "id"), "left_anti").dropDuplicates([id_col, same])
+    return flagged.where(~F.col(mark)).select(*columns).unionByName(odd.select(*columns))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)

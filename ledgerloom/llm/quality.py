@@ -169,6 +169,23 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     return judge(rows, fit_cutoffs(rows, labels, alpha, delta))
 
 
+#: Cutoffs of so many strata and rules at most are broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns as they are.
+
+    The counts are made twice, once to fit and once to filter, so that no text is shuffled or stored.
+    """
+    cutoffs = cut(fit_cutoffs(cut(features(docs, id_col, text_col, stratum)), labels))
+    if cutoffs.count() <= BROADCAST_ROWS:
+        cutoffs = F.broadcast(cutoffs)
+    counted = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{stratum}`").alias("stratum"), text_counts(F.col(f"`{text_col}`")).alias("c"))
+    judged = judge(counted.select("row", "stratum", "c.*").withColumn("base_failed", base_failed()), cutoffs)
+    return judged.where("kept").select("row.*")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", *COUNTS, "base_failed", "kept")

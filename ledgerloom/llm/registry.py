@@ -10,11 +10,13 @@ from .pii import op8_pii
 from .quality import op4_quality
 from .secrets import op7_secrets
 from .sharding import op6_sharding
+from .substrings import op3_substrings
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_extract": op1_extract,
     "op2_warc": op2_warc,
+    "op3_substrings": op3_substrings,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_sharding": op6_sharding,
