@@ -14,6 +14,12 @@ def _stars(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "a")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Has every node one edge to a lower one, which has none itself?"""
+    ends = edges.select("a", F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+    return ends.groupBy("a").agg(F.sum("low").alias("low"), F.max("high").alias("high")).where("low > 1 or low = 1 and high = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node that it reaches), for all nodes of the edges (a, b).
 
@@ -21,17 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
     up before the shuffle, and Spark may split them in the join. Rounds grow with the logarithm of
     the size of the largest component. An edge table without rows gives none.
     """
-    now = cut(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct())
-    mark = None
-    while True:
-        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _stars(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _are_stars(now):
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = _stars(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = _stars(large)
-        small = small.select(F.col("b").alias("x"), "m").unionByName(small.select(F.col("a").alias("x"), "m"))
-        now = cut(small.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct())
-        seen = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.count_distinct("a")).first()
-        # every node has one edge, to a node without one: stars
-        if tuple(seen) == mark or seen[0] == seen[2] and now.join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
-            break
-        mark = tuple(seen)
+        now = cut(small.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

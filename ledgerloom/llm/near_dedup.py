@@ -6,12 +6,11 @@
    band put two sets into one bucket. At similarity 0.8 a pair misses all buckets with probability
    3e-6.
 3. First every set is compared with one popular set of its buckets (a star, not all pairs). Links
-   that hold are merged into components. Then, as long as a bucket holds sets of different
-   components, sets are compared across components, block by block: pairs whose signatures agree
-   too little are dropped, and the best untested partner of each set is verified. When a round joins
-   nothing, the sets that still have a partner are compared exactly, all with all of their cluster
-   of buckets across components, in blocks that give back links only. Pairs inside one component
-   need no test, as they cannot change the result; no other close pair of a bucket stays untested.
+   that hold are merged into components. In buckets that hold several components, signatures are
+   compared across components, block by block. Sets with a close partner there are then compared
+   exactly, all with all of their cluster of buckets across components, in blocks that give back
+   links only. Pairs inside one component need no test, as they cannot change the result; no other
+   close pair of a bucket stays untested, and no pairs are written out.
 4. A link is verified on the full shingle sets.
 5. Components: alternating large-star and small-star.
 
@@ -37,11 +36,11 @@ BANDS, ROWS = 32, 5
 PERCENT = 80
 #: A pair is dropped if fewer minima agree; at similarity 0.8 that is 6 standard deviations off.
 LEAST_AGREEING = int(0.61 * BANDS * ROWS)
-#: Sets of a bucket that are compared at once, signature by signature.
-BLOCK = 256
+#: Sets of a bucket whose signatures are compared at once, and sets of a cluster that are compared whole.
+SIGNATURES, SETS = 2048, 512
 #: Bucket members that one group of the signature comparison holds on average.
 GROUP_ROWS = 2000
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 150_000
 #: Lower-case A-Z.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SKETCH = T.StructType([
@@ -165,27 +164,24 @@ def _blocks(key: Any, group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
 
 
 def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """For each set of each pair of blocks (key, x, y): its best untested partner of another component whose signature agrees enough."""
+    """The sets of each pair of blocks (key, x, y) that have an untested partner of another component whose signature agrees enough."""
     import numpy as np
 
     g = group.sort_values(["key", "x", "y", "side"])
     sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), -1)
-    ids, of, side, tried = g["id"].to_numpy(), g["component"].to_numpy(), g["side"].to_numpy(), g["tried"].to_numpy()
+    ids, of, side, tried = (g[c].to_numpy() for c in ("id", "component", "side", "tried"))
     names = g[["key", "x", "y"]].to_numpy()
     begins = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1)])
-    out = []
+    close = np.zeros(len(g), bool)
     for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(g)], strict=True):
         mid = lo + int(np.searchsorted(side[lo:hi], 1))
-        for own, other in (((lo, hi), (lo, hi)),) if mid == hi else (((lo, mid), (mid, hi)), ((mid, hi), (lo, mid))):
-            theirs, kind, name = sig[slice(*other)], of[slice(*other)], ids[slice(*other)]
-            for k in range(*own):
-                n = (theirs == sig[k]).sum(axis=1)
-                n[(kind == of[k]) | (n < LEAST_AGREEING)] = 0
-                if n.any() and tried[k] is not None:
-                    n[np.isin(name, tried[k])] = 0
-                if n.any():
-                    out.append((ids[k], int(n.max()), name[n.argmax()]))
-    return pd.DataFrame(out, columns=["id", "n", "to"], dtype="int64")
+        first = mid if mid < hi else lo
+        for k in range(lo, mid):
+            n = (sig[first:hi] == sig[k]).sum(axis=1)
+            near = (n >= LEAST_AGREEING) & (of[first:hi] != of[k]) & (ids[first:hi] != tried[k]) & (tried[first:hi] != ids[k])
+            close[k] |= near.any()
+            close[first:hi] |= near
+    return pd.DataFrame({"id": np.unique(ids[close])})
 
 
 def _exact(percent: int) -> Callable:
@@ -224,9 +220,9 @@ def _pairs(proposed: DataFrame) -> DataFrame:
     return proposed.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
 
 
-def _dealt(members: DataFrame, key: str) -> DataFrame:
+def _dealt(members: DataFrame, key: str, block: int) -> DataFrame:
     """Members (key, id, component, c in all) of a group dealt into blocks: a row for each pair of blocks that a member is in."""
-    n = F.ceil(F.col("c") / BLOCK).cast("int")
+    n = F.ceil(F.col("c") / block).cast("int")
     own = members.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("id"), n).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side")))
     return own.select(key, "id", "component", F.inline(other))
@@ -274,27 +270,19 @@ class NearDuplicates:
         to = shared.join(top, "key").select("id", F.struct("top.popularity", F.col("top.m")).alias("top")).where(F.col("id") != -F.col("top.m"))
         tried = cut(to.groupBy("id").agg((-F.max("top")["m"]).alias("to")))
         found = self.verified(_pairs(tried))
-        while True:
-            of = components(found)
-            now = cut(shared.select("key", "id").join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
-            mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c")
-            more = cut(self._proposed(now.join(mixed, "key"), tried))
-            if more.isEmpty():
-                return found
-            new = self.confirmed(_pairs(more))
-            if new.isEmpty():
-                # no set's best partner joins anything: decide the rest exactly
-                return found.union(self._rest(now.join(more.select("id"), "id", "left_semi")))
-            found, tried = cut(found.union(new)), cut(tried.union(more))
-
-    def _proposed(self, members: DataFrame, tried: DataFrame) -> DataFrame:
-        """id, to: for each set of buckets with several components (key, id, component, c) the best untested partner."""
-        known = self.classes.select("id", "sig").join(tried.groupBy("id").agg(F.collect_set("to").alias("tried")), "id", "left")
-        rows = _dealt(members, "key").join(known, "id")
+        of = components(found)
+        now = cut(shared.select("key", "id").join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c")
+        close = cut(self._close(now.join(mixed, "key"), tried))
+        return found if close.isEmpty() else found.union(self._rest(now.join(close, "id", "left_semi")))
+
+    def _close(self, members: DataFrame, tried: DataFrame) -> DataFrame:
+        """Of buckets with several components (key, id, component, c): the ids that have a close untested partner in another one."""
+        known = self.classes.select("id", "sig").join(tried.withColumnRenamed("to", "tried"), "id", "left").fillna(-1, ["tried"])
         # many small buckets share a group, the blocks of large ones are spread
         bins = max(1, -(-members.count() // GROUP_ROWS))
-        pairs = rows.groupBy(F.pmod(F.xxhash64("key", "x", "y"), F.lit(bins))).applyInPandas(_across, "id long, n long, to long")
-        return pairs.groupBy("id").agg(F.max(F.struct("n", "to")).alias("p")).select("id", "p.to")
+        rows = _dealt(members, "key", SIGNATURES).join(known, "id")
+        return rows.groupBy(F.pmod(F.xxhash64("key", "x", "y"), F.lit(bins))).applyInPandas(_across, "id long").distinct()
 
     def _rest(self, members: DataFrame) -> DataFrame:
         """Links among sets that still have a close partner in another component, of whole bucket clusters."""
@@ -303,7 +291,7 @@ class NearDuplicates:
         cluster = components(members.join(lead, "key").select(F.col("id").alias("a"), F.col("lead").alias("b"))).toDF("id", "key")
         sized = members.select("id", "component").distinct().join(cluster, "id")
         sized = cut(sized.join(sized.groupBy("key").agg(F.count("*").alias("c")), "key"))
-        rows = _dealt(sized, "key").join(self.sets(sized.select("id")), "id")
+        rows = _dealt(sized, "key", SETS).join(self.sets(sized.select("id")), "id")
         return cut(rows.groupBy("key", "x", "y").applyInPandas(_exact(self.percent), "a long, b long").distinct())
 
     def result(self) -> DataFrame:
@@ -339,3 +327,16 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
+OP9_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select distinct doc_id, array_to_string(words[i:i + 3], ' ') as shingle from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) as i from w where len(words) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * shared >= 80 * (nx.n + ny.n - shared)),
+b as (select x, y from e union all select y, x from e),
+reach as (select doc_id as a, doc_id as z from w union select a, y from reach join b on b.x = z),
+c as (select a, min(z) as component from reach group by a)
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, component as component_id, w.doc_id = component as kept from w join c on c.a = w.doc_id left join n on n.doc_id = w.doc_id
+"""
