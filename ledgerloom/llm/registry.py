@@ -5,12 +5,12 @@ from __future__ import annotations
 from .bpe import op10_bpe
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .html import op1_extract
-from .near_dedup import op9_near_dedup
+from .near_dedup import OP9_SQL, op9_near_dedup
 from .pii import op8_pii
 from .quality import op4_quality
 from .secrets import op7_secrets
 from .sharding import op6_sharding
-from .substrings import op3_substrings
+from .substrings import OP3_SQL, op3_substrings
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op5_decontaminate": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_substrings": OP3_SQL, "op5_decontaminate": OP5_SQL, "op9_near_dedup": OP9_SQL}

@@ -129,21 +129,56 @@ def _pieces(texts: list[bytes]):
         yield [x[0] for x in some], [x[1] for x in some], np.cumsum([len(x[2]) for x in some]), np.frombuffer(b"".join(x[2] for x in some), np.uint8)
 
 
+def _runs(texts, lo, hi):
+    """The union of the spans [lo, hi) of each text; they come sorted by text and lo."""
+    import numpy as np
+
+    if not len(lo):
+        return texts, lo, hi
+    fresh = np.ones(len(lo), bool)
+    fresh[1:] = (texts[1:] != texts[:-1]) | (lo[1:] > np.maximum.accumulate(hi + texts * (1 << 40))[:-1] - texts[1:] * (1 << 40))
+    first = np.flatnonzero(fresh)
+    return texts[first], lo[first], np.maximum.reduceat(hi, first)
+
+
 def _anchor_rows(batches):
-    """Texts (doc, text) to anchors: key, context, doc, place (first window << 16 | offset << 8 | windows - 1)."""
+    """Texts (doc, text) to anchors: key, context, doc, place (first window << 16 | offset << 8 | windows - 1), n.
+
+    n is 1, or 2 where the text itself or the batch has the anchor in the same surroundings again;
+    of such anchors one goes on, and the windows of a text's others are settled: they leave as spans
+    with n = 0, place the first byte and context the one after the last. So neither periodic texts
+    nor copies fill a bucket.
+    """
     import numpy as np
     import xxhash
 
     for batch in batches:
-        docs, texts = batch["doc"].to_numpy(), [t.encode() for t in batch["text"]]
+        times = batch.groupby("doc")["doc"].transform("size")
+        batch = batch.assign(n=np.minimum(times, 2))[~batch["doc"].duplicated()]
+        docs, copies, texts = batch["doc"].to_numpy(), batch["n"].to_numpy(), [t.encode() for t in batch["text"]]
         for owners, offsets, ends, data in _pieces(texts):
             key, place, first, count = anchors(data, ends)
             text = np.searchsorted(ends, first, side="right")
             begins = np.concatenate([[0], ends[:-1]])
             raw, off = data.tobytes(), place - first
-            context = [xxhash.xxh64_intdigest(raw[a : a + n + LENGTH - 1], seed=o) for a, n, o in zip(first.tolist(), count.tolist(), off.tolist(), strict=True)]
+            context = np.array([xxhash.xxh64_intdigest(raw[a : a + n + LENGTH - 1], seed=o) for a, n, o in zip(first.tolist(), count.tolist(), off.tolist(), strict=True)], np.uint64)
             at = first - begins[text] + np.array(offsets, np.int64)[text]
-            yield pd.DataFrame({"key": key.view(np.int64), "context": np.array(context, np.uint64).view(np.int64), "doc": docs[np.array(owners)[text]], "place": at << 16 | off << 8 | (count - 1)})
+            owner = np.array(owners, np.int64)[text]
+            name = _mixed(key ^ _mixed(context ^ _mixed(owner.astype(np.uint64) + np.uint64(1))))
+            _, lead, group, many = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+            leads = np.zeros(len(name), bool)
+            leads[lead] = True
+            n = np.maximum(copies[owner], np.minimum(many[group], 2))
+            again = ~leads
+            of, lo, hi = _runs(owner[again], at[again], at[again] + count[again] - 1 + LENGTH)
+            spread = _mixed(docs[of].view(np.uint64) + lo.astype(np.uint64)) if len(of) else np.zeros(0, np.uint64)
+            yield pd.DataFrame({
+                "key": np.concatenate([key[leads], spread]).view(np.int64),
+                "context": np.concatenate([context[leads].view(np.int64), hi]),
+                "doc": np.concatenate([docs[owner[leads]], docs[of]]),
+                "place": np.concatenate([(at << 16 | off << 8 | (count - 1))[leads], lo]),
+                "n": np.concatenate([n[leads], np.zeros(len(of), np.int64)]),
+            })
 
 
 def _context_rows(batches):
@@ -216,14 +251,16 @@ def _removed(batches):
 
 def repeated_spans(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """doc, lo, hi: parts of the texts of ``docs`` (doc, text) in which every window repeats; they may overlap."""
-    rows = docs.where(F.octet_length("text") >= LENGTH).mapInPandas(_anchor_rows, "key long, context long, doc long, place long").repartition("key")
+    rows = docs.where(F.octet_length("text") >= LENGTH).mapInPandas(_anchor_rows, "key long, context long, doc long, place long, n long").repartition("key")
     by_key, by_both = Window.partitionBy("key"), Window.partitionBy("key", "context")
-    counted = rows.withColumn("same", F.count("*").over(by_both)).withColumn("nth", F.row_number().over(by_both.orderBy("doc", "place"))).withColumn("all", F.count("*").over(by_key)).where("all > 1")
+    counted = rows.withColumn("same", F.sum("n").over(by_both)).withColumn("nth", F.row_number().over(by_both.orderBy("doc", "place"))).withColumn("all", F.sum("n").over(by_key)).where("n = 0 or all > 1")
     # of anchors that agree, one stands for all against the others of the bucket
-    opened = F.expr("same = 1 or (same < all and nth = 1)")
-    kept = cut(counted.select("key", "doc", "place", (F.col("same") > 1).alias("settled"), opened.alias("opened"), F.col("all").alias("bucket")))
-    place = lambda c: F.shiftright(F.col(c), 16)
-    settled = kept.where("settled").select("doc", place("place").alias("lo"), (place("place") + F.col("place").bitwiseAND(F.lit(255)) + LENGTH).alias("hi"))
+    opened = F.expr("n > 0 and (same = 1 or same < all and nth = 1)")
+    windows = F.col("place").bitwiseAND(F.lit(255))
+    lo = F.when(F.col("n") == 0, F.col("place")).otherwise(F.shiftright("place", 16))
+    hi = F.when(F.col("n") == 0, F.col("context")).otherwise(F.shiftright("place", 16) + windows + LENGTH)
+    kept = cut(counted.select("key", "doc", "place", lo.alias("lo"), hi.alias("hi"), ((F.col("n") == 0) | (F.col("same") > 1)).alias("settled"), opened.alias("opened"), F.col("all").alias("bucket")))
+    settled = kept.where("settled").select("doc", "lo", "hi")
     left = kept.where("opened").groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("opened"))
     texts = docs.repartition("doc")
     contexts = texts.join(left, "doc").select("doc", "text", "opened").mapInPandas(_context_rows, "key long, doc long, at long, bytes binary")
@@ -261,3 +298,18 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP3_SQL = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+q as (select r, n, j, substr(h, 2000 * j + 1, 2398) as part from (select r, h, n, unnest(range(0, (greatest(n - 199, 0) + 999) // 1000)) as j from d)),
+w as (select r, 1000 * j + k as i, md5(substr(part, 2 * k + 1, 400)) as m from (select r, j, part, unnest(range(0, least(1000, n - 199 - 1000 * j))) as k from q)),
+s as (select r, i from w where m in (select m from w group by m having count(*) > 1)),
+t as (select r, i, case when i <= lag(i) over (partition by r order by i) + 200 then 0 else 1 end as fresh from s),
+u as (select r, i, sum(fresh) over (partition by r order by i rows unbounded preceding) as run from t),
+g as (select r, min(i) as lo, max(i) + 200 as hi from u group by r, run),
+k as (select g.r, lo, hi, substr(h, 2 * coalesce(lag(hi) over (partition by g.r order by lo), 0) + 1, 2 * (lo - coalesce(lag(hi) over (partition by g.r order by lo), 0))) as gap from g join d on d.r = g.r),
+f as (select r, sum(hi - lo) as n_removed, count(*) as n_spans, string_agg(gap, '' order by lo) as front, max(hi) as last from k group by r)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join f on f.r = d.r
+"""
