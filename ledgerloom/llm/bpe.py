@@ -15,6 +15,7 @@ they are or not read at all.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from .common import annotate, table
 
 #: Fragments that a task remembers; beyond, it starts anew.
-CACHE = 200_000
+CACHE = 120_000
 IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
@@ -93,19 +94,19 @@ def encoder(path: str) -> Callable:
             a = np.frombuffer(b, np.uint8)
             ends = (np.flatnonzero(may_cut[a[:-1].astype(np.uint16) << 8 | a[1:]]) + 1).tolist() if len(b) > 1 else []
             ends.append(len(b))
-            start = 0
-            for end in ends:
-                pieces.append(b[start:end])
-                start = end
+            pieces += [b[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
             counts.append(len(ends))
-        if len(cache) > CACHE:
-            cache = {}
-        new = list({p for p in pieces if p not in cache})
+        parts = list(map(cache.get, pieces))
+        if len(cache) > CACHE:  # what these texts use stays
+            cache = {p: q for p, q in zip(pieces, parts, strict=True) if q is not None}
+        gaps = [i for i, q in enumerate(parts) if q is None]
+        new = list({pieces[i] for i in gaps})
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             for p, got in zip(some, own.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
-                cache[p] = np.array(got.ids, np.int32).tobytes()
-        parts = [cache[p] for p in pieces]
+                cache[p] = array("i", got.ids).tobytes()
+        for i in gaps:
+            parts[i] = cache[pieces[i]]
         ids = np.frombuffer(b"".join(parts), np.int32)
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
