@@ -49,12 +49,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def to_long(col: Column) -> Column:
-    return col.cast("long")
-
-
 #: Rows and bytes that one call of an annotating function gets at most (a longer single text is a call of its own).
-CALL_ROWS, CALL_BYTES = 2000, 8 << 20
+CALL_ROWS, CALL_BYTES = 1000, 2 << 20
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -72,6 +68,7 @@ def annotate(docs: DataFrame, text_col: str, make: Callable[[], Callable], out:
     of rows or an Arrow struct array. Only the columns of ``keep`` (default: all) are sent back.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark.sql.pandas.types import to_arrow_type
 
     keep = list(docs.columns) if keep is None else keep
@@ -81,15 +78,15 @@ def annotate(docs: DataFrame, text_col: str, make: Callable[[], Callable], out:
     def run(batches):
         fn = make()
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            sizes = [len(x) if x is not None else 0 for x in texts]
+            column = batch.column(at)
+            sizes = [n or 0 for n in pc.binary_length(column).to_pylist()]
             i = 0
-            while i < len(texts):
+            while i < len(sizes):
                 j, total = i + 1, sizes[i]
-                while j < len(texts) and j - i < CALL_ROWS and total + sizes[j] <= CALL_BYTES:
+                while j < len(sizes) and j - i < CALL_ROWS and total + sizes[j] <= CALL_BYTES:
                     total += sizes[j]
                     j += 1
-                got = fn(texts[i:j])
+                got = fn(column.slice(i, j - i).to_pylist())
                 got = got.cast(kind) if isinstance(got, pa.Array) else pa.array(got, kind)
                 yield pa.RecordBatch.from_arrays([*(batch.column(cols.index(k)).slice(i, j - i) for k in keep), got], names=[*keep, name])
                 i = j
