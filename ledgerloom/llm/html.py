@@ -4,9 +4,16 @@ The standard library's parser reads each page as a stream of events. They are ga
 one for each block of text, with the length of the text and of its links and the number of tags
 (text-to-tag ratio, as in content extraction by tag ratios). The ratios are smoothed by a Gaussian
 over neighbouring lines, and a threshold found by clustering the smoothed values in two groups
-separates content from the rest. Lines of elements that say themselves what they are don't depend
-on the ratio: navigation, headers and footers of the page, asides, forms, scripts, notices, adverts
-and comments are left out; inside an article or main element, all other lines are content.
+selects the content lines of every page. What elements say of themselves are features beside it:
+
+* navigation, headers and footers of the page, asides, forms, scripts, notices, adverts and comments
+  are left out and count with a ratio of zero;
+* containers that are a fifth links and have no line above the threshold, and containers that
+  directly hold more links than other text, are link lists or teasers, wherever they stand;
+* an article or main element is content if the threshold selects a line in it, and then with its short
+  lines. If such elements hold most of the selected text, nothing outside them is content;
+* elsewhere the short lines of a container go with it if most of the text that it directly holds is
+  selected, and headings go with what follows them.
 
 Defined cases: null or empty pages have empty text; unclosed, stray and unknown tags are tolerated;
 pages are read whole; repeated rows are read each for itself; other columns are kept or not read.
@@ -31,6 +38,11 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset("article main".split())
+#: Elements that hold lines of one kind together.
+GROUPS = frozenset("html body article main section div ul ol dl menu table blockquote figure details center nav aside header footer form fieldset dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Shares of links from which a container without a selected line, and any container by its own lines, is a link list.
+LINKED, MOSTLY_LINKED = 0.2, 0.5
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: Words of class or id that mark what isn't content.
 MARKS = re.compile(
@@ -44,18 +56,23 @@ TEXT = T.StructType([T.StructField("text", T.StringType()), T.StructField("lines
 
 
 class Lines(HTMLParser):
-    """Gathers lines: [text parts, tags, characters in links, left out, in an article]."""
+    """Gathers lines: [text parts, tags, characters in links, left out, number of the container, heading?].
+
+    ``groups`` has for each container the number of the one around it (always a lower one) and of
+    the article or main element that it lies in or is itself (-1: none).
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, silent, boilerplate, main
+        self.open: list[tuple[str, bool, bool, int, bool]] = []  # tag, silent, boilerplate, container, heading
+        self.groups: list[tuple[int, int]] = [(-1, -1)]
         self.links = 0
         self._new()
 
     def _new(self) -> None:
-        _, silent, out, main = self.open[-1] if self.open else ("", False, False, False)
-        self.lines.append([[], 1, 0, out or silent, main])
+        _, silent, out, group, heading = self.open[-1] if self.open else ("", False, False, 0, False)
+        self.lines.append([[], 1, 0, out or silent, group, heading])
 
     def handle_starttag(self, tag, attrs):
         if self.open and self.open[-1][0] in CLOSES and tag in CLOSES[self.open[-1][0]]:
@@ -64,12 +81,16 @@ class Lines(HTMLParser):
         if tag == "a":
             self.links += 1
         if tag not in VOID:
-            _, silent, out, main = self.open[-1] if self.open else ("", False, False, False)
+            _, silent, out, group, heading = self.open[-1] if self.open else ("", False, False, 0, False)
+            main = self.groups[group][1] >= 0
             named = " ".join(v for k, v in attrs if k in ("class", "id") and v)
             role = next((v for k, v in attrs if k == "role" and v), "").lower()
             hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v, re.I) for k, v in attrs)
             out = out or tag in BOILER or role in ROLES or hidden or (tag == "header" and not main) or (tag not in ("html", "body", *MAIN) and bool(named) and bool(MARKS.search(named)))
-            self.open.append((tag, silent or tag in SKIP, out, main or tag in MAIN or role == "main"))
+            if tag in GROUPS or role == "main":
+                self.groups.append((group, len(self.groups) if tag in MAIN or role == "main" else self.groups[group][1]))
+                group = len(self.groups) - 1
+            self.open.append((tag, silent or tag in SKIP, out, group, heading or tag in HEADINGS))
         if tag in BLOCK:
             self._new()
 
@@ -116,6 +137,50 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def link_lists(lines: list[tuple], groups: list[tuple[int, int]], ratio: list[float], cut: float) -> list[bool]:
+    """Is each container a link list or teaser, or does it lie in one?"""
+    own, whole = [[0, 0] for _ in groups], [[0, 0, False] for _ in groups]  # text, links, a line above the threshold?
+    for (text, _, links, out, group, _), r in zip(lines, ratio, strict=True):
+        if not out:
+            own[group][0] += len(text)
+            own[group][1] += links
+            whole[group][2] |= r > cut
+    found = []
+    for g in range(len(groups) - 1, -1, -1):
+        whole[g][0] += own[g][0]
+        whole[g][1] += own[g][1]
+        if (around := groups[g][0]) >= 0:
+            whole[around] = [whole[around][0] + whole[g][0], whole[around][1] + whole[g][1], whole[around][2] or whole[g][2]]
+    for g, (around, _) in enumerate(groups):
+        text, links, high = whole[g]
+        found.append((around >= 0 and found[around]) or (not high and links > 0 and links >= LINKED * text))
+    # what a container holds directly says nothing of the containers in it
+    return [x or (links > 0 and links > MOSTLY_LINKED * text) for x, (text, links) in zip(found, own, strict=True)]
+
+
+def selected(lines: list[tuple], groups: list[tuple[int, int]], high: list[bool], usable: list[bool]) -> list[bool]:
+    """The lines of the content: those ``high``, and of the others ``usable`` those that their elements tie to them."""
+    chosen = [False] * len(groups)
+    for (*_, group, _), x in zip(lines, high, strict=True):
+        while x and group >= 0 and not chosen[group]:
+            chosen[group], group = True, groups[group][0]
+    declared = [groups[group][1] for *_, group, _ in lines]
+    inside = sum(len(line[0]) for line, x, d in zip(lines, high, declared, strict=True) if x and d >= 0)
+    outside = sum(len(line[0]) for line, x, d in zip(lines, high, declared, strict=True) if x and d < 0)
+    kept = [use and d >= 0 and chosen[d] for use, d in zip(usable, declared, strict=True)]
+    if inside and inside >= outside:
+        return kept
+    own: dict[int, list[int]] = {}  # selected and usable text that a container holds directly
+    for line, x, use in zip(lines, high, usable, strict=True):
+        own.setdefault(line[4], [0, 0])
+        own[line[4]][0] += len(line[0]) * x
+        own[line[4]][1] += len(line[0]) * use
+    kept = [k or x or (use and 0 < own[line[4]][1] <= 2 * own[line[4]][0]) for k, x, use, line in zip(kept, high, usable, lines, strict=True)]
+    for i in range(len(lines) - 2, -1, -1):
+        kept[i] = kept[i] or (usable[i] and lines[i][5] and kept[i + 1])
+    return kept
+
+
 def main_text(page: str | None) -> dict:
     """text, number of content lines and threshold of one page."""
     import math
@@ -126,20 +191,25 @@ def main_text(page: str | None) -> dict:
     reader.feed(page)
     reader.close()
     # HTML's white space; other space characters of a text are kept as one space too
-    lines = [(" ".join("".join(parts).split()), tags, links, out, main) for parts, tags, links, out, main in reader.lines]
+    lines = [(" ".join("".join(parts).split()), *rest) for parts, *rest in reader.lines]
     lines = [x for x in lines if x[0]]
     if not lines:
         return {"text": "", "lines": 0, "threshold": None}
-    ratio = [max(0, len(text) - links) / tags for text, tags, links, _, _ in lines]
+    ratio = [0.0 if out else max(0, len(text) - links) / tags for text, tags, links, out, *_ in lines]
     weight = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIUS + 1)]
     smooth = []
     for i in range(len(ratio)):
         near = [(weight[d + RADIUS], ratio[i + d]) for d in range(-RADIUS, RADIUS + 1) if 0 <= i + d < len(ratio)]
         smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
     cut = threshold(smooth)
-    declared = any(main and not out for *_, out, main in lines)
-    kept = [text for (text, _, _, out, main), s in zip(lines, smooth, strict=True) if not out and (main if declared else s > cut)]
-    return {"text": " ".join(kept), "lines": len(kept), "threshold": cut}
+    lists = link_lists(lines, reader.groups, ratio, cut)
+    usable = [not line[3] and not lists[line[4]] for line in lines]
+    if not any(usable):  # nothing but links
+        usable = [not line[3] for line in lines]
+    high = [use and s > cut for use, s in zip(usable, smooth, strict=True)]
+    kept = selected(lines, reader.groups, high if any(high) else usable, usable)
+    found = [line[0] for line, k in zip(lines, kept, strict=True) if k]
+    return {"text": " ".join(found), "lines": len(found), "threshold": cut}
 
 
 def extract(pages: DataFrame, html_col: str = "html", name: str = "main", keep: list[str] | None = None) -> DataFrame:
