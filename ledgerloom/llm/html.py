@@ -6,8 +6,10 @@ one for each block of text, with the length of the text and of its links and the
 over neighbouring lines, and a threshold found by clustering the smoothed values in two groups
 selects the content lines of every page. What elements say of themselves are features beside it:
 
-* navigation, headers and footers of the page, asides, forms, scripts, notices, adverts and comments
-  are left out and count with a ratio of zero;
+* navigation, headers and footers of the page, asides, forms and scripts are left out and count with a
+  ratio of zero; so do elements whose class or id alone names them a notice, an advert, comments and
+  the like, unless they hold half of the page's text in several lines, or all of it, or their own ratio
+  is above the mean of the selected lines; the mark doesn't reach into an article or main element;
 * containers that are a fifth links and have no line above the threshold, and containers that
   directly hold more links than other text, are link lists or teasers, wherever they stand;
 * an article or main element is content if the threshold selects a line in it, and then with its short
@@ -43,11 +45,12 @@ GROUPS = frozenset("html body article main section div ul ol dl menu table block
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Shares of links from which a container without a selected line, and any container by its own lines, is a link list.
 LINKED, MOSTLY_LINKED = 0.2, 0.5
+#: An element marked by its class is taken at its word if it has fewer characters for a tag.
+LEAST_RATIO = 50
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Words of class or id that mark what isn't content.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|sidebar|widget|related|recommended|share|sharing|social|comment|comments|disqus|replies|breadcrumb|breadcrumbs|pagination|pager|menu|nav|navbar|navigation|footer|header|masthead|toolbar|skip|login|search)(?:$|[\s_-]|\d)",
-    re.I,
+#: Classes or ids, also joined by hyphens or numbered, that mark what isn't content unless the ratio says otherwise.
+MARKS = frozenset(
+    "ad ads advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup sidebar widget related recommended share sharing social comment comments disqus replies breadcrumb breadcrumbs pagination pager menu nav navbar navigation footer header masthead toolbar skip login search".split()
 )
 #: An element inside which this one, left open, ends: its own kind.
 CLOSES = {"p": BLOCK - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
@@ -55,24 +58,39 @@ SIGMA, RADIUS = 1.0, 2
 TEXT = T.StructType([T.StructField("text", T.StringType()), T.StructField("lines", T.IntegerType()), T.StructField("threshold", T.DoubleType())])
 
 
+NOTHING = ("", False, False, 0, False, -1, 0)
+
+
+def marked(named: str, main: bool) -> bool:
+    """Do the classes and ids ``named`` mark an element? A header of an article is its own."""
+    for token in named.lower().split():
+        parts = [x for x in re.split(r"[_-]|\d+", token) if x]
+        if parts and MARKS.issuperset(parts) and not (main and parts == ["header"]):
+            return True
+    return False
+
+
 class Lines(HTMLParser):
-    """Gathers lines: [text parts, tags, characters in links, left out, number of the container, heading?].
+    """Gathers lines: [text parts, tags, characters in links, left out, number of the container, heading?, marked element, floor].
 
     ``groups`` has for each container the number of the one around it (always a lower one) and of
-    the article or main element that it lies in or is itself (-1: none).
+    the article or main element that it lies in or is itself (-1: none). ``marks`` has for each
+    element marked by its class the one around it (lower, or -1); those of a line under its floor stand
+    around its article or main element and don't count.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.open: list[tuple[str, bool, bool, int, bool]] = []  # tag, silent, boilerplate, container, heading
+        self.open: list[tuple[str, bool, bool, int, bool, int, int]] = []  # tag, silent, boilerplate, container, heading, mark, floor
+        self.marks: list[int] = []
         self.groups: list[tuple[int, int]] = [(-1, -1)]
         self.links = 0
         self._new()
 
     def _new(self) -> None:
-        _, silent, out, group, heading = self.open[-1] if self.open else ("", False, False, 0, False)
-        self.lines.append([[], 1, 0, out or silent, group, heading])
+        _, silent, out, group, heading, mark, floor = self.open[-1] if self.open else NOTHING
+        self.lines.append([[], 1, 0, out or silent, group, heading, mark, floor])
 
     def handle_starttag(self, tag, attrs):
         if self.open and self.open[-1][0] in CLOSES and tag in CLOSES[self.open[-1][0]]:
@@ -81,16 +99,21 @@ class Lines(HTMLParser):
         if tag == "a":
             self.links += 1
         if tag not in VOID:
-            _, silent, out, group, heading = self.open[-1] if self.open else ("", False, False, 0, False)
+            _, silent, out, group, heading, mark, floor = self.open[-1] if self.open else NOTHING
             main = self.groups[group][1] >= 0
             named = " ".join(v for k, v in attrs if k in ("class", "id") and v)
             role = next((v for k, v in attrs if k == "role" and v), "").lower()
             hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v, re.I) for k, v in attrs)
-            out = out or tag in BOILER or role in ROLES or hidden or (tag == "header" and not main) or (tag not in ("html", "body", *MAIN) and bool(named) and bool(MARKS.search(named)))
+            out = out or tag in BOILER or role in ROLES or hidden or (tag == "header" and not main)
+            if named and tag not in ("html", "body", *MAIN) and marked(named, main):
+                self.marks.append(mark)
+                mark = len(self.marks) - 1
             if tag in GROUPS or role == "main":
                 self.groups.append((group, len(self.groups) if tag in MAIN or role == "main" else self.groups[group][1]))
                 group = len(self.groups) - 1
-            self.open.append((tag, silent or tag in SKIP, out, group, heading or tag in HEADINGS))
+                if self.groups[group][1] == group:
+                    floor = len(self.marks)
+            self.open.append((tag, silent or tag in SKIP, out, group, heading or tag in HEADINGS, mark, floor))
         if tag in BLOCK:
             self._new()
 
@@ -140,7 +163,7 @@ def threshold(values: list[float]) -> float:
 def link_lists(lines: list[tuple], groups: list[tuple[int, int]], ratio: list[float], cut: float) -> list[bool]:
     """Is each container a link list or teaser, or does it lie in one?"""
     own, whole = [[0, 0] for _ in groups], [[0, 0, False] for _ in groups]  # text, links, a line above the threshold?
-    for (text, _, links, out, group, _), r in zip(lines, ratio, strict=True):
+    for (text, _, links, out, group, *_), r in zip(lines, ratio, strict=True):
         if not out:
             own[group][0] += len(text)
             own[group][1] += links
@@ -158,15 +181,46 @@ def link_lists(lines: list[tuple], groups: list[tuple[int, int]], ratio: list[fl
     return [x or (links > 0 and links > MOSTLY_LINKED * text) for x, (text, links) in zip(found, own, strict=True)]
 
 
-def selected(lines: list[tuple], groups: list[tuple[int, int]], high: list[bool], usable: list[bool]) -> list[bool]:
-    """The lines of the content: those ``high``, and of the others ``usable`` those that their elements tie to them."""
+def held(lines: list[tuple], marks: list[int]) -> list[list[int]]:
+    """Text, text without links, tags and lines that each marked element holds."""
+    found = [[0, 0, 0, 0] for _ in marks]
+    for text, tags, links, out, _, _, mark, _ in lines:
+        if mark >= 0 and not out:
+            found[mark] = [found[mark][0] + len(text), found[mark][1] + max(0, len(text) - links), found[mark][2] + tags, found[mark][3] + 1]
+    for m in range(len(marks) - 1, -1, -1):
+        if marks[m] >= 0:
+            found[marks[m]] = [a + b for a, b in zip(found[marks[m]], found[m], strict=True)]
+    return found
+
+
+def covered(lines: list[tuple], marks: list[int], valid: list[bool]) -> list[bool]:
+    """Does each line lie in an element whose mark is valid for it?"""
+    nearest: list[int] = []  # the innermost valid mark
+    for m, around in enumerate(marks):
+        nearest.append(m if valid[m] else nearest[around] if around >= 0 else -1)
+    return [mark >= 0 and nearest[mark] >= floor for *_, mark, floor in lines]
+
+
+def smoothed(ratio: list[float]) -> list[float]:
+    import math
+
+    weight = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIUS + 1)]
+    smooth = []
+    for i in range(len(ratio)):
+        near = [(weight[d + RADIUS], ratio[i + d]) for d in range(-RADIUS, RADIUS + 1) if 0 <= i + d < len(ratio)]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    return smooth
+
+
+def selected(lines: list[tuple], groups: list[tuple[int, int]], high: list[bool], usable: list[bool], doubted: list[bool]) -> list[bool]:
+    """The lines of the content: those ``high``, and of the others ``usable`` those that their elements tie to them; ``doubted`` ones (marked by a class) have no say against article and main elements."""
     chosen = [False] * len(groups)
-    for (*_, group, _), x in zip(lines, high, strict=True):
+    for (*_, group, _, _, _), x in zip(lines, high, strict=True):
         while x and group >= 0 and not chosen[group]:
             chosen[group], group = True, groups[group][0]
-    declared = [groups[group][1] for *_, group, _ in lines]
+    declared = [groups[line[4]][1] for line in lines]
     inside = sum(len(line[0]) for line, x, d in zip(lines, high, declared, strict=True) if x and d >= 0)
-    outside = sum(len(line[0]) for line, x, d in zip(lines, high, declared, strict=True) if x and d < 0)
+    outside = sum(len(line[0]) for line, x, d, doubt in zip(lines, high, declared, doubted, strict=True) if x and d < 0 and not doubt)
     kept = [use and d >= 0 and chosen[d] for use, d in zip(usable, declared, strict=True)]
     if inside and inside >= outside:
         return kept
@@ -183,8 +237,6 @@ def selected(lines: list[tuple], groups: list[tuple[int, int]], high: list[bool]
 
 def main_text(page: str | None) -> dict:
     """text, number of content lines and threshold of one page."""
-    import math
-
     if not page:
         return {"text": "", "lines": 0, "threshold": None}
     reader = Lines()
@@ -196,18 +248,25 @@ def main_text(page: str | None) -> dict:
     if not lines:
         return {"text": "", "lines": 0, "threshold": None}
     ratio = [0.0 if out else max(0, len(text) - links) / tags for text, tags, links, out, *_ in lines]
-    weight = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIUS + 1)]
-    smooth = []
-    for i in range(len(ratio)):
-        near = [(weight[d + RADIUS], ratio[i + d]) for d in range(-RADIUS, RADIUS + 1) if 0 <= i + d < len(ratio)]
-        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    whole, marks = sum(len(line[0]) for line in lines if not line[3]), held(lines, reader.marks)
+    valid = [text < whole and (2 * text < whole or n == 1) for text, _, _, n in marks]
+    doubted = covered(lines, reader.marks, valid)
+    smooth = smoothed([0.0 if x else r for x, r in zip(doubted, ratio, strict=True)])
     cut = threshold(smooth)
+    if any(doubted):
+        content = [r for r, v, x in zip(ratio, smooth, doubted, strict=True) if v > cut and not x]
+        usual = max(cut, LEAST_RATIO, sum(content) / max(1, len(content)))
+        valid = [v and not (tags and text > usual * tags) for v, (_, text, tags, _) in zip(valid, marks, strict=True)]
+        out = covered(lines, reader.marks, valid)
+        ratio = [0.0 if x else r for x, r in zip(out, ratio, strict=True)]
+        smooth = smoothed(ratio)
+        lines = [(*line[:3], line[3] or x, *line[4:]) for x, line in zip(out, lines, strict=True)]
     lists = link_lists(lines, reader.groups, ratio, cut)
     usable = [not line[3] and not lists[line[4]] for line in lines]
     if not any(usable):  # nothing but links
         usable = [not line[3] for line in lines]
     high = [use and s > cut for use, s in zip(usable, smooth, strict=True)]
-    kept = selected(lines, reader.groups, high if any(high) else usable, usable)
+    kept = selected(lines, reader.groups, high if any(high) else usable, usable, covered(lines, reader.marks, [True] * len(marks)))
     found = [line[0] for line, k in zip(lines, kept, strict=True) if k]
     return {"text": " ".join(found), "lines": len(found), "threshold": cut}
 

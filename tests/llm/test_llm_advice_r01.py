@@ -34,3 +34,20 @@ def test_extraction_without_article_tags(spark):
         same += with_tags == without
         assert without in with_tags or set(without.split()) <= set(with_tags.split())
     assert right > 0.9 * total and same > 0
+
+
+def test_extraction_doubts_class_names():
+    main = lambda page: html.main_text(page)["text"]
+    text = f"<h1>Title</h1><p>{PARAGRAPH}<p>{PARAGRAPH}<p>{PARAGRAPH}"
+    want = f"Title {PARAGRAPH} {PARAGRAPH} {PARAGRAPH}"
+    for name in ("has-sidebar", "no-sidebar", "layout--sidebar-right", "sidebar", "widget"):
+        assert main(f"<body><div class='{name}'><p>aside<article>{text}</article></div></body>") == want
+        assert main(f"<body><div class='{name}'>{text}</div></body>") == want
+    for name in ("article-header", "header"):
+        assert main(f"<article><div class='{name}'><h1>Title</h1></div><p>{PARAGRAPH}<p>{PARAGRAPH}<p>{PARAGRAPH}</article>") == want
+    for name in ("ad", "ad-1", "AD", "cookie-banner", "comments share"):
+        assert main(f"<body><div class='{name}'>Buy this now, it is cheap.</div><article>{text}<div class='{name}'>Buy this now.</div></article></body>") == want
+        assert main(f"<body>{text}<div class='{name}'>Buy this now.</div></body>") == want
+    assert main(f"<article>{text}<p class='notice'>{PARAGRAPH} {PARAGRAPH}</article>") == f"{want} {PARAGRAPH} {PARAGRAPH}"
+    # an advert longer than the article doesn't displace it
+    assert main("<body><div class='ad'>Some words that are more than the article has.</div><article><p>Few.</article></body>") == "Few."
