@@ -6,10 +6,12 @@ copy of the text and note for every character of the copy which source character
 * look-alike letters, full-width and other compatibility forms and foreign digits become ASCII;
   invisible characters vanish;
 * "at" and "dot", bracketed or as words, become "@" and "." where an address can stand;
-* runs of spelled digits become digits, "plus" before them "+".
+* runs of spelled digits, also mixed with figures, become digits, "plus" before them "+".
 
 The same patterns search the copy, and a match that holds a rewritten character is mapped back to
-the source and added, unless it overlaps a plain identifier.
+the source and added, unless it overlaps a plain identifier. Figures in front of spelled digits may
+belong to them or not, so runs are read from the first spelled digit or "plus" on, then from the
+figures on as groups, then from the figures on as one number; what is found first counts.
 
 Defined cases: null counts as empty; texts of any length are searched whole; repeated rows are each
 searched for themselves; other columns are kept or not read.
@@ -99,15 +101,16 @@ def _rules() -> tuple:
     parts = re.compile(rf"({at}|\s*@\s*|\s+at\s+)|({dot}|{worded})", re.I)
     hint = re.compile(r"[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|point|punto)\s*[\])}>]|\sdot\s|\s@\s|@\s|\s@", re.I)
     name = "|".join(sorted(SPELLED, key=len, reverse=True))
-    run = re.compile(rf"(?<!\w)(?:plus[\s-]+)?(?:{name})(?:(?:[\s,-]+|\s+(?:dot|punkt|point|punto)\s+)(?:{name}|[0-9]+))+(?!\w)", re.I)
-    piece = re.compile(rf"(plus)[\s-]+|({name})|(\s+(?:dot|punkt|point|punto)\s+)|([\s,-]+)", re.I)
-    return chars, one, hint, address, parts, run, piece
+    digits, more = rf"(?:{name}|[0-9]+)", rf"(?:(?:[\s,-]+|\s+(?:dot|punkt|point|punto)\s+)(?:{name}|[0-9]+))"
+    runs = [re.compile(rf"(?<!\w)(?:plus[\s-]+{digits}{more}*|{first}{more}+)(?!\w)", re.I) for first in (f"(?:{name})", digits)]
+    piece = re.compile(rf"(plus)[\s-]+|({name})|(\s+(?:dot|punkt|point|punto)\s+)|((?<=[0-9])[\s,-]+|[\s,-]+(?=[0-9]))|([\s,-]+)", re.I)
+    return chars, one, hint, address, parts, runs, piece
 
 
 #: Bytes to words in lower case, for a quick look whether a text spells digits at all.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: A run of spelled digits has so many parts at least.
-LEAST_SPELLED = 4
+#: A run without "plus" and "dot" has so many parts or digits at least, or is no identifier.
+LEAST_SPELLED, LEAST_DIGITS = 4, 10
 
 
 class Copy:
@@ -116,6 +119,11 @@ class Copy:
     def __init__(self, text: str):
         self.text, self.starts, self.ends, self.new = text, None, None, None
 
+    def again(self) -> Copy:
+        out = Copy(self.text)
+        out.starts, out.ends, out.new = self.starts, self.ends, self.new
+        return out
+
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace the parts [start, end) of the copy; in order, not overlapping."""
         n = len(self.text)
@@ -139,9 +147,41 @@ class Copy:
 
 def finder() -> Callable:
     """A function from texts to rows of FOUND."""
-    chars, one, hint, address, parts, run, piece = _rules()
-
-    names = frozenset(x.encode() for x in SPELLED)
+    chars, one, hint, address, parts, runs, piece = _rules()
+
+    names, dots = frozenset(x.encode() for x in SPELLED), frozenset([b"dot", b"punkt", b"point", b"punto"])
+    signs = names | {b"plus"}
+
+    def spelled(text: str) -> bool:
+        """Can a run be in the text: a spelled digit or plus next to another one or to figures?"""
+        words = (text if text.isascii() else " ".join(text.lower().split())).encode().translate(_WORDS).split()
+        if signs.isdisjoint(words):
+            return False
+        words = [w for w in words if w not in dots]
+        for i, w in enumerate(words):
+            if w in signs:
+                for near in (*words[i - 1 : i], *words[i + 1 : i + 2]) if i else words[1:2]:
+                    if near in names or near.isdigit():
+                        return True
+        return False
+
+    def written(copy: Copy, kind: int) -> Copy:
+        """The copy with runs rewritten: from a spelled digit or plus on (0), from figures on, as groups (1) or as one number (2)."""
+        edits = []
+        for m in runs[kind > 0].finditer(copy.text):
+            pieces = list(piece.finditer(m[0]))
+            plus, dot, count = pieces[0][1], any(p[3] for p in pieces), sum(bool(p[2]) for p in pieces)
+            figures = sum(c.isdigit() for c in m[0])
+            if not (plus or dot and count or count and (len(re.findall(r"[^\s,-]+", m[0])) >= LEAST_SPELLED or count + figures >= LEAST_DIGITS)):
+                continue
+            for p in pieces:
+                put = "+" if p[1] else SPELLED[p[2].lower()] if p[2] else "." if p[3] else " " if p[4] and kind == 1 else ""
+                edits.append((m.start() + p.start(), m.start() + p.end(), put))
+        if not edits:
+            return copy
+        out = copy.again()
+        out.replace(edits)
+        return out
 
     def disguised(text: str) -> list[tuple[int, int, int]]:
         copy = Copy(text)
@@ -153,16 +193,15 @@ def finder() -> Callable:
                 edits += [(m.start() + p.start(), m.start() + p.end(), "@" if p[1] else ".") for p in parts.finditer(m[0])]
             if edits:
                 copy.replace(edits)
-        edits = []
-        spelled = sum(map(names.__contains__, copy.text.encode().translate(_WORDS).split()))
-        for m in run.finditer(copy.text) if spelled >= 2 else ():
-            if len(re.findall(r"[^\s,-]+", m[0])) < LEAST_SPELLED:
-                continue
-            for p in piece.finditer(m[0]):
-                put = "+" if p[1] else SPELLED[p[2].lower()] if p[2] else "." if p[3] else ""
-                edits.append((m.start() + p.start(), m.start() + p.end(), put))
-        if edits:
-            copy.replace(edits)
+        found = []
+        for kind in range(3) if spelled(copy.text) else ():
+            now = written(copy, kind)
+            found += spans_of(now)
+            if kind and now is copy:
+                break
+        return found or spans_of(copy)
+
+    def spans_of(copy: Copy) -> list[tuple[int, int, int]]:
         if copy.starts is None:
             return []
         return [(copy.starts[a], kind, copy.ends[b - 1]) for a, kind, b in plain_spans(copy.text) if any(copy.new[a:b])]

@@ -7,7 +7,7 @@ import re
 import pytest
 from helpers import DATA, HAVE_DATA
 
-from ledgerloom.llm import html
+from ledgerloom.llm import html, pii
 
 PARAGRAPH = "A long paragraph of the page's own text, of many words, so that its ratio is high and it stands out among all the other lines."
 
@@ -51,3 +51,26 @@ def test_extraction_doubts_class_names():
     assert main(f"<article>{text}<p class='notice'>{PARAGRAPH} {PARAGRAPH}</article>") == f"{want} {PARAGRAPH} {PARAGRAPH}"
     # an advert longer than the article doesn't displace it
     assert main("<body><div class='ad'>Some words that are more than the article has.</div><article><p>Few.</article></body>") == "Few."
+
+
+MIXED = {
+    "call plus one 555 555 0123": ("phone", "plus one 555 555 0123"),
+    "one dot 92 dot 168 dot 1": ("ip", "one dot 92 dot 168 dot 1"),
+    "call plus 1 five five five five oh one two three four five ok": ("phone", "plus 1 five five five five oh one two three four five"),
+    "plus one (555) 555 0123 x": ("phone", "plus one (555) 555 0123"),
+    "PLUS 1 555 555 0123": ("phone", "PLUS 1 555 555 0123"),
+    "é plus\u00a0one\u00a0555 555 0123": ("phone", "plus\u00a0one\u00a0555 555 0123"),
+    "1 dot 92 dot one six eight dot 1": ("ip", "1 dot 92 dot one six eight dot 1"),
+    "item 300, one nine two dot one six eight dot zero dot one": ("ip", "one nine two dot one six eight dot zero dot one"),
+    "pay 4242, four two four two, 4242, 4242": ("card", "4242, four two four two, 4242, 4242"),
+}
+
+
+def test_spelled_digits_with_figures():
+    find = pii.finder()
+    for text, want in MIXED.items():
+        for around in ("", " and one of them, no two"):  # other words of the text don't matter
+            row = find([text + around])[0]
+            assert [(s["kind"], (text + around)[s["start"] : s["end"]]) for s in row["spans"]] == [want], text
+    clean = ["one plus one is two", "plus 5 of 100 dogs", "the un 12 of 2020-12-11", "one 12 and 3 dot 4", "plus"]
+    assert all(not r["spans"] for r in find(clean))
