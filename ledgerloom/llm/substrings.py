@@ -255,14 +255,16 @@ def repeated_spans(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     by_key, by_both = Window.partitionBy("key"), Window.partitionBy("key", "context")
     counted = rows.withColumn("same", F.sum("n").over(by_both)).withColumn("nth", F.row_number().over(by_both.orderBy("doc", "place"))).withColumn("all", F.sum("n").over(by_key)).where("n = 0 or all > 1")
     # of anchors that agree, one stands for all against the others of the bucket
-    opened = F.expr("n > 0 and (same = 1 or same < all and nth = 1)")
+    counted = counted.withColumn("opened", F.expr("n > 0 and (same = 1 or same < all and nth = 1)"))
+    counted = counted.withColumn("bucket", F.sum(F.col("opened").cast("long")).over(by_key))
     windows = F.col("place").bitwiseAND(F.lit(255))
     lo = F.when(F.col("n") == 0, F.col("place")).otherwise(F.shiftright("place", 16))
     hi = F.when(F.col("n") == 0, F.col("context")).otherwise(F.shiftright("place", 16) + windows + LENGTH)
-    kept = cut(counted.select("key", "doc", "place", lo.alias("lo"), hi.alias("hi"), ((F.col("n") == 0) | (F.col("same") > 1)).alias("settled"), opened.alias("opened"), F.col("all").alias("bucket")))
+    kept = cut(counted.select("key", "doc", "place", lo.alias("lo"), hi.alias("hi"), ((F.col("n") == 0) | (F.col("same") > 1)).alias("settled"), "opened", "bucket"))
     settled = kept.where("settled").select("doc", "lo", "hi")
     left = kept.where("opened").groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("opened"))
-    texts = docs.repartition("doc")
+    # one of all copies, so that contexts are as many as the opened anchors; copies meet before the shuffle
+    texts = docs.groupBy("doc").agg(F.first("text").alias("text"))
     contexts = texts.join(left, "doc").select("doc", "text", "opened").mapInPandas(_context_rows, "key long, doc long, at long, bytes binary")
     bins = max(1, -(-kept.where("opened").count() // GROUP_ROWS))
     if hot := [r[0] for r in kept.where(F.col("opened") & (F.col("bucket") > hot_key)).select("key").distinct().limit(10_001).collect()]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
-from helpers import DATA, HAVE_DATA
+from helpers import DATA, HAVE_DATA, documents, prose
+from test_llm_shuffles import plain_removal
 
-from ledgerloom.llm import html, pii
+from ledgerloom.llm import html, pii, substrings
 
 PARAGRAPH = "A long paragraph of the page's own text, of many words, so that its ratio is high and it stands out among all the other lines."
 
@@ -74,3 +76,30 @@ def test_spelled_digits_with_figures():
             assert [(s["kind"], (text + around)[s["start"] : s["end"]]) for s in row["spans"]] == [want], text
     clean = ["one plus one is two", "plus 5 of 100 dogs", "the un 12 of 2020-12-11", "one 12 and 3 dot 4", "plus"]
     assert all(not r["spans"] for r in find(clean))
+
+
+def test_copies_open_no_more_contexts(spark, monkeypatch):
+    rng = random.Random(8)
+    text = prose(rng, 120)
+    changed = f"{text[:300]} one changed line {text[330:]}"
+    rows_of = substrings._context_rows
+
+    def contexts(copies, hot):
+        made = spark.sparkContext.accumulator(0)
+
+        def counted(batches):
+            for out in rows_of(batches):
+                made.add(len(out))
+                yield out
+
+        monkeypatch.setattr(substrings, "_context_rows", counted)
+        rows = [(i, text) for i in range(copies)] + [(1000, changed)]
+        found = substrings.remove_repeats(documents(spark, rows).repartition(12), hot_key=hot)
+        own = sorted(((r["doc_id"], r["n_bytes"], [list(s) for s in r["spans"]], bytes(r["kept"])) for r in found.collect()), key=repr)
+        assert own == plain_removal(rows)
+        return made.value
+
+    emitted = [contexts(copies, 10**6) for copies in (2, 60)]
+    assert emitted[0] == emitted[1] > 0
+    # the bucket is as hot as its contexts are many, not as its copies
+    assert contexts(60, 50) == emitted[0]
