@@ -1,4 +1,4 @@
-"""Removal of repeated strings of 200 bytes by bucket-pointer refinement.
+"""Removal of repeated strings of 200 bytes by buckets and hashes.
 
 A byte goes if it lies in a 200-byte string that also starts anywhere else in the corpus. Strings
 are put in buckets, which are refined until they hold equal strings only:
@@ -12,7 +12,8 @@ are put in buckets, which are refined until they hold equal strings only:
 3. What is left (anchors with a common gram and different surroundings) is refined window by window.
    A window's bucket is named by doubling: the bucket of a string of length 2q is that of its first
    half together with that to which the offset q further on points, each level made from the one
-   before. Windows in a bucket with others repeat.
+   before. This multiplies out to a rolling hash of the 200 bytes, which takes the place of
+   refinement in rounds (each a shuffle of all open windows). Windows of equal names repeat.
 
 Names of buckets are 64-bit hashes, so no global ranks are needed; a false match has a probability
 of about 1e-7 for 1e6 compared windows of one anchor each (1e-4 in a corpus of 1e8 open windows).
