@@ -25,7 +25,7 @@ from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +38,7 @@ PERCENT = 80
 LEAST_AGREEING = int(0.61 * BANDS * ROWS)
 #: Sets of a bucket whose signatures are compared at once, and sets of a cluster that are compared whole.
 SIGNATURES, SETS = 2048, 512
-#: Bucket members that one group of the signature comparison holds on average.
+#: Dealt members (of one pair of blocks, or of many small buckets) that one group of the signature comparison holds on average.
 GROUP_ROWS = 2000
 _WORDS_KEPT = 150_000
 #: Lower-case A-Z.
@@ -221,11 +221,24 @@ def _pairs(proposed: DataFrame) -> DataFrame:
 
 
 def _dealt(members: DataFrame, key: str, block: int) -> DataFrame:
-    """Members (key, id, component, c in all) of a group dealt into blocks: a row for each pair of blocks that a member is in."""
-    n = F.ceil(F.col("c") / block).cast("int")
-    own = members.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("id"), n).cast("int"))
-    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side")))
-    return own.select(key, "id", "component", F.inline(other))
+    """Members (key, id, component, c in all) of a group dealt into blocks: a row for each pair of blocks that a member is in.
+
+    In a group of more than ``block`` members, components of as many have blocks of their own, which
+    aren't paired with each other; the members of smaller ones share the first blocks.
+    """
+    few, many = members.where(F.col("c") <= block), members.where(F.col("c") > block)
+    small = few.select(key, "id", "component", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"))
+    sizes = many.groupBy(key, "component").agg(F.count("*").alias("size")).withColumn("large", F.col("size") >= block)
+    blocks = F.ceil(F.col("size") / block)
+    total = sizes.groupBy(key).agg(F.ceil(F.coalesce(F.sum(F.when(~F.col("large"), F.col("size"))), F.lit(0)) / block).cast("int").alias("shared"), F.coalesce(F.sum(F.when(F.col("large"), blocks)), F.lit(0)).cast("int").alias("others"))
+    before = Window.partitionBy(key).orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    large = sizes.where("large").select(key, "component", blocks.cast("int").alias("blocks"), F.coalesce(F.sum(blocks).over(before), F.lit(0)).cast("int").alias("begin"))
+    own = many.join(total, key).join(large, [key, "component"], "left")
+    begin = F.when(F.col("blocks").isNull(), 0).otherwise(F.col("shared") + F.col("begin"))
+    own = own.withColumn("begin", begin).withColumn("n", F.coalesce("blocks", "shared")).withColumn("own", F.col("begin") + F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    to = F.filter(F.sequence(F.lit(0), F.col("shared") + F.col("others") - 1), lambda o: F.col("blocks").isNull() | (o < F.col("begin")) | (o >= F.col("begin") + F.col("n")))
+    other = F.transform(to, lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side")))
+    return small.unionByName(own.select(key, "id", "component", F.inline(other)))
 
 
 class NearDuplicates:
@@ -280,9 +293,9 @@ class NearDuplicates:
         """Of buckets with several components (key, id, component, c): the ids that have a close untested partner in another one."""
         known = self.classes.select("id", "sig").join(tried.withColumnRenamed("to", "tried"), "id", "left").fillna(-1, ["tried"])
         # many small buckets share a group, the blocks of large ones are spread
-        bins = max(1, -(-members.count() // GROUP_ROWS))
-        rows = _dealt(members, "key", SIGNATURES).join(known, "id")
-        return rows.groupBy(F.pmod(F.xxhash64("key", "x", "y"), F.lit(bins))).applyInPandas(_across, "id long").distinct()
+        dealt = _dealt(members, "key", SIGNATURES)
+        bins = max(1, -(-dealt.count() // GROUP_ROWS))
+        return dealt.join(known, "id").groupBy(F.pmod(F.xxhash64("key", "x", "y"), F.lit(bins))).applyInPandas(_across, "id long").distinct()
 
     def _rest(self, members: DataFrame) -> DataFrame:
         """Links among sets that still have a close partner in another component, of whole bucket clusters."""

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
+import pandas as pd
 import pytest
 from helpers import DATA, HAVE_DATA, documents, prose
 from test_llm_shuffles import plain_removal
 
-from ledgerloom.llm import html, pii, substrings
+from ledgerloom.llm import html, near_dedup, pii, substrings
 
 PARAGRAPH = "A long paragraph of the page's own text, of many words, so that its ratio is high and it stands out among all the other lines."
 
@@ -103,3 +105,32 @@ def test_copies_open_no_more_contexts(spark, monkeypatch):
     assert emitted[0] == emitted[1] > 0
     # the bucket is as hot as its contexts are many, not as its copies
     assert contexts(60, 50) == emitted[0]
+
+
+def bucket(spark, sizes, key=1):
+    of = [c for c, n in enumerate(sizes) for _ in range(n)]
+    return [(key, 1000 * key + i, 1000 * key + c, len(of)) for i, c in enumerate(of)]
+
+
+def test_blocks_pair_components_only(spark):
+    rows = [x for k, sizes in enumerate([[600, 1], [40, 25, 3, 1, 1, 1], [1] * 35, [30, 30], [5, 2]]) for x in bucket(spark, sizes, k)]
+    dealt = near_dedup._dealt(spark.createDataFrame(rows, "key long, id long, component long, c long"), "key", 10).collect()
+    groups = {}
+    for r in dealt:
+        groups.setdefault((r["key"], r["x"], r["y"]), ([], []))[r["side"]].append(r["id"])
+    met = {frozenset(p) for (_, x, y), (a, b) in groups.items() for p in (itertools.combinations(a, 2) if x == y else itertools.product(a, b))}
+    for a, b in itertools.combinations(rows, 2):
+        assert a[0] != b[0] or a[2] == b[2] or frozenset((a[1], b[1])) in met
+    # one stray against the blocks of a large component, which meet nothing else
+    assert sum(r["key"] == 0 for r in dealt) == 600 + 61
+
+
+def test_signature_groups_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SIGNATURES", 10)
+    monkeypatch.setattr(near_dedup, "GROUP_ROWS", 20)
+    monkeypatch.setattr(near_dedup, "_across", lambda group: pd.DataFrame({"id": [len(group)]}))
+    found = object.__new__(near_dedup.NearDuplicates)
+    rows = bucket(spark, [1] * 200)
+    found.classes = spark.createDataFrame([(r[1], b"x") for r in rows], "id long, sig binary")
+    sizes = found._close(spark.createDataFrame(rows, "key long, id long, component long, c long"), spark.createDataFrame([], "id long, to long"))
+    assert max(r["id"] for r in sizes.collect()) <= 200
