@@ -62,9 +62,9 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 
 def annotate(docs: DataFrame, text_col: str, make: Callable[[], Callable], out: T.StructType, name: str, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with a struct column ``name`` computed from each text, without a shuffle.
+    """``docs`` with a struct column ``name`` computed from each text (or list of numbers), without a shuffle.
 
-    ``make`` runs once per task and gives a function from a list of texts (None for null) to a list
+    ``make`` runs once per task and gives a function from a list of values (None for null) to a list
     of rows or an Arrow struct array. Only the columns of ``keep`` (default: all) are sent back.
     """
     import pyarrow as pa
@@ -79,7 +79,8 @@ def annotate(docs: DataFrame, text_col: str, make: Callable[[], Callable], out:
         fn = make()
         for batch in batches:
             column = batch.column(at)
-            sizes = [n or 0 for n in pc.binary_length(column).to_pylist()]
+            listed = pa.types.is_list(column.type)
+            sizes = [(n or 0) * (8 if listed else 1) for n in (pc.list_value_length if listed else pc.binary_length)(column).to_pylist()]
             i = 0
             while i < len(sizes):
                 j, total = i + 1, sizes[i]

@@ -126,8 +126,12 @@ def test_bpe(spark):
     rng = random.Random(1)
     parts = [*"ab'sTt .\n\t  éß#|<>19,-", " ", "　", "​", "字", "😀", "<|endoftext|>", "'ll", "n't", "\r\n", "the ", "  ", "<|endof", "text|>"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(6000)]
-    for text, row in zip(texts, bpe.encoder(bpe.default_tokenizer())(texts).to_pylist(), strict=True):
-        assert own.encode(text, add_special_tokens=False).ids == row["ids"], text
+    with open(bpe.default_tokenizer(), "rb") as file:
+        codec = bpe.Codec(file.read())
+    for text in texts:
+        ids = own.encode(text, add_special_tokens=False).ids
+        assert [int(i) for part in codec.encode(text) for i in part] == ids, text
+        assert "".join(codec.decode([ids[:7], ids[7:]])) == own.decode(ids, skip_special_tokens=False)
     rows = edge_rows(rng)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = []
@@ -137,5 +141,29 @@ def test_bpe(spark):
     docs = documents(spark, rows, extra=True)
     assert got(bpe.digests(docs), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
     assert bpe.digests(docs.limit(0)).isEmpty()
-    kept = bpe.encode_bpe(docs.withColumn("bpe2", F.lit(1)), keep=["doc_id", "bpe"], name="coded")
-    assert kept.columns == ["doc_id", "bpe", "coded"]
+    kept = bpe.encode_bpe(docs.withColumn("bpe2", F.lit(1)), keep=["doc_id", "bpe", "text"], name="coded")
+    assert kept.columns == ["doc_id", "bpe", "text", "coded"]
+    back = bpe.decode_bpe(kept.select("text", F.col("coded.ids").alias("ids")), "ids", keep=["text"])
+    assert back.where("coalesce(text, '') <> decoded.text").isEmpty()
+
+
+def test_bpe_slices_and_cache(monkeypatch):
+    """Slices, calls and caches of any size give the same ids; one token of megabytes is encoded whole."""
+    import tokenizers
+
+    own = tokenizers.Tokenizer.from_file(bpe.default_tokenizer())
+    rng = random.Random(8)
+    text = prose(rng, 3000) + "x" * 500 + "\n" * 300 + "".join(rng.choice("aé字😀 .") for _ in range(2000))
+    want = own.encode(text, add_special_tokens=False).ids
+    with open(bpe.default_tokenizer(), "rb") as file:
+        content = file.read()
+    for size, cache, at_once in ((1, 1000, 3), (100, 5000, 7), (4096, 1, 100)):
+        monkeypatch.setattr(bpe, "SLICE", size)
+        monkeypatch.setattr(bpe, "CACHE_BYTES", cache)
+        monkeypatch.setattr(bpe, "AT_ONCE", at_once)
+        codec = bpe.Codec(content)
+        assert [int(i) for part in codec.encode(text) for i in part] == want
+        assert len(codec.cache) * 220 <= cache + 1000
+    monkeypatch.undo()
+    long = "".join(rng.choice("ab") for _ in range(1 << 20))
+    assert "".join(codec.decode(codec.encode(long))) == long
