@@ -101,11 +101,11 @@ DISGUISED = {
 
 
 def test_disguised_personal_data():
-    texts = list(DISGUISED)
-    for text, row in zip(texts, pii.finder()(texts), strict=True):
-        assert [(s["kind"], text[s["start"] : s["end"]]) for s in row["spans"]] == [DISGUISED[text]], text
+    find = pii.Finder().spans
+    for text, want in DISGUISED.items():
+        assert [(pii.KINDS[k], text[a:b]) for a, k, b, base in find(text) if not base] == [want], text
     clean = ["see me at home. Then dot com", "meet at noon.It", "one two three", "un deux trois quatre cinq six", "the 1.2 at 3.4 of a", "пример текста о доме"]
-    assert all(not r["spans"] for r in pii.finder()(clean))
+    assert not any(map(find, clean))
 
 
 def test_masking_and_edges(spark):
