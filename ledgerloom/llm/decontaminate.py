@@ -1,20 +1,22 @@
 """Benchmark passages in documents, found by Wu-Manber search over words.
 
-Texts become sequences of word numbers; words that no benchmark item has share the number 0. The
-patterns are the items' windows of ten consecutive words (an item of fewer words is one window).
-For each pattern length there are the tables of Wu and Manber: the hash of a block of two words
-gives how far the search may jump (0 if the block ends a pattern), the hash of the last block gives
-a bucket of patterns, and each pattern of the bucket is compared with the text word by word. Many
-positions of many texts advance together as array operations.
-
-Only the benchmark is sent to the executors: items are dealt into blocks of at most
-``BLOCK_BYTES`` by their measured size, and the documents pass one block after the other in the
-same stage, so that a benchmark of any size is searched and nothing is shuffled.
+Texts become sequences of word hashes. The patterns are the items' windows of ten consecutive words
+(an item of fewer words is one window). For each pattern length there are the tables of Wu and
+Manber: the hash of a block of two words gives how far the search may jump (0 if the block ends a
+pattern), the hash of the suffix that ends there gives a bucket of patterns, and the words of each
+pattern of the bucket are compared with those of the text. Many positions of many texts advance
+together as array operations.
+
+Only the benchmark is sent to the executors, in blocks of at most ``BLOCK_BYTES`` of item text by
+measured size: normalised text, word offsets and sorted suffix hashes, about five bytes for one of
+text. There is one pass over the documents for each block, and one block in a worker at a time;
+between passes the documents are written to the shared folder. A benchmark of one block, the usual
+case, is one pass and nothing is written or shuffled.
 
 Defined cases: null text or text without words has no words and no hits; null item texts have no
 windows; windows of an item with null id hit words but name no item; repeated items count once per
 id; repeated documents are each searched for themselves; whole texts are searched; other columns are
-kept or not read.
+kept or not read; an item longer than a block is a block of its own.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, free_name, table
+from .common import annotate, free_name, stored, table
 
 WINDOW = 10
 #: Bytes of item text in one block of patterns.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+#: Hashes of words that a task remembers.
+_WORDS_KEPT = 150_000
 _TABLE = 1 << 20
 _SEGMENT = 512
 HITS = T.StructType([
@@ -45,36 +49,62 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(WORD_BYTES).split()
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def _odd(m: int):
+    """The multipliers of the words of a suffix of length ``m``."""
+    import numpy as np
+
+    rng = np.random.Generator(np.random.PCG64(m))
+    return rng.integers(0, 2**63, m, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _suffix(hashes, first, odd):
+    """Hashes of the suffixes that begin at the words ``first``."""
+    import numpy as np
+
+    out = np.zeros(len(first), np.uint64)
+    for j in range(len(odd)):
+        out += (hashes[first + j] ^ (hashes[first + j] >> np.uint64(31))) * odd[j]
+    return out ^ (out >> np.uint64(29))
+
+
 class _Length:
-    """Tables for all patterns of one length."""
+    """Tables for all patterns of one length: sorted suffix hashes, the first word of each pattern, the items of each."""
 
-    def __init__(self, patterns, m: int):
+    def __init__(self, hashes, first, owner, m: int):
         import numpy as np
 
-        self.m, self.block = m, min(2, m)
-        self.patterns = patterns  # (k, m) word numbers
-        ends = self._hash(patterns)
-        shift = np.full(_TABLE, m - self.block + 1, np.int64)
+        self.m, self.block, self.odd = m, min(2, m), _odd(m)
+        shift = np.full(_TABLE, m - self.block + 1, np.uint8)
         for j in range(self.block - 1, m):
-            np.minimum.at(shift, self._block(patterns, j), m - 1 - j)
+            spots = self._mix(hashes, first + j)
+            shift[spots] = np.minimum(shift[spots], m - 1 - j)
         self.shift = shift
-        self.order = np.argsort(ends, kind="stable")
-        self.first = np.searchsorted(ends[self.order], np.arange(_TABLE + 1)).astype(np.int64)
-
-    def _mix(self, first, last):
+        keys = _suffix(hashes, first, self.odd)
+        order = np.argsort(keys, kind="stable")
+        keys, first, owner = keys[order], first[order], owner[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        for j in range(m):  # patterns of one hash but different words are apart
+            fresh[1:] |= hashes[first[1:] + j] != hashes[first[:-1] + j]
+        begins = np.flatnonzero(fresh)
+        self.keys, self.first, self.owner, self.owners = keys[begins], first[begins].astype(np.int32), owner.astype(np.int32), np.append(begins, len(keys)).astype(np.int32)
+
+    def _mix(self, hashes, last):
         import numpy as np
 
-        x = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.astype(np.uint64)
+        x = hashes[last - self.block + 1] * np.uint64(0x9E3779B97F4A7C15) + hashes[last]
         return ((x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.int64)
 
-    def _block(self, rows, j):
-        return self._mix(rows[:, j - self.block + 1], rows[:, j])
-
-    def _hash(self, rows):
-        return self._block(rows, self.m - 1)
-
-    def find(self, words, starts, ends):
-        """Pairs (position of first word, pattern) in the texts ``words[start:end]``."""
+    def find(self, hashes, starts, ends):
+        """Pairs (position of first word, pattern) in the texts ``hashes[start:end]`` whose suffix hashes agree."""
         import numpy as np
 
         m = self.m
@@ -86,68 +116,85 @@ class _Length:
         nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         at = lows[text] + nth * _SEGMENT
         stop = np.minimum(at + _SEGMENT, highs[text])
-        spots, kinds = [], []
+        spots, kinds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(at):
-            h = self._mix(words[at - self.block + 1], words[at])
-            jump = self.shift[h]
-            hit = jump == 0
-            if hit.any():
-                self._confirm(words, at[hit], h[hit], spots, kinds)
+            jump = self.shift[self._mix(hashes, at)].astype(np.int64)
+            hit = at[jump == 0] - m + 1
+            if len(hit):
+                own = _suffix(hashes, hit, self.odd)
+                slot = np.searchsorted(self.keys, own)
+                while True:
+                    same = slot < len(self.keys)
+                    same[same] = self.keys[slot[same]] == own[same]
+                    if not same.any():
+                        break
+                    hit, own, slot = hit[same], own[same], slot[same]
+                    spots.append(hit)
+                    kinds.append(slot)
+                    slot = slot + 1
             at = at + np.maximum(jump, 1)
             alive = at < stop
             at, stop = at[alive], stop[alive]
-        empty = np.zeros(0, np.int64)
-        return (np.concatenate(spots), np.concatenate(kinds)) if spots else (empty, empty)
+        return np.concatenate(spots), np.concatenate(kinds)
+
 
-    def _confirm(self, words, at, h, spots, kinds):
+class Patterns:
+    """A block of items (id, text), to be sent to the executors and searched for."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         import numpy as np
 
-        slot, last = self.first[h], self.first[h + 1]
-        while len(at):
-            alive = slot < last
-            at, slot, last = at[alive], slot[alive], last[alive]
-            pattern = self.order[slot]
-            same = np.ones(len(at), bool)
-            for j in range(self.m - 1, -1, -1):
-                same[same] = words[at[same] - self.m + 1 + j] == self.patterns[pattern[same], j]
-                if not same.any():
-                    break
-            spots.append(at[same] - self.m + 1)
-            kinds.append(pattern[same])
-            slot = slot + 1
-
-
-def searcher(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> Callable:
-    """A function from texts to rows of HITS for these items (id, text)."""
+        import xxhash
+
+        self.ids = sorted({item for item, _ in items if item is not None})
+        number = {item: i for i, item in enumerate(self.ids)}
+        parts, sizes, owner = [], [], []
+        for item, text in items:
+            if words := words_of(text):
+                parts += words
+                sizes.append(len(words))
+                owner.append(number.get(item, -1))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+        self.text, self.offsets = b" ".join(parts), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        n = np.array(sizes, np.int64)
+        begins, m, of = np.cumsum(n) - n, np.minimum(n, window), np.array(owner, np.int64)
+        self.lengths = []
+        for length in np.unique(m):
+            some = np.flatnonzero(m == length)
+            count = n[some] - length + 1
+            first = np.repeat(begins[some] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            self.lengths.append(_Length(hashes, first, np.repeat(of[some], count), int(length)))
+
+    def words(self, first: int, m: int) -> bytes:
+        return self.text[self.offsets[first] : self.offsets[first + m] - 1]
+
+
+def searcher(patterns: Patterns) -> Callable:
+    """A function from texts to rows of HITS."""
     import numpy as np
 
-    number: dict[bytes, int] = {}
-    owners: dict[tuple[int, ...], set[str]] = {}
-    for item, text in items:
-        ids = [number.setdefault(w, len(number) + 1) for w in words_of(text)]
-        for i in range(max(1, len(ids) - window + 1) if ids else 0):
-            own = owners.setdefault(tuple(ids[i : i + window]), set())
-            if item is not None:
-                own.add(item)
-    by_length: dict[int, list[tuple[int, ...]]] = {}
-    for pattern in owners:
-        by_length.setdefault(len(pattern), []).append(pattern)
-    lengths = [(m, _Length(np.array(ps, np.int64), m), [owners[p] for p in ps]) for m, ps in sorted(by_length.items())]
+    known = _Hashes()
 
     def search(texts):
-        get, split = number.get, [words_of(t) for t in texts]
+        split = [words_of(t) for t in texts]
         ends = np.cumsum([len(w) for w in split]).astype(np.int64) if split else np.zeros(0, np.int64)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        words = np.array([get(w, 0) for ws in split for w in ws], np.int64)
+        if len(known) > _WORDS_KEPT:
+            known.clear()
+        hashes = np.fromiter((known[w] for ws in split for w in ws), np.uint64, int(ends[-1]) if len(ends) else 0)
         spans: list[list[list[int]]] = [[] for _ in texts]
-        names: list[set[str]] = [set() for _ in texts]
-        for m, tables, own in lengths:
-            spots, kinds = tables.find(words, starts, ends)
+        names: list[set[int]] = [set() for _ in texts]
+        for tables in patterns.lengths:
+            m, firsts, owner, owners = tables.m, tables.first, tables.owner, tables.owners
+            spots, kinds = tables.find(hashes, starts, ends)
             doc = np.searchsorted(ends, spots, side="right")
-            for d, s, k in zip(doc.tolist(), (spots - starts[doc]).tolist() if len(doc) else [], kinds.tolist(), strict=True):
-                spans[d].append([s, s + m])
-                names[d] |= own[k]
-        return [{"n_words": len(w), "spans": merged(s), "items": sorted(x)} for w, s, x in zip(split, spans, names, strict=True)]
+            order = np.argsort(doc, kind="stable")  # of a text one window may occur many times
+            for d, s, k in zip(doc[order].tolist(), (spots - starts[doc])[order].tolist() if len(doc) else [], kinds[order].tolist(), strict=True):
+                if b" ".join(split[d][s : s + m]) == patterns.words(firsts[k], m):
+                    spans[d].append([s, s + m])
+                    names[d].update(owner[owners[k] : owners[k + 1]].tolist())
+        return [{"n_words": len(w), "spans": merged(s), "items": sorted(patterns.ids[i] for i in x if i >= 0)} for w, s, x in zip(split, spans, names, strict=True)]
 
     return search
 
@@ -172,7 +219,7 @@ def _n_hit(spans: list[Column]) -> Column:
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", name: str = "hits", keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` (columns ``keep``) with a struct ``name``: n_words, n_hit, items, spans.
+    """``docs`` (columns ``keep``) with a struct ``name``: n_words, n_hit, items, spans; a pass for each block of items.
 
     spans: per block of items, the hit runs of words as [first, after last]; items: ids as strings.
     """
@@ -183,10 +230,13 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     deal = F.pmod(F.xxhash64("item", "text"), F.lit(n))
     out, added = docs, []
     for i in range(n):
-        own = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.where(deal == i).collect()])
+        patterns = Patterns([tuple(r) for r in items.where(deal == i).collect()], window)
+        own = docs.sparkSession.sparkContext.broadcast(patterns)
         added.append(free_name(out, f"{name}_{i}"))
         last = i == n - 1
-        out = annotate(out, text_col, lambda own=own: searcher(own.value, window), HITS, added[-1], [*keep, *added[:-1]] if last else [*docs.columns, *added[:-1]])
+        columns = list(dict.fromkeys([*keep, *added[:-1]] if last else [*keep, text_col, *added[:-1]]))
+        out = annotate(out, text_col, lambda own=own: searcher(own.value), HITS, added[-1], columns)
+        out = out if last else stored(out, "hits")
     spans = [F.col(f"`{a}`.spans") for a in added]
     hits = F.struct(
         F.col(f"`{added[0]}`.n_words").alias("n_words"),
