@@ -1,7 +1,8 @@
 """Near-duplicate documents by MinHash signatures, banding and verified links.
 
-1. A document is its set of distinct word shingles, as 64-bit hashes. Documents with equal sets form
-   a class, whose least id stands for it; from then on only class representatives count.
+1. A document (a row, whatever its id) is its set of distinct word shingles, as 64-bit hashes.
+   Documents with equal sets form a class with a number of its own; from then on only classes count,
+   and the least document id of each component is looked up at the end.
 2. ``BANDS * ROWS`` universal hash functions give each set its minima; equal minima in all rows of a
    band put two sets into one bucket. At similarity 0.8 a pair misses all buckets with probability
    3e-6.
@@ -11,12 +12,14 @@
    exactly, all with all of their cluster of buckets across components, in blocks that give back
    links only. Pairs inside one component need no test, as they cannot change the result; no other
    close pair of a bucket stays untested, and no pairs are written out.
-4. A link is verified on the full shingle sets.
+4. A link is verified on the full shingle sets. Before that, pairs are dropped of which fewer than
+   ``LEAST_AGREEING`` minima agree (``least=0`` turns that off and decides every pair on full sets).
 5. Components: alternating large-star and small-star.
 
 Defined cases: null text and text without words have an empty set and are linked with nothing; fewer
-words than a shingle are one shingle; repeated rows have the same class; a null id never stands for
-a class and gets a null component; other columns are not read; an empty table gives no rows.
+words than a shingle are one shingle; repeated rows have the same class, rows of one id with
+different texts are documents of their own; a null id never stands for a class and gets a null
+component; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ BANDS, ROWS = 32, 5
 PERCENT = 80
 #: A pair is dropped if fewer minima agree; at similarity 0.8 that is 6 standard deviations off.
 LEAST_AGREEING = int(0.61 * BANDS * ROWS)
-#: Sets of a bucket whose signatures are compared at once, and sets of a cluster that are compared whole.
-SIGNATURES, SETS = 2048, 512
+#: Sets of a bucket whose signatures are compared at once, and sets of a cluster, with so many hashes in all, that are compared whole.
+SIGNATURES, SETS, SET_HASHES = 2048, 512, 1 << 20
 #: Dealt members (of one pair of blocks, or of many small buckets) that one group of the signature comparison holds on average.
 GROUP_ROWS = 2000
 _WORDS_KEPT = 150_000
@@ -131,15 +134,19 @@ def set_maker(size: int) -> Callable:
     return lambda texts: [{"hashes": shingles(t).tobytes()} for t in texts]
 
 
-def _agree(batches):
-    """Pairs (a, b, sa, sb) whose signatures agree enough: (a, b)."""
-    import numpy as np
+def _agree(least: int) -> Callable:
+    """Of pairs (a, b, sa, sb) those whose signatures agree enough: (a, b)."""
+
+    def run(batches):
+        import numpy as np
 
-    for p in batches:
-        if len(p):
-            sa = np.frombuffer(b"".join(p["sa"]), np.uint16).reshape(len(p), -1)
-            sb = np.frombuffer(b"".join(p["sb"]), np.uint16).reshape(len(p), -1)
-            yield p.loc[(sa == sb).sum(axis=1) >= LEAST_AGREEING, ["a", "b"]]
+        for p in batches:
+            if len(p):
+                sa = np.frombuffer(b"".join(p["sa"]), np.uint16).reshape(len(p), -1)
+                sb = np.frombuffer(b"".join(p["sb"]), np.uint16).reshape(len(p), -1)
+                yield p.loc[(sa == sb).sum(axis=1) >= least, ["a", "b"]]
+
+    return run
 
 
 def _similar(percent: int) -> Callable:
@@ -163,25 +170,29 @@ def _blocks(key: Any, group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     return left, left if right.empty else right
 
 
-def _across(group: pd.DataFrame) -> pd.DataFrame:
+def _across(least: int) -> Callable:
     """The sets of each pair of blocks (key, x, y) that have an untested partner of another component whose signature agrees enough."""
-    import numpy as np
 
-    g = group.sort_values(["key", "x", "y", "side"])
-    sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), -1)
-    ids, of, side, tried = (g[c].to_numpy() for c in ("id", "component", "side", "tried"))
-    names = g[["key", "x", "y"]].to_numpy()
-    begins = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1)])
-    close = np.zeros(len(g), bool)
-    for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(g)], strict=True):
-        mid = lo + int(np.searchsorted(side[lo:hi], 1))
-        first = mid if mid < hi else lo
-        for k in range(lo, mid):
-            n = (sig[first:hi] == sig[k]).sum(axis=1)
-            near = (n >= LEAST_AGREEING) & (of[first:hi] != of[k]) & (ids[first:hi] != tried[k]) & (tried[first:hi] != ids[k])
-            close[k] |= near.any()
-            close[first:hi] |= near
-    return pd.DataFrame({"id": np.unique(ids[close])})
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        g = group.sort_values(["key", "x", "y", "side"])
+        sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), -1)
+        ids, of, side, tried = (g[c].to_numpy() for c in ("id", "component", "side", "tried"))
+        names = g[["key", "x", "y"]].to_numpy()
+        begins = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1)])
+        close = np.zeros(len(g), bool)
+        for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(g)], strict=True):
+            mid = lo + int(np.searchsorted(side[lo:hi], 1))
+            first = mid if mid < hi else lo
+            for k in range(lo, mid):
+                n = (sig[first:hi] == sig[k]).sum(axis=1)
+                near = (n >= least) & (of[first:hi] != of[k]) & (ids[first:hi] != tried[k]) & (tried[first:hi] != ids[k])
+                close[k] |= near.any()
+                close[first:hi] |= near
+        return pd.DataFrame({"id": np.unique(ids[close])})
+
+    return run
 
 
 def _exact(percent: int) -> Callable:
@@ -221,14 +232,14 @@ def _pairs(proposed: DataFrame) -> DataFrame:
 
 
 def _dealt(members: DataFrame, key: str, block: int) -> DataFrame:
-    """Members (key, id, component, c in all) of a group dealt into blocks: a row for each pair of blocks that a member is in.
+    """Members (key, id, component, weight, c: weight of all) of a group dealt into blocks: a row for each pair of blocks that a member is in.
 
-    In a group of more than ``block`` members, components of as many have blocks of their own, which
+    In a group that weighs more than ``block``, components of as much have blocks of their own, which
     aren't paired with each other; the members of smaller ones share the first blocks.
     """
     few, many = members.where(F.col("c") <= block), members.where(F.col("c") > block)
     small = few.select(key, "id", "component", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"))
-    sizes = many.groupBy(key, "component").agg(F.count("*").alias("size")).withColumn("large", F.col("size") >= block)
+    sizes = many.groupBy(key, "component").agg(F.sum("weight").alias("size")).withColumn("large", F.col("size") >= block)
     blocks = F.ceil(F.col("size") / block)
     total = sizes.groupBy(key).agg(F.ceil(F.coalesce(F.sum(F.when(~F.col("large"), F.col("size"))), F.lit(0)) / block).cast("int").alias("shared"), F.coalesce(F.sum(F.when(F.col("large"), blocks)), F.lit(0)).cast("int").alias("others"))
     before = Window.partitionBy(key).orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
@@ -244,17 +255,22 @@ def _dealt(members: DataFrame, key: str, block: int) -> DataFrame:
 class NearDuplicates:
     """Classes and components of the documents; see the module's text."""
 
-    def __init__(self, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str):
-        self.size, self.percent = size, percent
-        self.docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-        sketched = annotate(self.docs, "text", lambda: sketcher(size), SKETCH, "s", ["id"])
-        self.rows = cut(sketched.select("id", "s.*"))
-        known = self.rows.where("n > 0 and id is not null")
-        self.classes = cut(known.groupBy("same").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    def __init__(self, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, least: int = LEAST_AGREEING):
+        self.size, self.percent, self.least = size, percent, least
+        text = F.col(f"`{text_col}`")
+        self.docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(text).alias("digest"), text.alias("text"))
+        sketched = annotate(self.docs, "text", lambda: sketcher(size), SKETCH, "s", ["doc", "digest"])
+        self.rows = cut(sketched.select("doc", "digest", "s.*"))
+        known = self.rows.where("n > 0 and doc is not null").groupBy("same").agg(F.min(F.struct("doc", "digest")).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+        # the numbers hold from here on, as later steps read what was written
+        self.classes = cut(known.select(F.monotonically_increasing_id().alias("id"), "same", F.col("first.doc").alias("doc"), F.col("first.digest").alias("digest"), "sig", "bands", "n"))
 
     def buckets(self) -> DataFrame:
-        """key, id, popularity: the buckets with two sets at least."""
-        each = self.classes.select("id", F.explode("bands").alias("key")).repartition("key")
+        """key, id, popularity: the buckets with two sets at least.
+
+        Members of a bucket are counted before the shuffle, and a hot bucket's may be split in the join.
+        """
+        each = self.classes.select("id", F.explode("bands").alias("key"))
         filled = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
         shared = cut(each.join(filled, "key"))
         return shared.select("key", "id").join(shared.groupBy("id").agg(F.sum("c").alias("popularity")), "id")
@@ -262,12 +278,13 @@ class NearDuplicates:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
         sig = self.classes.select("id", "sig")
-        close = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").mapInPandas(_agree, "a long, b long")
+        close = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").mapInPandas(_agree(self.least), "a long, b long")
         return self.confirmed(cut(close))
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """id and hashes: the shingle sets of these ids."""
-        own = maybe_in(self.docs.where("id is not null"), F.col("id"), ids, "id").join(ids, "id", "left_semi").dropDuplicates(["id"])
+        """id and hashes: the shingle sets of these classes, from the text of one document of each."""
+        wanted = self.classes.join(ids, "id", "left_semi").select("id", "doc", "digest")
+        own = maybe_in(self.docs.where("doc is not null"), F.col("digest"), wanted, "digest").join(wanted, ["doc", "digest"]).dropDuplicates(["id"])
         size = self.size
         return annotate(own, "text", lambda: set_maker(size), SET, "s", ["id"]).select("id", "s.hashes")
 
@@ -293,49 +310,58 @@ class NearDuplicates:
         """Of buckets with several components (key, id, component, c): the ids that have a close untested partner in another one."""
         known = self.classes.select("id", "sig").join(tried.withColumnRenamed("to", "tried"), "id", "left").fillna(-1, ["tried"])
         # many small buckets share a group, the blocks of large ones are spread
-        dealt = _dealt(members, "key", SIGNATURES)
+        dealt = _dealt(members.withColumn("weight", F.lit(1)), "key", SIGNATURES)
         bins = max(1, -(-dealt.count() // GROUP_ROWS))
-        return dealt.join(known, "id").groupBy(F.pmod(F.xxhash64("key", "x", "y"), F.lit(bins))).applyInPandas(_across, "id long").distinct()
+        return dealt.join(known, "id").groupBy(F.pmod(F.xxhash64("key", "x", "y"), F.lit(bins))).applyInPandas(_across(self.least), "id long").distinct()
 
     def _rest(self, members: DataFrame) -> DataFrame:
         """Links among sets that still have a close partner in another component, of whole bucket clusters."""
         members = cut(members)
         lead = members.groupBy("key").agg(F.min("id").alias("lead"))
         cluster = components(members.join(lead, "key").select(F.col("id").alias("a"), F.col("lead").alias("b"))).toDF("id", "key")
-        sized = members.select("id", "component").distinct().join(cluster, "id")
-        sized = cut(sized.join(sized.groupBy("key").agg(F.count("*").alias("c")), "key"))
-        rows = _dealt(sized, "key", SETS).join(self.sets(sized.select("id")), "id")
+        sized = members.select("id", "component").distinct().join(cluster, "id").join(self.classes.select("id", "n"), "id")
+        sized = sized.select("key", "id", "component", (F.col("n") + SET_HASHES // SETS).alias("weight"))
+        sized = cut(sized.join(sized.groupBy("key").agg(F.sum("weight").alias("c")), "key"))
+        rows = _dealt(sized, "key", SET_HASHES).join(self.sets(sized.select("id")), "id")
         return cut(rows.groupBy("key", "x", "y").applyInPandas(_exact(self.percent), "a long, b long").distinct())
 
     def result(self) -> DataFrame:
-        """id, n, component per document row."""
-        of = components(self.links()).toDF("rep", "component")
-        reps = self.classes.select("same", F.col("id").alias("rep")).join(of, "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
-        own = self.rows.select("id", "n", "same").join(reps, "same", "left")
-        return own.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+        """id, digest, n, component per document row."""
+        of = components(self.links()).withColumnRenamed("node", "id")
+        own = self.classes.select("id", "same", "doc").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        least = own.groupBy("component").agg(F.min("doc").alias("least"))
+        reps = own.join(least, "component").select("same", "least")
+        found = self.rows.select("doc", "digest", "n", "same").join(reps, "same", "left")
+        return found.select(F.col("doc").alias("id"), "digest", "n", F.when(F.col("doc").isNotNull(), F.coalesce("least", "doc")).alias("component"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_AGREEING) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
-    found = NearDuplicates(docs, size, percent, id_col, text_col).result()
+    found = NearDuplicates(docs, size, percent, id_col, text_col, least).result()
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the least id.
 
-    Of repeated rows with the same id and text one stays; rows without words or id all stay. Only
-    rows that may have to go are shuffled.
+    Of rows with the same id in one component the one with the least text hash stays, of repeated
+    ones with the same id and text one; rows without words or id all stay. Only rows that may have
+    to go are shuffled.
     """
     found = cut(NearDuplicates(docs, size, percent, id_col, text_col).result().where("n > 0 and id is not null"))
-    gone = found.where("id <> component").select("id").distinct()
-    again = found.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
-    mark, same = free_name(docs, "odd"), free_name(docs, "same")
-    flagged = marked(docs, F.col(f"`{id_col}`").cast("long"), gone.union(again), "id", mark)
+    stays = found.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first"), F.count("*").alias("c"))
+    joined = found.join(stays, "component")
+    odd_rows = joined.where("c > 1").select("id", "digest", (F.struct("id", "digest") == F.col("first")).alias("stays")).distinct()
+    mark, digest, flag = free_name(docs, "odd"), free_name(docs, "digest"), free_name(docs, "stays")
+    key = F.col(f"`{id_col}`").cast("long")
+    # rows that have to go, and those that stay once
+    flagged = marked(docs.withColumn(digest, F.xxhash64(f"`{text_col}`")), F.xxhash64(key, F.col(digest)), odd_rows.select(F.xxhash64("id", "digest").alias("both")), "both", mark)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    odd = flagged.where(mark).withColumn(same, F.xxhash64(f"`{text_col}`"))
-    odd = odd.join(gone.withColumnRenamed("id", mark + "id"), F.col(f"`{id_col}`").cast("long") == F.col(mark + "id"), "left_anti").dropDuplicates([id_col, same])
-    return flagged.where(~F.col(mark)).select(*columns).unionByName(odd.select(*columns))
+    own = odd_rows.select(F.col("id").alias(mark + "id"), F.col("digest").alias(digest + "id"), F.col("stays").alias(flag))
+    odd = flagged.where(mark).join(own, (key == F.col(mark + "id")) & (F.col(digest) == F.col(digest + "id")), "left")
+    once = odd.where(F.col(flag)).dropDuplicates([mark + "id", digest + "id"])
+    rest = odd.where(F.col(flag).isNull())
+    return flagged.where(~F.col(mark)).select(*columns).unionByName(rest.select(*columns)).unionByName(once.select(*columns))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

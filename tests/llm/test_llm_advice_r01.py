@@ -113,7 +113,7 @@ def bucket(spark, sizes, key=1):
 
 def test_blocks_pair_components_only(spark):
     rows = [x for k, sizes in enumerate([[600, 1], [40, 25, 3, 1, 1, 1], [1] * 35, [30, 30], [5, 2]]) for x in bucket(spark, sizes, k)]
-    dealt = near_dedup._dealt(spark.createDataFrame(rows, "key long, id long, component long, c long"), "key", 10).collect()
+    dealt = near_dedup._dealt(spark.createDataFrame(rows, "key long, id long, component long, c long").selectExpr("*", "1 as weight"), "key", 10).collect()
     groups = {}
     for r in dealt:
         groups.setdefault((r["key"], r["x"], r["y"]), ([], []))[r["side"]].append(r["id"])
@@ -127,8 +127,9 @@ def test_blocks_pair_components_only(spark):
 def test_signature_groups_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SIGNATURES", 10)
     monkeypatch.setattr(near_dedup, "GROUP_ROWS", 20)
-    monkeypatch.setattr(near_dedup, "_across", lambda group: pd.DataFrame({"id": [len(group)]}))
+    monkeypatch.setattr(near_dedup, "_across", lambda least: lambda group: pd.DataFrame({"id": [len(group)]}))
     found = object.__new__(near_dedup.NearDuplicates)
+    found.least = near_dedup.LEAST_AGREEING
     rows = bucket(spark, [1] * 200)
     found.classes = spark.createDataFrame([(r[1], b"x") for r in rows], "id long, sig binary")
     sizes = found._close(spark.createDataFrame(rows, "key long, id long, component long, c long"), spark.createDataFrame([], "id long, to long"))

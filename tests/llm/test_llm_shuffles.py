@@ -257,8 +257,9 @@ def test_near_duplicates(spark, monkeypatch, size, block):
     if block < 10:
         monkeypatch.setattr(near_dedup, "SIGNATURES", block)
         monkeypatch.setattr(near_dedup, "SETS", block)
+        monkeypatch.setattr(near_dedup, "SET_HASHES", 500)
     docs = documents(spark, rows, extra=True)
-    found = near_dedup.near_duplicates(docs, size)
+    found = near_dedup.near_duplicates(docs, size, least=0 if block < 10 else near_dedup.LEAST_AGREEING)
     want = plain_near(rows, size)
     assert got(found, "doc_id", "n_shingles", "component_id") == want
     kept = near_dedup.keep_one(docs, size)
@@ -268,3 +269,14 @@ def test_near_duplicates(spark, monkeypatch, size, block):
     repeated = len(stay) - len([i for i in stay if i is None]) - len({i for i in stay if i is not None})
     assert len(ids) == len(stay) - repeated and set(ids) == set(stay)
     assert near_dedup.near_duplicates(docs.limit(0), size).isEmpty() and near_dedup.keep_one(docs.limit(0), size).isEmpty()
+
+
+def test_near_duplicates_of_one_id(spark):
+    """Rows of one id with different texts are documents of their own; no link of either is lost."""
+    rng = random.Random(21)
+    a, b = prose(rng, 200), prose(rng, 200)
+    rows = [(5, a), (5, b), (2, a + " x"), (3, b + " y"), (4, prose(rng, 100))]
+    docs = documents(spark, rows)
+    found = got(near_dedup.near_duplicates(docs), "doc_id", "component_id", "kept")
+    assert found == [(2, 2, True), (3, 3, True), (4, 4, True), (5, 2, False), (5, 3, False)]
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(docs).collect()) == [2, 3, 4]
