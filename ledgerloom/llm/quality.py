@@ -5,15 +5,16 @@ rule rejects very short and very repetitive texts. Further rules (``RULES``) rej
 an integer score exceeds a cutoff, and the cutoffs are chosen from labelled documents:
 
 * a stratum is a language; good labelled documents that pass the base rule are its holdout;
-* a cutoff is certified when the exact binomial test rejects "the rule loses at least ``alpha / R``
-  of the good documents", where R is the number of rules, so that all rules together lose less
-  than ``alpha``;
-* cutoffs of a rule are tested from the strictest reject set outwards, and testing stops at the
-  first failure (fixed sequence, no further correction needed); over strata and rules the level is
-  divided by their number (Bonferroni), so all guarantees hold together with probability
-  ``1 - delta``;
-* of the certified cutoffs the one that catches most bad labelled documents is used, and of equals
-  the most lenient one. A stratum with too few labels gets no cutoff, and keeps its documents.
+* the pairs of a rule and a cutoff that reject bad labelled documents are put in an order, by how much
+  more often they reject those than documents without a label. This order knows nothing of the
+  holdout;
+* the pairs join the verdict in this order, one more at each step. A step is certified when the exact
+  binomial test rejects "the rules of this step together lose at least ``alpha`` of the good
+  documents", and the walk ends at the first step that isn't (fixed sequence, so that all rules of a
+  stratum share one level and no further correction is needed for them);
+* over strata the level is divided by the number of those that are large enough to pass at all
+  (Bonferroni with Tarone's count), so all guarantees hold together with probability ``1 - delta``.
+  The last certified step decides; a stratum with too few labels to certify one keeps its documents.
 
 Everything is DataFrame code. The corpus is read once for the counts; what is gathered for the fit
 is one row per stratum, rule and score level, whatever the corpus size.
@@ -106,6 +107,15 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     return counted.select("doc_id", "stratum", "c.*").withColumn("base_failed", base_failed())
 
 
+#: Rows by stratum and rule of so many at most are broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, to be broadcast if they are few by count."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _scored(rows: DataFrame) -> DataFrame:
     """A row per document and rule; level: how many of the rule's cutoffs the score exceeds."""
     rules = [
@@ -128,28 +138,76 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def fit_cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Certified cutoffs: stratum, rule, cutoff, n_good, false_rejections, bad_caught, p_value.
+    """Certified cutoffs: stratum, rule, cutoff, n_good, false_rejections, p_value.
 
-    ``rows`` as from :func:`features`; ``labels``: doc_id and quality (1 good, 0 bad).
+    ``rows`` as from :func:`features`; ``labels``: doc_id and quality (1 good, 0 bad). The last three
+    are those of the whole last certified step of the stratum.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = rows.where("not base_failed").join(known, "doc_id")
-    levels = cut(_scored(held).groupBy("stratum", "rule", "level").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad")))
-    # every level of a rule must be there, so that a cutoff no document reaches can be certified too
+    passed = rows.where("not base_failed")
+    # without a label, the quality is null
+    scored = _scored(passed.select("doc_id", "stratum", *COUNTS, "n_lines").join(known, "doc_id", "left"))
+    levels = cut(scored.groupBy("stratum", "rule", "level").agg(*[F.count(F.when(is_, 1)).alias(name) for name, is_ in (("good", F.col("quality") == 1), ("bad", F.col("quality") == 0), ("other", F.col("quality").isNull()))]))
+    path = cut(_path(levels))
+    # the first step that rejects a good document: the least one among the cutoffs that its scores exceed
+    held = _scored(passed.join(known.where("quality = 1"), "doc_id").withColumn("nth", F.monotonically_increasing_id())).where("level > 0")
+    reached = path.withColumn("first", F.min("step").over(Window.partitionBy("stratum", "rule").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    reached = reached.select(F.col("stratum").alias("of"), F.col("rule").alias("by"), "j", "first")
+    lost = held.join(_small(reached), F.col("stratum").eqNullSafe(F.col("of")) & (F.col("rule") == F.col("by")) & (F.col("level") - 1 == F.col("j")))
+    lost = lost.groupBy("nth", "stratum").agg(F.min("first").alias("first"))
+    at = lost.where("first is not null").groupBy("stratum", "first").agg(F.count("*").alias("lost"))
+    # every document has one level for each rule, so one rule counts the good ones
+    one = next(iter(RULES))
+    goods = levels.where(F.col("rule") == one).groupBy("stratum").agg(F.sum("good").alias("n_good"))
+    n_strata = _tested(goods, alpha, delta)
+    order = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = _joined(path.where("step is not null"), goods)
+    steps = _joined(steps, at.withColumnRenamed("first", "step"), "step")
+    steps = steps.withColumn("false_rejections", F.sum(F.coalesce("lost", F.lit(0))).over(order))
+    steps = steps.withColumn("p_value", F.when(F.col("false_rejections") < alpha * F.col("n_good"), binomial_tail(F.col("false_rejections"), F.col("n_good"), alpha)).otherwise(F.lit(1.0)))
+    certified = steps.withColumn("ok", F.min(F.col("p_value") <= delta / n_strata).over(order)).where("ok")
+    value = F.expr("case rule " + " ".join(f"when '{r}' then {lo} + j * {step}" for r, (_, lo, step, _) in RULES.items()) + " end")
+    last = certified.groupBy("stratum").agg(F.max_by(F.struct("n_good", "false_rejections", "p_value"), "step").alias("last"))
+    best = certified.groupBy("stratum", "rule").agg(F.min(value).alias("cutoff"))
+    return _joined(best, last).select("stratum", "rule", "cutoff", "last.*")
+
+
+def _tested(goods: DataFrame, alpha: float, delta: float) -> int:
+    """By how many strata the level is divided: Tarone's count, which leaves out those that are too small to pass in any case.
+
+    It is the least k for which at most k strata could reach ``delta / k`` without one false rejection.
+    """
+    size = Window.orderBy(F.col("n_good").desc(), "stratum")  # one row for each stratum
+    ranked = goods.where("n_good > 0").select(F.row_number().over(size).alias("k"), F.lead("n_good").over(size).alias("next"))
+    enough = F.col("next").isNull() | (F.pow(F.lit(1 - alpha), F.col("next")) > F.lit(delta) / F.col("k"))
+    return ranked.where(enough).agg(F.min("k")).first()[0] or 1
+
+
+def _joined(rows: DataFrame, more: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with what ``more`` has of their stratum (null is one) and of the other keys."""
+    names = ["stratum", *keys]
+    right = more.select(*[F.col(c).alias(f"of_{c}" if c in names else c) for c in more.columns])
+    on = F.lit(True)
+    for c in names:
+        on = on & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return rows.join(right, on, "left").drop(*[f"of_{c}" for c in names])
+
+
+def _path(levels: DataFrame) -> DataFrame:
+    """All pairs (stratum, rule, j) of a rule and its j-th cutoff; step: the pair's place in the order of its stratum, or null.
+
+    A pair has a place if it rejects bad labelled documents, at a greater share than unlabelled ones.
+    """
     grid = F.expr("case rule " + " ".join(f"when '{r}' then {k}" for r, (_, _, _, k) in RULES.items()) + " end")
-    strata = levels.groupBy("stratum", "rule").agg(F.sum("good").alias("n_good"), F.sort_array(F.collect_list(F.struct("level", "good", "bad"))).alias("seen"))
-    each = strata.select("stratum", "rule", "n_good", "seen", F.explode(F.sequence(F.lit(0).cast("long"), (grid - 1).cast("long"))).alias("j"))
+    seen = levels.groupBy("stratum", "rule").agg(F.sum("bad").alias("n_bad"), F.sum("other").alias("n_other"), F.collect_list(F.struct("level", "bad", "other")).alias("seen"))
+    each = seen.select("*", F.explode(F.sequence(F.lit(0).cast("long"), (grid - 1).cast("long"))).alias("j"))
     total = lambda what: F.aggregate(F.filter("seen", lambda s: s["level"] > F.col("j")), F.lit(0).cast("long"), lambda a, s: a + s[what])
-    each = each.select("stratum", "rule", "n_good", "j", total("good").alias("false_rejections"), total("bad").alias("bad_caught"))
-    risk = alpha / len(RULES)
-    n_strata = max(1, levels.where("good > 0").select("stratum").distinct().count())
-    tested = each.withColumn("p_value", F.when(F.col("false_rejections") < risk * F.col("n_good"), binomial_tail(F.col("false_rejections"), F.col("n_good"), risk)).otherwise(F.lit(1.0)))
-    passed = tested.withColumn("ok", F.col("p_value") <= delta / (n_strata * len(RULES)))
-    order = Window.partitionBy("stratum", "rule").orderBy(F.col("j").desc())
-    certified = passed.withColumn("all_ok", F.min("ok").over(order)).where("all_ok")
-    best = certified.withColumn("rank", F.row_number().over(Window.partitionBy("stratum", "rule").orderBy(F.col("bad_caught").desc(), F.col("j").desc()))).where("rank = 1")
-    cutoff = F.expr("case rule " + " ".join(f"when '{r}' then {lo} + j * {step}" for r, (_, lo, step, _) in RULES.items()) + " end")
-    return best.select("stratum", "rule", cutoff.alias("cutoff"), "n_good", "false_rejections", "bad_caught", "p_value")
+    each = each.select("stratum", "rule", "j", "n_bad", "n_other", total("bad").alias("bad"), total("other").alias("other"))
+    # shares with one unlabelled document more, so that they compare without a division by zero
+    gain = (F.col("bad") / F.col("n_bad")) / ((F.col("other") + 1) / (F.col("n_other") + 1))
+    useful = each.withColumn("gain", F.when(F.col("bad") > 0, gain)).withColumn("useful", F.coalesce(F.col("gain") > 1, F.lit(False)))
+    ranked = useful.withColumn("nth", F.row_number().over(Window.partitionBy("stratum", "useful").orderBy(F.col("gain").desc(), F.col("bad").desc(), "rule", F.col("j").desc())))
+    return ranked.select("stratum", "rule", "j", F.when(F.col("useful"), F.col("nth")).alias("step"))
 
 
 def judge(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -169,18 +227,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     return judge(rows, fit_cutoffs(rows, labels, alpha, delta))
 
 
-#: Cutoffs of so many strata and rules at most are broadcast.
-BROADCAST_ROWS = 100_000
-
-
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they are.
 
     The counts are made twice, once to fit and once to filter, so that no text is shuffled or stored.
     """
-    cutoffs = cut(fit_cutoffs(cut(features(docs, id_col, text_col, stratum)), labels))
-    if cutoffs.count() <= BROADCAST_ROWS:
-        cutoffs = F.broadcast(cutoffs)
+    cutoffs = _small(cut(fit_cutoffs(cut(features(docs, id_col, text_col, stratum)), labels)))
     counted = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{stratum}`").alias("stratum"), text_counts(F.col(f"`{text_col}`")).alias("c"))
     judged = judge(counted.select("row", "stratum", "c.*").withColumn("base_failed", base_failed()), cutoffs)
     return judged.where("kept").select("row.*")
