@@ -28,19 +28,22 @@ def retained(events: DataFrame, cutoff) -> DataFrame:
 def replay_budget(requests: DataFrame, most: int = 300, seconds: int = 60) -> DataFrame:
     """Which requests (request_id, subject, at in seconds) fit their subject's budget.
 
-    A window opens with the first request after the last one closed, so it depends on all before;
-    each subject is folded in time order.
+    A window opens with the first request after the last one closed, so it depends on all before. A
+    subject's requests lie in one partition, in time order, and pass batch by batch; only the
+    window's start and count are carried along.
     """
 
-    def fold(own):
-        own = own.sort_values(["at", "request_id"])
-        start, used, allowed, left = None, 0, [], []
-        for at in own["at"]:
-            if start is None or at >= start + seconds:
-                start, used = at, 0
-            allowed.append(used < most)
-            used += allowed[-1]
-            left.append(most - used)
-        return own.assign(allowed=allowed, remaining=left)[["request_id", "subject", "allowed", "remaining"]]
-
-    return requests.groupBy("subject").applyInPandas(fold, "request_id long, subject long, allowed boolean, remaining long")
+    def fold(batches):
+        subject, start, used = object(), 0, 0
+        for batch in batches:
+            allowed, left = [], []
+            for who, at in zip(batch["who"], batch["at"], strict=True):
+                if who != subject or at >= start + seconds:
+                    subject, start, used = who, at, 0
+                allowed.append(used < most)
+                used += allowed[-1]
+                left.append(most - used)
+            yield batch.assign(allowed=allowed, remaining=left)[["request_id", "subject", "allowed", "remaining"]]
+
+    own = requests.select("request_id", "subject", "at", F.coalesce(F.col("subject").cast("string"), F.lit("")).alias("who"))
+    return own.repartition("who").sortWithinPartitions("who", "at", "request_id").mapInPandas(fold, "request_id long, subject long, allowed boolean, remaining long")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.amounts import AMOUNT, fee, total, total_if
+from .versioned import latest_by
 
 MOVEMENT = ["movement_id", "block_height", "txid", "tx_index", "entry_index", "address", "asset_address", "direction", "amount_base", "output_key"]
 
@@ -24,6 +25,24 @@ def utxo_history(creates: DataFrame, spends: DataFrame) -> DataFrame:
     return creates.join(spends.withColumnRenamed("spent_output_key", "output_key"), "output_key", "left")
 
 
+def history_as_of(creates: DataFrame, spends: DataFrame, keys: DataFrame, height: int) -> DataFrame:
+    """Outputs of a list of keys (output_key) as of a height, with the spend that had taken them by then.
+
+    Both inputs may hold several versions of a key; rows above the height are left out before the
+    latest one is taken, so that a later version doesn't hide the one that counted then.
+    """
+    made = creates.where(F.col("block_height") <= height).join(keys.select("output_key").distinct(), "output_key", "left_semi")
+    taken = spends.where(F.col("spent_in_block") <= height).withColumnRenamed("spent_output_key", "output_key").join(keys.select("output_key").distinct(), "output_key", "left_semi")
+    made = latest_by(made, ["output_key"], [F.desc("block_height"), F.asc("txid"), F.asc("value_base"), F.asc("address")])
+    taken = latest_by(taken, ["output_key"], [F.desc("spent_in_block"), F.asc("spent_by_txid"), F.asc("input_index")])
+    return made.join(taken, "output_key", "left")
+
+
+def utxo_versions(state: DataFrame) -> DataFrame:
+    """The state's rows with their version: the block that spent the output, else the one that made it."""
+    return state.withColumn("version", F.coalesce("spent_in_block", "block_height"))
+
+
 def credit_movements(creates: DataFrame) -> DataFrame:
     own = creates.where("is_spendable and address <> ''")
     return own.select(F.concat(F.lit("core-credit:"), "output_key").alias("movement_id"), "block_height", "txid", "tx_index", F.col("vout").alias("entry_index"), "address", F.lit("").alias("asset_address"), F.lit("credit").alias("direction"), F.col("value_base").alias("amount_base"), "output_key")

@@ -50,6 +50,35 @@ def apply_window(state: DataFrame, creates: DataFrame, spends: DataFrame) -> Dat
     return joined.select(*columns, F.coalesce("spent_by_txid", "by").alias("spent_by_txid"), F.coalesce("spent_in_block", "at").alias("spent_in_block"), F.coalesce("input_index", "nth").alias("input_index"))
 
 
+def require_prevouts(state: DataFrame, creates: DataFrame, spends: DataFrame) -> None:
+    """An error if a window spends an output that neither the state nor the window has, or one that is taken already."""
+    known = state.select("output_key").unionByName(creates.select("output_key"))
+    if (lacking := missing_prevouts(spends, known).select("spent_output_key", "spent_by_txid").first()) is not None:
+        raise ValueError(f"{lacking['spent_by_txid']} spends {lacking['spent_output_key']}, which isn't there")
+    if (twice := double_spends(spends, state).select("spent_output_key", "spent_by_txid", "by").first()) is not None:
+        raise ValueError(f"{twice['spent_by_txid']} spends {twice['spent_output_key']}, which {twice['by']} has spent")
+
+
+def apply_window_strictly(state: DataFrame, creates: DataFrame, spends: DataFrame) -> DataFrame:
+    """:func:`apply_window`, after :func:`require_prevouts`."""
+    require_prevouts(state, creates, spends)
+    return apply_window(state, creates, spends)
+
+
+def materialize(creates: DataFrame, spends: DataFrame, processed: DataFrame, height: int) -> dict[str, DataFrame]:
+    """The tables of the current state as of a height, from the facts up to it: utxo, balances, applied_blocks."""
+    made, taken = creates.where(F.col("block_height") <= height), spends.where(F.col("spent_in_block") <= height)
+    utxo = ledger.current_utxo(made, taken)
+    blocks = processed.where(F.col("block_height") <= height).select("block_height", "block_hash", "previous_hash")
+    return {"utxo": utxo.withColumn("version", F.lit(height).cast("long")), "balances": ledger.balances(utxo), "applied_blocks": blocks}
+
+
+def backfill_facts(facts: DataFrame, creates: DataFrame, spends: DataFrame, through: int) -> DataFrame:
+    """Transaction facts made anew up to a height; the stored ones above it stay."""
+    fresh = ledger.transactions(creates.where(F.col("block_height") <= through), spends.where(F.col("spent_in_block") <= through))
+    return fresh.select(*facts.columns).unionByName(facts.where(F.col("block_height") > through))
+
+
 def rewind(state: DataFrame, height: int) -> DataFrame:
     """The state before a height: later outputs vanish, outputs spent from there on are unspent."""
     undo = lambda c: F.when(F.col("spent_in_block") < height, F.col(c)).alias(c)

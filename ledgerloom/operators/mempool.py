@@ -5,50 +5,88 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.amounts import fee_rate, to_base_units, total
+from ..functions.amounts import fee_rate, json_count, json_kind, json_part, json_units, total
 
 RETENTION_S, SESSION_S, OVERFLOW, MOST_WATCHES = 3600, 300, 100_000, 5
 
 
-def first_count(raw: Column, *names: str) -> Column:
-    """The first of the JSON fields that is an integer of 0 or more."""
-    values = [F.get_json_object(raw, f"$.{n}").try_cast("long") for n in names]
-    return F.coalesce(*[F.when(v >= 0, v) for v in values])
+def first_count(record: Column, *names: str) -> Column:
+    """The first of the fields that is an integer of 0 or more."""
+    return F.coalesce(*[json_count(json_part(record, f"$.{n}")) for n in names])
+
+
+def _fee_or_nested(record: Column) -> Column:
+    """``fee`` if it is a number or a text that isn't blank, else ``fees.base``."""
+    own, nested = json_part(record, "$.fee"), json_part(record, "$.fees.base")
+    text = F.trim(F.try_variant_get(own, "$", "string"))
+    usable = (json_kind(own) == "number") | ((json_kind(own) == "text") & (text != ""))
+    return F.when(F.coalesce(usable, F.lit(False)), json_units(own)).otherwise(json_units(nested))
 
 
 def sampled(entries: DataFrame) -> DataFrame:
     """Samples of snapshot entries (fetched_at, txid, raw JSON)."""
-    raw = F.col("raw_json")
-    size = first_count(raw, "vsize", "size")
-    fee = to_base_units(F.coalesce(F.get_json_object(raw, "$.fee"), F.get_json_object(raw, "$.fees.base"))).cast("long")
-    return entries.select(F.date_trunc("second", "fetched_at").alias("sampled_at"), "txid", first_count(raw, "time").alias("entry_time"), first_count(raw, "height").alias("entry_height"), size.alias("size_bytes"), fee.alias("fee_base"), fee_rate(fee, size).alias("fee_rate"))
+    parsed = entries.withColumn("record", F.try_parse_json("raw_json"))
+    record = F.col("record")
+    counted = parsed.select("fetched_at", "txid", first_count(record, "time").alias("entry_time"), first_count(record, "height").alias("entry_height"), first_count(record, "vsize", "size").alias("size_bytes"), _fee_or_nested(record).cast("long").alias("fee_base"))
+    return counted.select(F.date_trunc("second", "fetched_at").alias("sampled_at"), "txid", "entry_time", "entry_height", "size_bytes", "fee_base", fee_rate(F.col("fee_base"), F.col("size_bytes")).alias("fee_rate"))
 
 
 def normalized(entries: DataFrame) -> DataFrame:
-    """Explorer form of entries: size before vsize, nested fees, dependencies without blanks."""
-    raw = F.col("raw_json")
-    size = first_count(raw, "size", "vsize")
-    part = lambda flat, nested: to_base_units(F.coalesce(F.get_json_object(raw, f"$.{flat}"), F.get_json_object(raw, f"$.fees.{nested}"))).cast("long")
-    depends = F.filter(F.coalesce(F.from_json(F.get_json_object(raw, "$.depends"), "array<string>"), F.array().cast("array<string>")), lambda x: F.trim(x) != "")
-    fee = part("fee", "base")
-    return entries.select("txid", "fetched_at", first_count(raw, "time").alias("time"), size.alias("size"), fee.alias("fee_base"), part("modifiedfee", "modified").alias("modified_fee"), fee_rate(fee, size).alias("fee_rate"), depends.alias("depends"))
+    """Explorer form of entries: size before vsize, flat amounts before nested ones (whatever they are), dependencies without blanks."""
+    record = F.col("record")
+
+    def part(flat: str, nested: str) -> Column:
+        own = json_part(record, f"$.{flat}")
+        return F.when(own.isNotNull(), json_units(own)).otherwise(json_units(json_part(record, f"$.fees.{nested}"))).cast("long")
+
+    listed = F.coalesce(F.try_variant_get(record, "$.depends", "array<variant>"), F.array().cast("array<variant>"))
+    depends = F.filter(F.transform(F.filter(listed, lambda v: json_kind(v) == "text"), lambda v: F.try_variant_get(v, "$", "string")), lambda x: F.trim(x) != "")
+    parsed = entries.withColumn("record", F.try_parse_json("raw_json"))
+    own = parsed.select(
+        "txid", "fetched_at", first_count(record, "time").alias("time"), first_count(record, "size", "vsize").alias("size"), part("fee", "base").alias("fee_base"), part("modifiedfee", "modified").alias("modified_fee"),
+        part("ancestorfees", "ancestor").alias("ancestor_fee"), part("descendantfees", "descendant").alias("descendant_fee"), depends.alias("depends"),
+    )
+    return own.withColumn("fee_rate", fee_rate(F.col("fee_base"), F.col("size")))
 
 
 def retained(samples: DataFrame, now: Column, seconds: int = RETENTION_S) -> DataFrame:
     return samples.where(F.col("sampled_at") > now - F.make_dt_interval(secs=F.lit(seconds)))
 
 
-def fee_distribution(samples: DataFrame) -> DataFrame:
-    rate = F.col("fee_rate").cast("double")
-    return samples.agg(F.count("*").alias("samples"), F.round(F.avg(rate), 4).alias("average"), F.round(F.percentile(rate, 0.5), 4).alias("median"))
-
+#: Rates that share a bucket when the median is looked for.
+RATE_BITS = 16
 
-def watch_matches(watches: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Transactions that pay a watched address: all its outputs, their sum at least the watch's minimum.
 
-    watches: watch_id, address, min_value; outputs: txid, vout, address, value_base, seen_at.
+def fee_distribution(samples: DataFrame) -> DataFrame:
+    """Samples, average and median of the rates. The median is read from counts: first the bucket, then the rate in it."""
+    rates = samples.where("fee_rate is not null").groupBy("fee_rate").agg(F.count("*").alias("n"))
+    bucket = F.shiftright("fee_rate", RATE_BITS)
+    buckets = rates.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"))
+    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket of rates
+    placed = buckets.select("bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), "n", F.sum("n").over(Window.partitionBy()).alias("all"))
+    middle = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("n"))
+    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    chosen = placed.where(middle(low) | middle(high)).select("bucket", "before", "all")
+    inside = rates.withColumn("bucket", bucket).join(chosen, "bucket")
+    order = Window.partitionBy("bucket").orderBy("fee_rate").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = inside.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(order), F.lit(0)))
+    ends = ranked.agg(F.max(F.when(middle(low), F.col("fee_rate"))).alias("low"), F.max(F.when(middle(high), F.col("fee_rate"))).alias("high"))
+    whole = samples.agg(F.count("*").alias("samples"), F.round(F.avg(F.col("fee_rate").cast("double")), 4).alias("average"))
+    return whole.crossJoin(ends).select("samples", "average", F.round((F.col("low").cast("double") + F.col("high")) / 2, 4).alias("median"))  # one row each
+
+
+def watch_matches(watches: DataFrame, outputs: DataFrame, seconds: int = SESSION_S) -> DataFrame:
+    """Transactions that pay a watched address while its watch is open: all its outputs, their sum at least the watch's minimum.
+
+    watches: watch_id, address, min_value, created_at; outputs: txid, vout, address, value_base,
+    seen_at. Both meet in buckets of time, so that an address with many watches and payments doesn't
+    bring all of them together.
     """
-    hit = watches.join(outputs, "address").groupBy("watch_id", "address", "txid", "min_value").agg(F.min("seen_at").alias("seen_at"), total(F.col("value_base")).alias("paid"), F.count("*").alias("outputs"))
+    bucket = F.floor(F.col("created_at") / seconds)
+    open_ = watches.select("watch_id", "address", "min_value", "created_at", F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+    seen = outputs.withColumn("bucket", F.floor(F.col("seen_at") / seconds))
+    hit = open_.join(seen, ["address", "bucket"]).where((F.col("seen_at") >= F.col("created_at")) & (F.col("seen_at") < F.col("created_at") + seconds))
+    hit = hit.groupBy("watch_id", "address", "txid", "min_value").agg(F.min("seen_at").alias("seen_at"), total(F.col("value_base")).alias("paid"), F.count("*").alias("outputs"))
     return hit.where("paid >= coalesce(min_value, 0)").select("watch_id", "address", "txid", "seen_at", "paid", "outputs")
 
 
@@ -70,6 +108,15 @@ def degraded(snapshots: DataFrame, most: int = OVERFLOW) -> DataFrame:
     return snapshots.groupBy("snapshot").agg(F.count_distinct("txid").alias("entries")).withColumn("degraded", F.col("entries") > most)
 
 
+def live_arrivals(snapshots: DataFrame, most: int = OVERFLOW) -> DataFrame:
+    """The ids (snapshot, txid) that are matched against watches: new ones of snapshots that aren't degraded.
+
+    A degraded snapshot matches nothing and clears what was known, so all ids of the next one are new.
+    """
+    sound = snapshots.join(degraded(snapshots, most).where("not degraded").select("snapshot"), "snapshot", "left_semi").select("snapshot", "txid")
+    return changes(sound, 1)
+
+
 def active_watches(watches: DataFrame, now: int) -> DataFrame:
     """Watches that haven't expired, with their number among the owner's."""
     w = Window.partitionBy("owner").orderBy("created_at", "watch_id")
@@ -79,16 +126,21 @@ def active_watches(watches: DataFrame, now: int) -> DataFrame:
 def accepted_watches(watches: DataFrame, most: int = MOST_WATCHES) -> DataFrame:
     """Watches in order of creation; one is rejected while the owner has ``most`` accepted and not expired.
 
-    Acceptance depends on the acceptances before, so an owner's requests are folded in time order.
+    Acceptance depends on the acceptances before. An owner's watches lie in one partition, in time
+    order, and pass batch by batch; only the live expiries (``most`` at most) are carried along.
     """
 
-    def fold(owner):
-        owner, live, out = owner.sort_values(["created_at", "watch_id"]), [], []
-        for created, expires in zip(owner["created_at"], owner["expires_at"], strict=True):
-            live = [e for e in live if e > created]
-            out.append(len(live) < most)
-            if out[-1]:
-                live.append(expires)
-        return owner.assign(accepted=out)[["watch_id", "owner", "accepted"]]
-
-    return watches.groupBy("owner").applyInPandas(fold, "watch_id long, owner long, accepted boolean")
+    def fold(batches):
+        owner, live = object(), []
+        for batch in batches:
+            accepted = []
+            for who, created, expires in zip(batch["who"], batch["created_at"], batch["expires_at"], strict=True):
+                live = [e for e in live if e > created] if who == owner else []
+                owner = who
+                accepted.append(len(live) < most)
+                if accepted[-1]:
+                    live.append(expires)
+            yield batch.assign(accepted=accepted)[["watch_id", "owner", "accepted"]]
+
+    own = watches.select("watch_id", "owner", "created_at", "expires_at", F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("who"))
+    return own.repartition("who").sortWithinPartitions("who", "created_at", "watch_id").mapInPandas(fold, "watch_id long, owner long, accepted boolean")

@@ -24,8 +24,15 @@ def sync_frontier(heights: DataFrame, base: int) -> DataFrame:
     return run.agg(F.coalesce(F.max(F.when(F.col("gap") == base, F.col("block_height"))), F.lit(base)).cast("long").alias("frontier"))
 
 
-def chain_violations(blocks: DataFrame) -> DataFrame:
-    """Blocks that don't follow the one before: a height is left out, or the previous hash differs."""
+def chain_violations(blocks: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Blocks that don't follow the one before: a height is left out, or the previous hash differs.
+
+    The first block of a batch is compared with the block of ``stored`` just below it, if given and there.
+    """
+    if stored is not None:
+        first = blocks.agg(F.min("block_height").alias("first"))  # one row
+        below = stored.select("block_height", "block_hash").join(F.broadcast(first), F.col("block_height") == F.col("first") - 1)
+        blocks = blocks.select("block_height", "block_hash", "previous_hash").unionByName(below.select("block_height", "block_hash", F.lit(None).cast("string").alias("previous_hash")))
     w = Window.orderBy("block_height")
     own = blocks.select("block_height", "previous_hash", F.lag("block_height").over(w).alias("before"), F.lag("block_hash").over(w).alias("hash_before"))
     reason = F.when(F.col("block_height") != F.col("before") + 1, "gap").when(~F.col("previous_hash").eqNullSafe(F.col("hash_before")), "previous hash")
@@ -37,10 +44,15 @@ def contiguous_range(blocks: DataFrame) -> DataFrame:
     return blocks.agg(lo.alias("first"), hi.alias("last"), n.alias("blocks"), F.coalesce(hi - lo + 1 == n, F.lit(False)).alias("contiguous"))
 
 
-def page(df: DataFrame, order: list, limit: int = 50, offset: int = 0) -> DataFrame:
-    """An offset page in a total order; limits are 1 to 500, offsets 0 to 100000."""
+def checked_page(limit: int, offset: int) -> None:
+    """An error unless the limit is 1 to 500 and the offset 0 to 100000."""
     if not 1 <= limit <= 500 or not 0 <= offset <= 100_000:
         raise ValueError(f"page of {limit} rows from {offset}: at most 500 rows, and offsets up to 100000")
+
+
+def page(df: DataFrame, order: list, limit: int = 50, offset: int = 0) -> DataFrame:
+    """An offset page in a total order; limits are 1 to 500, offsets 0 to 100000."""
+    checked_page(limit, offset)
     return df.orderBy(*order).offset(offset).limit(limit)
 
 

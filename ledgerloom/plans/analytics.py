@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+from dataclasses import dataclass
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST_ROWS, MOST_S = 1000, 7 * 86400
+MOST_ROWS, DEFAULT_ROWS, MOST_S, MOST_CHARACTERS = 1000, 100, 7 * 86400, 8000
+VIEWS = ("transactions", "balances", "mempool_samples")
+#: What a text is read for names without: comments and quoted strings.
+_ASIDE = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", re.S)
 
 
 def curated(transactions: DataFrame, balances: DataFrame, samples: DataFrame) -> dict[str, DataFrame]:
@@ -17,19 +26,84 @@ def curated(transactions: DataFrame, balances: DataFrame, samples: DataFrame) ->
     }
 
 
-def guarded_query(spark: SparkSession, sql: str, views: dict[str, DataFrame], start: int, end: int, finalized: int, limit: int = 100) -> DataFrame:
-    """Rows of a SELECT over the curated views, [start, end) in seconds, blocks up to ``finalized``.
+@dataclass(frozen=True)
+class Guarded:
+    """A guarded query's rows and what is said of them."""
 
-    The text names a view as ``{transactions}``, ``{balances}`` or ``{mempool_samples}``. The bounds
-    hold because the views are cut before the text sees them.
-    """
-    if not 0 < end - start <= MOST_S or not 1 <= limit <= MOST_ROWS:
-        raise ValueError("the window is 1 second to 7 days, and the limit 1 to 1000")
-    if not sql.lstrip().lower().startswith(("select", "with")):
+    rows: DataFrame
+    columns: list[tuple[str, str]]
+    hash: str
+    start: str
+    end: str
+    finalized: int
+
+
+def seconds_of(value: int | str, field: str) -> int:
+    """Unix seconds of a number, a text of figures, or an ISO time (UTC where it names no zone)."""
+    text = str(value).strip()
+    if re.fullmatch(r"[0-9]+", text):
+        return int(text)
+    try:
+        at = datetime.fromisoformat(text)
+    except ValueError:
+        raise ValueError(f"{field} is no time: {value}") from None
+    return int((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() // 1)
+
+
+def time_window(start: int | str, end: int | str) -> tuple[int, int]:
+    lo, hi = seconds_of(start, "start"), seconds_of(end, "end")
+    if not 0 < hi - lo <= MOST_S:
+        raise ValueError("the window is 1 second to 7 days")
+    return lo, hi
+
+
+def checked_sql(spark: SparkSession, sql: str) -> str:
+    """The text of one SELECT that names no table but the curated views; an error for anything else."""
+    text = re.sub(r"(;\s*)+$", "", sql.strip())
+    bare = _ASIDE.sub(" ' ", text)
+    if not text or len(text) > MOST_CHARACTERS:
+        raise ValueError(f"a query has 1 to {MOST_CHARACTERS} characters")
+    if ";" in bare or "`" in bare:
+        raise ValueError("only one statement, without back-quoted names, is allowed")
+    if not re.match(r"(select|with)\b", bare.strip(), re.I):
         raise ValueError("only SELECT is allowed")
+    if re.search(r"select\s+(all\s+|distinct\s+)?(\w+\s*\.\s*)?\*|,\s*(\w+\s*\.\s*)?\*", bare, re.I):
+        raise ValueError("columns must be named")
+    named = {w.lower() for w in re.findall(r"\w+", bare)}
+    catalog = spark.catalog
+    known = {x.name for x in catalog.listCatalogs()} | {x.name for x in catalog.listDatabases()} | {"global_temp"} | {x.name for x in catalog.listTables()}
+    if other := sorted(named & {x.lower() for x in known} - set(VIEWS)):
+        raise ValueError(f"only {', '.join(VIEWS)} can be read, not {', '.join(other)}")
+    return text
+
+
+def guarded_query(spark: SparkSession, sql: str, views: dict[str, DataFrame], start: int | str, end: int | str, finalized: int, limit: int = DEFAULT_ROWS) -> Guarded:
+    """A SELECT over the curated views, [start, end), blocks up to ``finalized``, ``limit`` rows at most.
+
+    The text runs in a session of its own, whose views are cut before it sees them, in which files
+    can't be read as tables; as a subquery, so that it can't be a command. Tables of the shared
+    catalog are refused by name. It may use ``:from_time``, ``:to_time`` and ``:finalized``.
+    """
+    lo, hi = time_window(start, end)
+    if not 1 <= limit <= MOST_ROWS:
+        raise ValueError(f"the limit is 1 to {MOST_ROWS}")
+    text = checked_sql(spark, sql)
     own = {
-        "transactions": views["transactions"].where((F.col("block_time") >= start) & (F.col("block_time") < end) & (F.col("block_height") <= finalized)),
+        "transactions": views["transactions"].where((F.col("block_time") >= lo) & (F.col("block_time") < hi) & (F.col("block_height") <= finalized)),
         "balances": views["balances"],
-        "mempool_samples": views["mempool_samples"].where((F.col("sampled_at") >= F.timestamp_seconds(F.lit(start))) & (F.col("sampled_at") < F.timestamp_seconds(F.lit(end)))),
+        "mempool_samples": views["mempool_samples"].where((F.col("sampled_at") >= F.timestamp_seconds(F.lit(lo))) & (F.col("sampled_at") < F.timestamp_seconds(F.lit(hi)))),
     }
-    return spark.sql(sql, **own).limit(limit)
+    session, shared = spark.newSession(), f"guarded_{uuid.uuid4().hex}_"
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    for name, df in own.items():
+        df.createGlobalTempView(shared + name)
+        session.sql(f"create temporary view {name} as select * from global_temp.{shared}{name}")
+    session.conf.set("spark.sql.runSQLOnFiles", "false")
+    try:
+        rows = session.sql(f"select * from (\n{text}\n) limit {int(limit)}", args={"from_time": lo, "to_time": hi, "finalized": finalized})
+        columns = rows.dtypes
+    finally:
+        for name in own:
+            spark.catalog.dropGlobalTempView(shared + name)
+    iso = lambda s: datetime.fromtimestamp(s, timezone.utc).isoformat().replace("+00:00", "Z")
+    return Guarded(rows, columns, hashlib.sha256(text.encode()).hexdigest(), iso(lo), iso(hi), finalized)

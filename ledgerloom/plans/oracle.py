@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 BASE = """
-with h as (select o_orderdate, (row_number() over (order by o_orderdate) - 1)::bigint as block_height from (select distinct o_orderdate from orders)),
+with recursive h as (select o_orderdate, (row_number() over (order by o_orderdate) - 1)::bigint as block_height from (select distinct o_orderdate from orders)),
 tx as (select o_orderkey, o_custkey, 'tx' || lpad(o_orderkey::varchar, 12, '0') as txid, block_height, sha256('b' || block_height) as block_hash, epoch(o.o_orderdate)::bigint as block_time,
   (row_number() over (partition by o.o_orderdate order by o_orderkey) - 1)::bigint as tx_index, lead(o_orderkey) over (partition by o_custkey order by o.o_orderdate, o_orderkey) as next_key
   from orders o join h on h.o_orderdate = o.o_orderdate),
@@ -48,7 +48,7 @@ normal as (select txid, sampled_at as time, k + 1 as size, fee as fee_base, fee
 snaps as (select distinct floor(epoch(ts) / 3600)::bigint as snapshot, user_id as txid from events),
 watches as (select event_id as watch_id, user_id as owner, user_id % 50 as address, 50 as min_value, floor(epoch(ts))::bigint as created_at, floor(epoch(ts))::bigint + 86400 as expires_at from events where event_type = 'signup'),
 payments as (select event_id as txid, user_id % 50 as address, round(value)::bigint as value_base, floor(epoch(ts))::bigint as seen_at from events where event_type = 'purchase'),
-matches as (select watch_id, w.address, txid, min(seen_at) as seen_at, sum(value_base)::decimal(38,0) as paid, count(*) as outputs from watches w join payments p on p.address = w.address group by watch_id, w.address, txid, min_value having sum(value_base) >= min_value),
+matches as (select watch_id, w.address, txid, min(seen_at) as seen_at, sum(value_base)::decimal(38,0) as paid, count(*) as outputs from watches w join payments p on p.address = w.address and seen_at >= created_at and seen_at < created_at + 300 group by watch_id, w.address, txid, min_value having sum(value_base) >= min_value),
 audit as (select event_id as audit_event_id, user_id as actor, event_type as operation, case when event_type = 'error' then 'failure' else 'success' end as outcome, floor(epoch(ts))::bigint as created_at from events)
 """
 
@@ -120,12 +120,60 @@ SELECTS = {
     "top_transactions": "select txid, output_total, block_height, tx_index from transactions order by output_total desc, block_height desc, tx_index desc limit 100",
     "richest_addresses": "select address, balance from balances order by balance desc, address limit 100",
     "address_utxos": "select address, output_key, block_height, tx_index, vout, value_base from utxo where is_spendable and address <> '' order by block_height desc, tx_index desc, vout, output_key limit 500",
-    "search": """select txid as text, 'transaction' as kind, 1 as priority from tx union all select block_hash, 'block', 2 from blocks union all select block_height::varchar, 'block', 0 from blocks
-      union all select distinct address, 'address', 3 from movements""",
+    "search": """, q as (select txid as text from tx where o_orderkey % 50 = 0 union all select unnest([block_height::varchar, ' ' || block_hash || ' ', '-' || block_height]) from blocks where block_height % 50 = 0 union all from (select 'S' || s_suppkey as address from supplier where s_suppkey % 5 = 0))
+      select text, 0 as priority, 'block' as kind, text as found, block_height from q join blocks on text = block_height::varchar
+      union all select text, 1, 'transaction', tx.txid, tx.block_height from q join tx on tx.txid = trim(text)
+      union all select text, 2, 'block', block_hash, block_height from q join blocks on block_hash = trim(text)
+      union all select text, 3, 'address', text, null from q where text in (select address from movements)""",
+    "list_blocks": "select block_height, block_hash, block_time, tx_count from blocks, c where block_height % 7 <> 3 and block_height <= tail - 30 and block_height > tail - 80",
+    "get_block": """select ref, b.block_height, b.block_hash, b.tx_count as total_count, t.tx_index, t.txid, t.input_count, t.output_count, t.output_total, t.fee_base from
+      (select block_height::varchar as ref, block_height from blocks where block_height % 50 = 0 union all select block_hash, block_height from blocks where block_height % 50 = 1
+      union all select block_hash, block_height from forked, c where block_height % 50 = 2 and block_height >= tenth) r
+      join blocks b on b.block_height = r.block_height join transactions t on t.block_height = b.block_height where t.tx_index between 1 and 20""",
+    "get_block_by_hash": "select block_hash, block_height from blocks where block_height % 50 = 1 union all select block_hash, block_height from forked where block_height % 50 = 2",
+    "get_transaction_summary": "select txid, block_height, tx_index, greatest(1, input_count)::bigint as vin_size, output_count, output_total, fee_base from transactions where txid in (select txid from tx where o_orderkey % 50 = 0)",
+    "get_transaction_inputs": "select spent_by_txid as txid, input_index, spent_output_key as output_key, address, value_base from spends left join creates on output_key = spent_output_key where spent_by_txid in (select txid from tx where o_orderkey % 50 = 0)",
+    "get_transaction_outputs": "select txid, vout, output_key, address, value_base, spent_by_txid is not null as spent, spent_by_txid, spent_in_block from history where txid in (select txid from tx where o_orderkey % 50 = 0)",
+    "get_address": """select a.address, coalesce(balance, 0)::decimal(38,0) as balance, coalesce(received, 0)::decimal(38,0) as received, coalesce(sent, 0)::decimal(38,0) as sent, coalesce(tx_count, 0)::bigint as tx_count, coalesce(utxo_count, 0)::bigint as utxo_count
+      from (select 'S' || s_suppkey as address from supplier where s_suppkey % 5 = 0) a left join activity v on v.address = a.address left join (select address, sum(value_base) as balance, count(*) as utxo_count from utxo where is_spendable group by address) u on u.address = a.address where v.address is not null or u.address is not null""",
+    "get_address_transactions": """select p.address, p.txid, p.block_height, t.block_time, p.tx_index, p.received, p.sent, coalesce(t.input_count, 0)::bigint as input_count, coalesce(t.output_count, 0)::bigint as output_count, t.fee_base
+      from (select *, row_number() over (partition by address order by block_height desc, tx_index desc, txid) as nth from txamounts where address in (select 'S' || s_suppkey as address from supplier where s_suppkey % 5 = 0)) p left join transactions t on t.txid = p.txid and t.block_height = p.block_height where nth between 6 and 15""",
+    "get_address_utxos": "select address, output_key, block_height, tx_index, vout, value_base from utxo where is_spendable and address in (select 'S' || s_suppkey as address from supplier where s_suppkey % 5 = 0) qualify row_number() over (partition by address order by block_height desc, tx_index desc, vout, output_key) between 6 and 15",
+    "raw_transactions": "select txid, block_height, block_hash, tx_index from tx, c where txid in (select txid from tx where o_orderkey % 50 = 0) and block_height >= greatest(0, tenth + 1, tail - 999)",
+    "transaction_refs": """select txid, block_height, tx_index, min(priority)::int as source from (select txid, block_height, tx_index, 0 as priority from refs, c where block_height <= half
+      union all select txid, block_height, tx_index, 1 from creates, c where block_height <= tenth union all select txid, block_height, tx_index, 2 from utxo) where txid in (select txid from tx where o_orderkey % 50 = 0) group by 1, 2, 3""",
+    "latest_as_of": "select output_key, version, value_base from (select * from creates_log where version <= 9500 qualify row_number() over (partition by output_key order by version desc, l_partkey, l_suppkey, l_extendedprice) = 1)",
+    "utxo_history_as_of": """select output_key, block_height, value_base, case when spent_in_block <= half then spent_by_txid end as spent_by_txid, case when spent_in_block <= half then spent_in_block end as spent_in_block
+      from history, c where block_height <= half and output_key in (select spent_output_key from late_spends)""",
+    "utxo_versions": "select output_key, coalesce(spent_in_block, block_height) as version from history",
+    "chain_violations_stored": "select tenth + 1 as block_height, 'previous hash' as reason from c where tenth < tail",
+    "number_units": "select output_key, l_partkey, l_suppkey, (value_base::decimal(38,0) * 1000000)::decimal(38,0) as units from creates_log",
+    "hex_units_wide": "select output_key, (value_base::hugeint * 18446744073709551616)::decimal(38,0) as units from creates",
+    "parsed_times": "select event_id, case when event_id % 3 < 2 then floor(epoch(ts))::bigint end as seconds from events",
+    "balance_keys": "select address, 'x:' || address as asset_address from balances",
+    "query_fingerprints": "select c_custkey, sha256('select ' || c_name) as hash from customer",
+    "materialized_utxo": "select output_key, address, value_base, half as version from history, c where block_height <= half and (spent_in_block is null or spent_in_block > half)",
+    "materialized_balances": "select address, '' as asset_address, sum(value_base)::decimal(38,0) as balance from history, c where block_height <= half and (spent_in_block is null or spent_in_block > half) and is_spendable and address <> '' group by address",
+    "materialized_blocks": "select block_height, block_hash, previous_hash from blocks, c where block_height <= half",
+    "backfilled_transactions": "select txid, block_height, (fee_base + case when block_height > half then 1000 else 0 end)::decimal(38,0) as fee_base from transactions, c",
+    "live_arrivals": """, sound as (select snapshot from snaps group by 1 having count(*) <= 10)
+      select snapshot, txid from snaps s where snapshot in (from sound) and not exists (select 1 from snaps o where o.snapshot = s.snapshot - 1 and o.txid = s.txid and o.snapshot in (from sound))""",
+    "accepted_watches": """, r as (select watch_id, owner, created_at, expires_at, row_number() over (partition by owner order by created_at, watch_id) as n from watches),
+      f as (select watch_id, owner, n, true as accepted, [expires_at] as live from r where n = 1
+      union all select r.watch_id, r.owner, r.n, len(list_filter(f.live, lambda e: e > r.created_at)) < 5,
+      case when len(list_filter(f.live, lambda e: e > r.created_at)) < 5 then list_append(list_filter(f.live, lambda e: e > r.created_at), r.expires_at) else list_filter(f.live, lambda e: e > r.created_at) end
+      from f join r on r.owner = f.owner and r.n = f.n + 1)
+      select watch_id, owner, accepted from f""",
+    "budget_replay": """, r as (select audit_event_id as request_id, actor as subject, created_at as moment, row_number() over (partition by actor order by created_at, audit_event_id) as n from audit),
+      f as (select request_id, subject, n, moment as start, 1::bigint as used, true as allowed from r where n = 1
+      union all select request_id, subject, n, case when fresh then moment else start end, case when fresh then 1 else least(used + 1, 5) end, fresh or used < 5 from
+      (select r.request_id, r.subject, r.n, r.moment, f.start, f.used, r.moment >= f.start + 86400 as fresh from f join r on r.subject = f.subject and r.n = f.n + 1))
+      select request_id, subject, allowed, (5 - used)::bigint as remaining from f""",
     "to_base_units": "select output_key, case when vout % 3 = 0 then value_base when vout % 3 = 2 then -value_base end::decimal(38,0) as units from texts",
     "to_base_units_trunc": "select output_key, case when vout % 3 <> 2 then value_base end::decimal(38,0) as units from texts",
-    "hex_units": "select output_key, value_base::decimal(20,0) as units from creates",
-    "redact_text": "select c_custkey, 'http://***@host/x?token=***&a=1 end' as redacted from customer",
+    "hex_units": "select output_key, value_base::decimal(38,0) as units from creates",
+    # the rule: user:password@ of a url, and what follows a name and "=" up to white space
+    "redact_text": "select c_custkey, 'http://' || case when c_custkey % 2 = 0 then '***:***@' else c_name || '@' end || 'host/x?' || case c_custkey % 3 when 0 then 'Token=*** end' when 1 then 'PASSWORD=*** end' else 'key=' || c_custkey || '&a=1 end' end as redacted from customer",
     "apply_window_utxo": "from state",
     "apply_window_balances": "from balances",
     "missing_prevouts": "select spent_output_key, spent_by_txid from late_spends where spent_output_key in (select output_key from late_creates)",

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amounts
-from ..operators import audit, derive, ledger, maintain, mempool, sequence, versioned
+from ..operators import audit, derive, explorer, ledger, maintain, mempool, sequence, versioned
 from .analytics import curated, guarded_query
 from .oracle import ORACLE_SQL
 from .tables import Ledger
@@ -42,6 +42,26 @@ def utxo_as_of(x):
     return ledger.current_utxo(x.creates.where(F.col("block_height") <= h), x.spends.where(F.col("spent_in_block") <= h)).select("output_key", "block_height", "value_base")
 
 
+@query
+def latest_as_of(x):
+    # versions are ship days; rows beyond the day are left out before the latest is taken
+    order = [F.desc("version"), F.asc("l_partkey"), F.asc("l_suppkey"), F.asc("l_extendedprice")]
+    return versioned.as_of(x.creates_log, "version", 9500, ["output_key"], order).select("output_key", "version", "value_base")
+
+
+@query
+def utxo_history_as_of(x):
+    # each output has a later version, which must not hide the one of the height
+    later = x.creates.withColumns({"block_height": F.col("block_height") + x.tail + 1, "value_base": F.col("value_base") + 1})
+    keys = x.spends.where(F.col("spent_in_block") > x.edge(TENTH)).select(F.col("spent_output_key").alias("output_key"))
+    return ledger.history_as_of(x.creates.unionByName(later), x.spends, keys, x.edge(HALF)).select("output_key", "block_height", "value_base", "spent_by_txid", "spent_in_block")
+
+
+@query
+def utxo_versions(x):
+    return ledger.utxo_versions(x.history).select("output_key", "version")
+
+
 @query
 def core_blocks_latest(x):
     log = x.blocks.select("block_height", "block_hash", F.lit(1).cast("long").alias("fetched_at")).unionByName(x.forked(TENTH).select("block_height", "block_hash", F.lit(2).cast("long").alias("fetched_at")))
@@ -349,6 +369,12 @@ def chain_violations(x):
     return sequence.chain_violations(x.blocks.join(x.forked(TENTH).select("block_height", F.col("block_hash").alias("other")), "block_height").select("block_height", F.col("other").alias("block_hash"), "previous_hash"))
 
 
+@query
+def chain_violations_stored(x):
+    # the batch's first block follows a block that was stored with another hash
+    return sequence.chain_violations(x.blocks.where(F.col("block_height") > x.edge(TENTH)), x.forked(TENTH))
+
+
 @query
 def contiguous_range(x):
     return sequence.contiguous_range(x.blocks)
@@ -391,12 +417,71 @@ def address_utxos(x):
 
 @query
 def search(x):
-    # what each of these texts finds: ids, hashes and addresses of the whole ledger, in that order
-    tx = x.tx.select(F.col("txid").alias("text"), F.lit("transaction").alias("kind"), F.lit(1).alias("priority"))
-    block = x.blocks.select(F.col("block_hash").alias("text"), F.lit("block").alias("kind"), F.lit(2).alias("priority"))
-    height = x.blocks.select(F.col("block_height").cast("string").alias("text"), F.lit("block").alias("kind"), F.lit(0).alias("priority"))
-    address = x.movements.select(F.col("address").alias("text"), F.lit("address").alias("kind"), F.lit(3).alias("priority")).distinct()
-    return tx.unionByName(block).unionByName(height).unionByName(address)
+    # ids, heights, hashes between blanks, addresses, and texts that find nothing, against the whole ledger
+    some = x.blocks.where("block_height % 50 = 0")
+    texts = x.asked_txids.select(F.col("txid").alias("text")).union(some.select(F.col("block_height").cast("string"))).union(some.select(F.concat(F.lit(" "), "block_hash", F.lit(" ")))).union(x.asked_addresses).union(some.select(F.concat(F.lit("-"), F.col("block_height").cast("string"))))
+    return explorer.search(texts, x.tx.select("txid", "block_height"), x.blocks, x.movements)
+
+
+@query
+def list_blocks(x):
+    return explorer.list_blocks(x.blocks.where("block_height % 7 <> 3"), x.tail - 5, 50, 25).select("block_height", "block_hash", "block_time", "tx_count")
+
+
+@query
+def get_block(x):
+    # by height, by an applied block's hash, and by the hash of a block that is stored only
+    by_height = x.blocks.where("block_height % 50 = 0").select(F.col("block_height").cast("string").alias("ref"))
+    by_hash = x.blocks.where("block_height % 50 = 1").select("block_hash")
+    stored = x.forked(TENTH).where((F.col("block_height") % 50 == 2) & (F.col("block_height") >= x.edge(TENTH))).select("block_hash")
+    return explorer.get_block(by_height.union(by_hash).union(stored), x.blocks, x.forked(TENTH), x.transactions, 20, 1)
+
+
+@query
+def get_block_by_hash(x):
+    hashes = x.blocks.where("block_height % 50 = 1").select("block_hash").union(x.forked(TENTH).where("block_height % 50 = 2").select("block_hash"))
+    return explorer.block_by_hash(hashes, x.blocks, x.forked(TENTH))
+
+
+@query
+def get_transaction_summary(x):
+    return explorer.transaction_summary(x.asked_txids, x.creates, x.spends)
+
+
+@query
+def get_transaction_inputs(x):
+    return explorer.transaction_inputs(x.asked_txids, x.spends, x.creates)
+
+
+@query
+def get_transaction_outputs(x):
+    return explorer.transaction_outputs(x.asked_txids, x.creates, x.spends)
+
+
+@query
+def get_address(x):
+    return explorer.get_address(x.asked_addresses, x.movements, x.utxo)
+
+
+@query
+def get_address_transactions(x):
+    return explorer.address_transactions(x.asked_addresses, x.movements, x.transactions, 10, 5)
+
+
+@query
+def get_address_utxos(x):
+    return explorer.address_utxos(x.asked_addresses, x.utxo, 10, 5)
+
+
+@query
+def raw_transactions(x):
+    return explorer.raw_transactions(x.asked_txids, x.nested, x.tail, x.edge(TENTH))
+
+
+@query
+def transaction_refs(x):
+    refs = derive.derive_tx_refs(x.nested, "core_process").where(F.col("block_height") <= x.edge(HALF))
+    return explorer.transaction_refs(x.asked_txids, refs, x.creates.where(F.col("block_height") <= x.edge(TENTH)), x.utxo)
 
 
 # --- functions ---
@@ -423,10 +508,40 @@ def hex_units(x):
     return x.creates.select("output_key", amounts.hex_units(F.concat(F.lit("0x"), F.lower(F.hex("value_base")))).alias("units"))
 
 
+@query
+def number_units(x):
+    return x.creates_log.select("output_key", "l_partkey", "l_suppkey", amounts.number_to_base_units(F.col("l_extendedprice")).alias("units"))
+
+
+@query
+def hex_units_wide(x):
+    wide = F.concat(F.lit("0x"), F.lower(F.hex("value_base")), F.lit("0" * 16))
+    return x.creates.select("output_key", amounts.hex_units(wide).alias("units"))
+
+
+@query
+def parsed_times(x):
+    at, n = F.col("ts").cast("timestamp"), F.col("event_id") % 3
+    text = F.when(n == 0, F.unix_timestamp(at).cast("string")).when(n == 1, F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))).otherwise(F.lit("no time"))
+    return x.table("events").select("event_id", amounts.to_seconds(text).alias("seconds"))
+
+
+@query
+def balance_keys(x):
+    parsed = amounts.parse_balance_key(amounts.balance_key(F.col("address"), F.concat(F.lit("x:"), "address")))
+    return x.balances.select(parsed.alias("p")).select("p.address", "p.asset_address")
+
+
+@query
+def query_fingerprints(x):
+    return x.table("customer").select("c_custkey", amounts.fingerprint(F.concat(F.lit("select "), "c_name")).alias("hash"))
+
+
 @query
 def redact_text(x):
-    own = x.table("customer")
-    text = F.concat(F.lit("http://"), F.col("c_name"), F.lit(":pw@host/x?token="), F.col("c_custkey").cast("string"), F.lit("&a=1 end"))
+    own, n = x.table("customer"), F.col("c_custkey")
+    who = F.when(n % 2 == 0, F.concat("c_name", F.lit(":pw"))).otherwise(F.col("c_name"))
+    text = F.concat(F.lit("http://"), who, F.lit("@host/x?"), F.when(n % 3 == 0, "Token=").when(n % 3 == 1, "PASSWORD=").otherwise("key="), n.cast("string"), F.lit("&a=1 end"))
     return own.select("c_custkey", amounts.redact(text).alias("redacted"))
 
 
@@ -492,6 +607,32 @@ def applied_blocks(x):
     return x.blocks.select("block_height", "block_hash", "previous_hash")
 
 
+def _materialized(x):
+    return maintain.materialize(x.creates, x.spends, x.blocks, x.edge(HALF))
+
+
+@query
+def materialized_utxo(x):
+    return _materialized(x)["utxo"].select("output_key", "address", "value_base", "version")
+
+
+@query
+def materialized_balances(x):
+    return _materialized(x)["balances"]
+
+
+@query
+def materialized_blocks(x):
+    return _materialized(x)["applied_blocks"]
+
+
+@query
+def backfilled_transactions(x):
+    # what is stored is off by 1000; the older half is made anew
+    stored = x.transactions.withColumn("fee_base", (F.col("fee_base") + 1000).cast(amounts.AMOUNT))
+    return maintain.backfill_facts(stored, x.creates, x.spends, x.edge(HALF)).select("txid", "block_height", "fee_base")
+
+
 @query
 def online_heights(x):
     tails = x.blocks.agg((F.max("block_height") - 50).alias("tail"), F.max("block_height").alias("target"))
@@ -513,8 +654,8 @@ def balance_invariant(x):
 
 @query
 def block_transactions(x):
-    total = Window.partitionBy("block_height")
-    return x.transactions.select("block_height", "tx_index", "txid", "output_total", "fee_base", F.count("*").over(total).alias("total_count"))
+    counts = x.transactions.groupBy("block_height").agg(F.count("*").alias("total_count"))
+    return x.transactions.join(counts, "block_height").select("block_height", "tx_index", "txid", "output_total", "fee_base", "total_count")
 
 
 @query
@@ -555,8 +696,8 @@ def _views(x):
 @query
 def guarded_top_fees(x):
     end = x.blocks.where(F.col("block_height") == x.tail - DEPTH).agg(F.max("block_time")).first()[0] or 0
-    sql = "select txid, fee_base, block_height from {transactions} where fee_base is not null order by fee_base desc, txid"
-    return guarded_query(x.spark, sql, _views(x), end - 7 * 86400, end, x.tail - DEPTH, 1000)
+    sql = "select txid, fee_base, block_height from transactions where fee_base is not null order by fee_base desc, txid"
+    return guarded_query(x.spark, sql, _views(x), end - 7 * 86400, end, x.tail - DEPTH, 1000).rows
 
 
 @query
@@ -630,6 +771,11 @@ def mempool_degraded(x):
     return mempool.degraded(x.snapshots, 10)
 
 
+@query
+def live_arrivals(x):
+    return mempool.live_arrivals(x.snapshots, 10)
+
+
 @query
 def active_watches(x):
     return mempool.active_watches(x.watches, x.watches.agg(F.max("created_at")).first()[0] or 0)

@@ -106,6 +106,15 @@ class Ledger:
     def balances(self) -> DataFrame:
         return ledger.balances(self.utxo)
 
+    @cached_property
+    def asked_txids(self) -> DataFrame:
+        """Transactions that reads with arguments ask for: every 50th order."""
+        return self.tx.where("o_orderkey % 50 = 0").select("txid")
+
+    @cached_property
+    def asked_addresses(self) -> DataFrame:
+        return self.table("supplier").where("s_suppkey % 5 = 0").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("address"))
+
     def forked(self, part: int) -> DataFrame:
         """Blocks with other hashes from the height on that lies a ``part``-th before the tail."""
         salted = F.sha2(F.concat(F.lit("fork"), F.col("block_height").cast("string")), 256)

@@ -32,20 +32,38 @@ def read_mempool_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return mempool_entries(spark.read.schema(MEMPOOL).json(path))
 
 
-def append_facts(tables: dict[str, DataFrame], path: str) -> None:
-    """Append a window's facts; processed blocks last, as the record that the window is complete."""
+def append_facts(tables: dict[str, DataFrame], path: str, window: str) -> None:
+    """Append a window's facts; processed blocks last, as the record that the window is complete.
+
+    ``window`` names it (its first and last height, say): each table gets a folder of that name, which
+    a repeated attempt overwrites, so that a window written twice counts once.
+    """
     for name in TABLES:
         if name in tables:
-            tables[name].write.mode("append").option("compression", "zstd").parquet(f"{path}/{name}")
+            tables[name].write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}/window_id={window}")
 
 
-def read_facts(spark: SparkSession, path: str, name: str, height: str) -> DataFrame:
+def read_facts(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A fact table without the rows of windows that were never completed."""
-    done = spark.read.parquet(f"{path}/processed_blocks").select(F.col("block_height").alias(height)).distinct()
-    return spark.read.parquet(f"{path}/{name}").join(done, height, "left_semi")
+    text = lambda df: df.withColumn("window_id", F.col("window_id").cast("string"))
+    done = text(spark.read.parquet(f"{path}/processed_blocks")).select("window_id").distinct()
+    return text(spark.read.parquet(f"{path}/{name}")).join(done, "window_id", "left_semi").drop("window_id")
+
+
+#: State tables of a snapshot.
+STATE = ["utxo", "balances", "applied_blocks"]
 
 
 def replace_state(tables: dict[str, DataFrame], path: str) -> None:
     """Write state tables anew (imports and compactions)."""
     for name, df in tables.items():
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+
+
+def read_state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in STATE}
+
+
+def import_state(spark: SparkSession, snapshot: str, path: str) -> None:
+    """Replace the state under ``path`` by the one of a snapshot, which must have all its tables."""
+    replace_state(read_state(spark, snapshot), path)

@@ -8,7 +8,7 @@ known height notes the height from which it replaces what earlier batches wrote;
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,10 +32,12 @@ def canonical_blocks(spark: SparkSession, path: str) -> DataFrame | None:
     log = _log(spark, path)
     if log is None:
         return None
-    # a row per reorganization; what a batch replaces has a lower batch number and the height or more
-    cuts = log.where("replaces_from is not null").groupBy(F.col("batch_id").alias("later")).agg(F.min("replaces_from").alias("from_height"))
-    void = log.join(F.broadcast(cuts), (F.col("later") > F.col("batch_id")) & (F.col("block_height") >= F.col("from_height")), "left_anti")
-    return latest_by(void, ["block_height"], [F.desc("batch_id")])
+    # what a batch replaces has a lower batch number and the height or more: of each batch the blocks
+    # below the least height that a later one replaces count; the window has one row for each batch
+    later = Window.orderBy(F.desc("batch_id")).rowsBetween(Window.unboundedPreceding, -1)
+    floors = log.groupBy("batch_id").agg(F.min("replaces_from").alias("from_height")).withColumn("floor", F.min("from_height").over(later))
+    counted = log.join(floors.select("batch_id", "floor"), "batch_id").where("floor is null or block_height < floor").drop("floor")
+    return latest_by(counted, ["block_height"], [F.desc("batch_id")])
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -58,9 +60,19 @@ def balances(spark: SparkSession, path: str) -> DataFrame:
 
 def apply_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     spark = batch.sparkSession
+    batch.persist()
+    try:
+        _apply(spark, batch, batch_id, path)
+    finally:
+        batch.unpersist()
+
+
+def _apply(spark: SparkSession, batch: DataFrame, batch_id: int, path: str) -> None:
     known = canonical_blocks(spark, path)
     if known is not None:
-        known = known.where(F.col("batch_id") < batch_id)  # a repeated batch starts anew
+        low, high = batch.agg(F.min("height"), F.max("height")).first()
+        # a repeated batch starts anew; only heights of the batch can be known or replaced
+        known = known.where((F.col("batch_id") < batch_id) & F.col("block_height").between(-1 if low is None else low, -1 if high is None else high))
         done = known.select(F.col("block_height").alias("height"), F.col("block_hash").alias("hash"))
         batch = batch.join(done, ["height", "hash"], "left_anti")
     if (bad := derive.violations(batch).first()) is not None:

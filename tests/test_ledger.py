@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import random
 from decimal import Decimal
+from statistics import median
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -149,3 +152,102 @@ def test_order_dependent_folds(spark):
     assert {r["watch_id"]: r["accepted"] for r in mempool.accepted_watches(watches).collect()} == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False, 9: True, 10: True}
     asked = spark.createDataFrame([(i, 1, t) for i, t in enumerate([0, 10, 20, 59, 60, 61])], "request_id long, subject long, at long")
     assert [(r["allowed"], r["remaining"]) for r in sorted(audit.replay_budget(asked, 2, 60).collect())] == [(True, 1), (True, 0), (False, 0), (False, 0), (True, 1), (True, 0)]
+
+
+def test_amounts_of_numbers_and_hex(spark):
+    """Values worked out from the published rules, not from the same formula."""
+    df = spark.createDataFrame([(1e-8, "0x1"), (1e-7, "ff"), (0.1 + 0.2, "0x" + "0" * 50 + "1f"), (12.5, "0" * 3 + "f" * 31), (-3.0, "f" * 32), (1e-9, "0X1"), (None, "0x"), (2.0**40, "xyz"), (0.0, "-1")], "v double, h string")
+    got = df.select(amounts.number_to_base_units(F.col("v")).alias("u"), amounts.hex_units(F.col("h")).alias("x")).collect()
+    plain = lambda v: None if v is None else int(v)
+    assert [plain(r["u"]) for r in got] == [1, 10, 30_000_000, 1_250_000_000, -300_000_000, 0, None, 2**40 * 10**8, 0]
+    assert [plain(r["x"]) for r in got] == [1, 255, 31, 16**31 - 1, None, None, None, None, None]
+    times = spark.createDataFrame([("12",), (" 1700000000 ",), ("1970-01-01T00:00:01.999Z",), ("2020-01-01T00:00:00+01:00",), ("x",), (None,)], "t string").select(amounts.to_seconds(F.col("t")).alias("s"))
+    assert [r["s"] for r in times.collect()] == [12, 1700000000, 1, 1577833200, None, None]
+    keys = spark.createDataFrame([("a:b:c",), ("a",), ("",), (":b",)], "k string").select(amounts.parse_balance_key(F.col("k")).alias("p")).select("p.*").collect()
+    assert [tuple(r) for r in keys] == [("a", "b:c"), ("a", ""), ("", ""), ("", "b")]
+    texts = ["http://user:pw@host/", "http://user@host", "Password=abc&x=1 TOKEN=q,z secret=", "x" * 600]
+    hidden = spark.createDataFrame([(t,) for t in texts], "t string").select(amounts.redact(F.col("t")).alias("r")).collect()
+    assert [r["r"] for r in hidden] == ["http://***:***@host/", "http://user@host", "Password=*** TOKEN=*** secret=", "x" * 500]
+
+
+def test_mempool_fees_by_json_kind(spark):
+    """Numbers in any notation count; of a sample a fee of another kind gives way to the nested one, of an explorer entry it doesn't."""
+    raw = {
+        "number": '{"fee": 0.00000001, "vsize": 1000}', "power": '{"fee": 1e-7, "size": 10.0}', "true": '{"fee": true, "fees": {"base": "0.5"}, "vsize": "7"}', "null": '{"fee": null, "fees": {"base": 2}}',
+        "blank": '{"fee": " ", "fees": {"base": 3, "modified": "0.1", "ancestor": 1, "descendant": 2}}', "bad": '{"fee": "x", "fees": {"base": 4}, "size": -1, "vsize": 9}', "none": "{}", "broken": "{", "precise": '{"fee": "0.000000001"}',
+        "depends": json.dumps({"depends": ["a", " ", 5, "b"]}),
+    }
+    entries = spark.createDataFrame([(k, v) for k, v in raw.items()], "txid string, raw_json string").withColumn("fetched_at", F.timestamp_seconds(F.lit(5)))
+    sampled = {r["txid"]: (r["fee_base"], r["size_bytes"], r["fee_rate"]) for r in mempool.sampled(entries).collect()}
+    assert sampled == {
+        "number": (1, 1000, 1), "power": (10, 10, 1000), "true": (50_000_000, None, None), "null": (200_000_000, None, None), "blank": (300_000_000, None, None), "bad": (None, 9, None), "none": (None, None, None),
+        "broken": (None, None, None), "precise": (None, None, None), "depends": (None, None, None),
+    }
+    normal = {r["txid"]: r for r in mempool.normalized(entries).collect()}
+    assert [normal[k]["fee_base"] for k in ("number", "true", "null", "blank", "bad")] == [1, None, None, None, None]
+    blank = normal["blank"]
+    assert (blank["modified_fee"], blank["ancestor_fee"], blank["descendant_fee"]) == (10_000_000, 100_000_000, 200_000_000)
+    assert normal["depends"]["depends"] == ["a", "b"] and normal["broken"]["depends"] == []
+
+
+def test_median_of_counts(spark):
+    rng = random.Random(4)
+    for n in (0, 1, 2, 7, 400):
+        rates = [rng.choice([rng.randint(0, 50), rng.randint(0, 10**12), 65535, 65536]) for _ in range(n)]
+        df = spark.createDataFrame([(r,) for r in rates] + [(None,)], "fee_rate long")
+        got = mempool.fee_distribution(df).first()
+        assert (got["samples"], got["median"]) == (n + 1, None if not rates else round(median(rates), 4))
+
+
+def test_degraded_snapshots_match_nothing(spark):
+    snaps = [(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (2, "d"), (3, "a"), (3, "d"), (4, "a"), (4, "e")]
+    got = mempool.live_arrivals(spark.createDataFrame(snaps, "snapshot long, txid string"), 3)
+    # 2 is degraded; 3 starts from nothing known, so a and d are new again
+    assert rows(got, "snapshot", "txid") == [(1, "a"), (1, "b"), (3, "a"), (3, "d"), (4, "e")]
+
+
+def test_as_of_and_strict_windows(spark):
+    creates = spark.createDataFrame([("o", "t1", 1, 5, "a"), ("o", "t1", 8, 6, "a"), ("p", "t2", 2, 7, "a")], "output_key string, txid string, block_height long, value_base long, address string")
+    spends = spark.createDataFrame([("o", "s1", 3, 0), ("o", "s2", 9, 0)], "spent_output_key string, spent_by_txid string, spent_in_block long, input_index long")
+    keys = spark.createDataFrame([("o",), ("o",), ("x",)], "output_key string")
+    at = lambda h: rows(ledger.history_as_of(creates, spends, keys, h), "output_key", "value_base", "spent_by_txid")
+    assert at(0) == [] and at(2) == [("o", 5, None)] and at(5) == [("o", 5, "s1")] and at(9) == [("o", 6, "s2")]
+    state = spark.createDataFrame([("o", "t1", 1, "a", 5, True, "s1", 3, 0), ("p", "t2", 2, "a", 7, True, None, None, None)], "output_key string, txid string, block_height long, address string, value_base long, is_spendable boolean, spent_by_txid string, spent_in_block long, input_index long")
+    none = state.limit(0)
+    spend = lambda key, by, at: spark.createDataFrame([(key, by, at, 0)], "spent_output_key string, spent_by_txid string, spent_in_block long, input_index long")
+    assert maintain.apply_window_strictly(state, none, spend("p", "s3", 4)).where("spent_by_txid is null").isEmpty()
+    assert maintain.apply_window_strictly(state, none, spend("o", "s1", 3)).count() == 2  # the same spend again
+    with pytest.raises(ValueError, match="isn't there"):
+        maintain.apply_window_strictly(state, none, spend("q", "s3", 4))
+    with pytest.raises(ValueError, match="has spent"):
+        maintain.apply_window_strictly(state, none, spend("o", "s3", 4))
+
+
+def test_folds_across_batches(spark):
+    """Owners and subjects larger than a batch are folded whole; null is one of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        n = 100
+        watches = spark.createDataFrame([(i, None if i % 3 == 0 else i % 3, i, i + 20) for i in range(n)], "watch_id long, owner long, created_at long, expires_at long")
+        got = {r["watch_id"]: r["accepted"] for r in mempool.accepted_watches(watches).collect()}
+        live, want = {0: [], 1: [], 2: []}, {}
+        for i in range(n):
+            own = live[i % 3] = [e for e in live[i % 3] if e > i]
+            want[i] = len(own) < 5
+            if want[i]:
+                own.append(i + 20)
+        assert got == want and not all(want.values())
+        requests = spark.createDataFrame([(i, i % 2, i) for i in range(n)], "request_id long, subject long, at long")
+        found = rows(audit.replay_budget(requests, 3, 10), "request_id", "allowed", "remaining")
+        state, expect = {0: (None, 0), 1: (None, 0)}, []
+        for i in range(n):
+            start, used = state[i % 2]
+            if start is None or i >= start + 10:
+                start, used = i, 0
+            ok = used < 3
+            used += ok
+            state[i % 2] = (start, used)
+            expect.append((i, ok, 3 - used))
+        assert found == expect
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

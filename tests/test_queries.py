@@ -34,18 +34,43 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    if name not in ORACLE_SQL:
-        assert name in ("accepted_watches", "budget_replay") and got
-        return
     want = duck.sql(ORACLE_SQL[name])
     assert sorted(want.columns) == columns
     at = [want.columns.index(c) for c in columns]
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
-def test_guards(spark):
+def guarded(spark, sql, start=0, end=5, limit=10):
     from ledgerloom.plans.analytics import guarded_query
 
-    for args in (("select 1", {}, 10, 5, 1), ("select 1", {}, 0, 8 * 86400, 1), ("drop table x", {}, 0, 5, 1)):
-        with pytest.raises(ValueError):
-            guarded_query(spark, *args)
+    views = {
+        "transactions": spark.createDataFrame([(f"t{i}", i, i, 10 * i) for i in range(10)], "txid string, block_height long, block_time long, fee_base long"),
+        "balances": spark.createDataFrame([("a", 1)], "address string, balance long"),
+        "mempool_samples": spark.sql("select timestamp_seconds(3) as sampled_at, 'x' as txid"),
+    }
+    return guarded_query(spark, sql, views, start, end, 3, limit)
+
+
+def test_guarded_rows(spark):
+    import hashlib
+
+    found = guarded(spark, "select txid, fee_base from transactions where block_time >= :from_time order by txid;", "1970-01-01T00:00:01Z", "5")
+    assert [tuple(r) for r in found.rows.collect()] == [("t1", 10), ("t2", 20), ("t3", 30)]
+    assert found.columns == [("txid", "string"), ("fee_base", "bigint")] and (found.start, found.end, found.finalized) == ("1970-01-01T00:00:01Z", "1970-01-01T00:00:05Z", 3)
+    assert found.hash == hashlib.sha256(b"select txid, fee_base from transactions where block_time >= :from_time order by txid").hexdigest()
+    joined = guarded(spark, "with m as (select max(balance) as b from balances) select txid, 'drop table; -- x' as note from transactions join m on b = 1 -- a comment", limit=2).rows
+    assert joined.count() == 2 and guarded(spark, "select txid from mempool_samples").rows.count() == 1
+    assert guarded(spark, "select count(*) as n, sum(fee_base * 2) as f from transactions").rows.first()["n"] == 4
+
+
+def test_guards(spark, tmp_path):
+    spark.range(3).write.mode("overwrite").parquet(f"{tmp_path}/secret")
+    spark.range(3).createOrReplaceTempView("outside")
+    bad = [
+        (f"select count(*) from parquet.`{tmp_path}/secret`",), (f'select count(*) from parquet."{tmp_path}/secret"',), ("drop table x",), ("select 1; select 2",), ("select * from transactions",), ("select txid, t.* from transactions t",),
+        ("with a as (select 1 as x) insert into transactions select x from a",), ("select id from outside",), ("select x from global_temp.y",), ("select x from spark_catalog.default.y",), ("select id from nowhere",), ("",), ("select txid from transactions " + " " * 9000 + "where 1 = 1",),
+        ("select 1 as x", 10, 5), ("select 1 as x", 0, 8 * 86400), ("select 1 as x", 0, 5, 0), ("select 1 as x", 0, 5, 1001), ("select 1 as x", "no time", 5),
+    ]
+    for args in bad:
+        with pytest.raises(Exception):
+            guarded(spark, *args).rows.collect()
