@@ -1,24 +1,27 @@
-"""Removal of repeated strings of 200 bytes by buckets and hashes.
+"""Removal of repeated strings of 200 bytes by bucket-pointer refinement.
 
 A byte goes if it lies in a 200-byte string that also starts anywhere else in the corpus. Strings
 are put in buckets, which are refined until they hold equal strings only:
 
-1. Initial buckets. Every 200-byte window names the least of its 32-byte grams (by hash, the first
-   of equals) as its anchor; neighbouring windows mostly share it. Equal windows have equal anchors
-   at equal offsets, so a bucket is the set of anchors with the same gram, and holds one row for a
-   run of windows instead of one for each byte. Buckets of one anchor are done: nothing repeats.
-2. A bucket is refined by the strings around the anchors, from the first byte of the run's first
-   window to the last of its last one. Of anchors that agree in all of it, every window repeats.
-3. What is left (anchors with a common gram and different surroundings) is refined window by window.
-   A window's bucket is named by doubling: the bucket of a string of length 2q is that of its first
-   half together with that to which the offset q further on points, each level made from the one
-   before. This multiplies out to a rolling hash of the 200 bytes, which takes the place of
-   refinement in rounds (each a shuffle of all open windows). Windows of equal names repeat.
-
-Names of buckets are 64-bit hashes, so no global ranks are needed; a false match has a probability
-of about 1e-7 for 1e6 compared windows of one anchor each (1e-4 in a corpus of 1e8 open windows).
-Open windows travel as one context string for each anchor; buckets with more than ``HOT_KEY`` open
-anchors are dealt out window by window instead, summed up before the shuffle.
+1. Initial q-gram buckets, over the whole corpus. Every 200-byte window names the least of its
+   32-byte grams (by hash, the first of equals) as its anchor; neighbouring windows mostly share it.
+   Equal windows have equal anchors at equal offsets, so a bucket is the set of anchors with the same
+   gram, and holds one row for a run of windows instead of one for each byte. Buckets of one anchor
+   are done: nothing repeats. A hash decides only which bucket a string goes to.
+2. Anchors of a bucket that agree in all of their surroundings, from the first byte of the run's first
+   window to the last of its last one, are done too: every window repeats. Surroundings are compared
+   by 128-bit hashes; one of the anchors goes on and stands for all against the rest of the bucket.
+3. The anchors that are left travel as one context string each, and each bucket is refined by bucket
+   pointers: positions are sorted by their 8 bytes, then by their own bucket and the one that the
+   position 8 further on points to, which gives the buckets of 16 bytes, and so on from the pointers
+   just made to 32, 64, 128 and 200 bytes. A position that is alone in its bucket is settled and takes
+   no part in later rounds. These buckets hold equal bytes, by comparison of the bytes themselves.
+
+A bucket with more than ``HOT_KEY`` open anchors would be too large for one group. Its windows go one
+by one to the buckets of their 200 bytes (by 128-bit hashes), which are counted before the shuffle.
+Equal 128-bit hashes count as equal strings: a false match has a probability of 1e-18 in 1e10 of them.
+
+Texts are known by 64-bit hashes, chosen so that no two different texts of the corpus share one.
 
 Defined cases: null text is empty; texts shorter than 200 bytes keep all; texts of any length are
 worked on in pieces that overlap; repeated rows are repeats of each other; an empty table gives no
@@ -28,15 +31,16 @@ rows; other columns are not read.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, free_name, marked, maybe_in, stored, table
 
 LENGTH, GRAM = 200, 32
 #: Windows in one piece of a long text, and bytes of short texts that are worked on together.
 PIECE, BATCH = 4 << 20, 1 << 20
-HOT_KEY = 100_000
+#: Open anchors of a bucket that is refined in one group (some 3 MB of contexts).
+HOT_KEY = 10_000
 #: Contexts that one group of the window comparison holds on average.
 GROUP_ROWS = 8000
 _BASE = 0x9E3779B97F4A7C15
@@ -65,14 +69,42 @@ def _mixed(x):
     return x ^ (x >> np.uint64(32))
 
 
-def window_names(data):
-    """Names of the 200-byte strings that start at each byte of ``data``: 200 = 128 + 64 + 8."""
+def equal_windows(data, ends, starts):
+    """Which of the 200-byte strings that begin at ``starts`` begin at another of them too? By bucket pointers.
+
+    ``data`` holds strings end to end, ``ends`` where they end; no window crosses an end.
+    """
     import numpy as np
 
-    ids = {1: data.astype(np.uint64) + np.uint64(1)}
-    _doubled(ids, 128)
-    n = max(0, len(data) - LENGTH + 1)
-    return _mixed(ids[128][:n] * np.uint64(_power(72)) + ids[64][128 : 128 + n] * np.uint64(_power(8)) + ids[8][192 : 192 + n])
+    n = len(data)
+    if n < LENGTH or len(starts) < 2:
+        return np.zeros(len(starts), bool)
+    end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+    at, q = np.arange(n), 8
+    grams = np.lib.stride_tricks.sliding_window_view(data, q).copy().view(np.uint64).ravel()
+    open_ = at[: n - q + 1][at[: n - q + 1] + q <= end[: n - q + 1]]
+    names, pointer = grams[open_], None
+
+    def refined(names, open_):
+        """Pointers of all positions: the bucket of an open one that isn't alone, else one of its own; and the positions still open."""
+        _, bucket, size = np.unique(names, return_inverse=True, return_counts=True)
+        kept = size[bucket] > 1
+        pointer = at + n
+        pointer[open_[kept]] = bucket[kept]
+        return pointer, open_[kept]
+
+    while q < 128:
+        pointer, open_ = refined(names, open_)
+        open_ = open_[open_ + 2 * q <= end[open_]]
+        names = pointer[open_] * (2 * n) + pointer[open_ + q]
+        q *= 2
+    pointer, open_ = refined(names, open_)
+    whole = pointer[starts] < n  # 200 bytes: the first 128 and the last 128 of them
+    some = starts[whole]
+    _, bucket, size = np.unique(pointer[some] * (2 * n) + pointer[some + LENGTH - q], return_inverse=True, return_counts=True)
+    found = np.zeros(len(starts), bool)
+    found[whole] = size[bucket] > 1
+    return found
 
 
 def anchors(data, ends):
@@ -142,16 +174,24 @@ def _runs(texts, lo, hi):
     return texts[first], lo[first], np.maximum.reduceat(hi, first)
 
 
+def _names(raw: bytes, first, sizes, seeds):
+    """128-bit hashes of parts of ``raw``, as two columns."""
+    import numpy as np
+    import xxhash
+
+    digest = xxhash.xxh128_digest
+    return np.frombuffer(b"".join([digest(raw[a : a + n], seed=o) for a, n, o in zip(first.tolist(), sizes.tolist(), seeds.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+
 def _anchor_rows(batches):
-    """Texts (doc, text) to anchors: key, context, doc, place (first window << 16 | offset << 8 | windows - 1), n.
+    """Texts (doc, text) to anchors: key, context (c1, c2), doc, place (first window << 16 | offset << 8 | windows - 1), n.
 
     n is 1, or 2 where the text itself or the batch has the anchor in the same surroundings again;
     of such anchors one goes on, and the windows of a text's others are settled: they leave as spans
-    with n = 0, place the first byte and context the one after the last. So neither periodic texts
-    nor copies fill a bucket.
+    with n = 0, place the first byte and c1 the one after the last. So neither periodic texts nor
+    copies fill a bucket.
     """
     import numpy as np
-    import xxhash
 
     for batch in batches:
         times = batch.groupby("doc")["doc"].transform("size")
@@ -161,59 +201,65 @@ def _anchor_rows(batches):
             key, place, first, count = anchors(data, ends)
             text = np.searchsorted(ends, first, side="right")
             begins = np.concatenate([[0], ends[:-1]])
-            raw, off = data.tobytes(), place - first
-            context = np.array([xxhash.xxh64_intdigest(raw[a : a + n + LENGTH - 1], seed=o) for a, n, o in zip(first.tolist(), count.tolist(), off.tolist(), strict=True)], np.uint64)
+            off = place - first
+            context = _names(data.tobytes(), first, count + LENGTH - 1, off)
             at = first - begins[text] + np.array(offsets, np.int64)[text]
             owner = np.array(owners, np.int64)[text]
-            name = _mixed(key ^ _mixed(context ^ _mixed(owner.astype(np.uint64) + np.uint64(1))))
-            _, lead, group, many = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-            leads = np.zeros(len(name), bool)
+            name = _mixed(key ^ _mixed(context[:, 0].view(np.uint64) ^ _mixed(owner.astype(np.uint64) + np.uint64(1))))
+            _, lead, group = np.unique(name, return_index=True, return_inverse=True)
+            of = lead[group]
+            same = (key == key[of]) & (context == context[of]).all(axis=1) & (owner == owner[of])
+            many = np.bincount(group[same], minlength=len(lead))
+            leads = ~same
             leads[lead] = True
-            n = np.maximum(copies[owner], np.minimum(many[group], 2))
+            n = np.maximum(copies[owner], np.where(same, np.minimum(many[group], 2), 1))
             again = ~leads
             of, lo, hi = _runs(owner[again], at[again], at[again] + count[again] - 1 + LENGTH)
             spread = _mixed(docs[of].view(np.uint64) + lo.astype(np.uint64)) if len(of) else np.zeros(0, np.uint64)
+            none = np.zeros(len(of), np.int64)
             yield pd.DataFrame({
                 "key": np.concatenate([key[leads], spread]).view(np.int64),
-                "context": np.concatenate([context[leads].view(np.int64), hi]),
+                "c1": np.concatenate([context[leads, 0], hi]),
+                "c2": np.concatenate([context[leads, 1], none]),
                 "doc": np.concatenate([docs[owner[leads]], docs[of]]),
                 "place": np.concatenate([(at << 16 | off << 8 | (count - 1))[leads], lo]),
-                "n": np.concatenate([n[leads], np.zeros(len(of), np.int64)]),
+                "n": np.concatenate([n[leads], none]),
             })
 
 
 def _context_rows(batches):
     """Texts with their open anchors to contexts: key, doc, first window, bytes."""
     for batch in batches:
-        out = []
         for doc, text, opened in zip(batch["doc"], batch["text"], batch["opened"], strict=True):
-            b = text.encode()
+            b, out = text.encode(), []
             for x in opened:
                 at, n = x["place"] >> 16, (x["place"] & 255) + 1
                 out.append((x["key"], doc, at, b[at : at + n + LENGTH - 1]))
-        yield pd.DataFrame(out, columns=["key", "doc", "at", "bytes"])
+                if len(out) >= 10_000:
+                    yield pd.DataFrame(out, columns=["key", "doc", "at", "bytes"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=["key", "doc", "at", "bytes"])
 
 
-def _named(group: pd.DataFrame):
-    """Names of all windows of the contexts, and for each its context's row and number in it."""
+def _windows(group: pd.DataFrame):
+    """The contexts end to end, where they end, where their windows begin, each window's context and number in it."""
     import numpy as np
 
-    sizes = group["bytes"].map(len).to_numpy()
-    names = window_names(np.frombuffer(b"".join(group["bytes"]), np.uint8))
-    begins = np.cumsum(sizes) - sizes
+    sizes = group["bytes"].map(len).to_numpy(np.int64)
+    ends = np.cumsum(sizes)
     count = sizes - LENGTH + 1
     row = np.repeat(np.arange(len(group)), count)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    return names[begins[row] + nth], row, nth
+    return np.frombuffer(b"".join(group["bytes"]), np.uint8), ends, (ends - sizes)[row] + nth, row, nth
 
 
 def _repeated(group: pd.DataFrame) -> pd.DataFrame:
     """Runs of windows (doc, lo, hi) that occur twice or more among the contexts."""
     import numpy as np
 
-    names, row, nth = _named(group)
-    _, of, times = np.unique(names, return_inverse=True, return_counts=True)
-    hit = np.flatnonzero(times[of] > 1)
+    data, ends, starts, row, nth = _windows(group)
+    hit = np.flatnonzero(equal_windows(data, ends, starts))
     at = group["at"].to_numpy()[row[hit]] + nth[hit]
     fresh = np.ones(len(hit), bool)
     fresh[1:] = (row[hit][1:] != row[hit][:-1]) | (at[1:] != at[:-1] + 1)
@@ -227,8 +273,9 @@ def _window_rows(batches):
 
     for batch in batches:
         if len(batch):
-            names, row, nth = _named(batch)
-            yield pd.DataFrame({"name": names.view(np.int64), "doc": batch["doc"].to_numpy()[row], "at": batch["at"].to_numpy()[row] + nth})
+            data, _, starts, row, nth = _windows(batch)
+            names = _names(data.tobytes(), starts, np.full(len(starts), LENGTH), np.zeros(len(starts), np.int64))
+            yield pd.DataFrame({"c1": names[:, 0], "c2": names[:, 1], "doc": batch["doc"].to_numpy()[row], "at": batch["at"].to_numpy()[row] + nth})
 
 
 def _removed(batches):
@@ -252,44 +299,63 @@ def _removed(batches):
 
 def repeated_spans(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """doc, lo, hi: parts of the texts of ``docs`` (doc, text) in which every window repeats; they may overlap."""
-    rows = docs.where(F.octet_length("text") >= LENGTH).mapInPandas(_anchor_rows, "key long, context long, doc long, place long, n long").repartition("key")
-    by_key, by_both = Window.partitionBy("key"), Window.partitionBy("key", "context")
-    counted = rows.withColumn("same", F.sum("n").over(by_both)).withColumn("nth", F.row_number().over(by_both.orderBy("doc", "place"))).withColumn("all", F.sum("n").over(by_key)).where("n = 0 or all > 1")
-    # of anchors that agree, one stands for all against the others of the bucket
-    counted = counted.withColumn("opened", F.expr("n > 0 and (same = 1 or same < all and nth = 1)"))
-    counted = counted.withColumn("bucket", F.sum(F.col("opened").cast("long")).over(by_key))
+    rows = stored(docs.where(F.octet_length("text") >= LENGTH).mapInPandas(_anchor_rows, "key long, c1 long, c2 long, doc long, place long, n long"), "anchors")
+    # buckets are counted before the shuffle, and the anchors that are alone in theirs never travel
+    full = rows.where("n > 0").groupBy("key").agg(F.sum("n").alias("all")).where("all > 1").select("key")
+    some = maybe_in(rows.where("n > 0"), F.col("key"), full.withColumnRenamed("key", "bucket"), "bucket")
+    pairs = cut(some.groupBy("key", "c1", "c2").agg(F.sum("n").alias("same"), F.min(F.struct("doc", "place")).alias("lead")))
     windows = F.col("place").bitwiseAND(F.lit(255))
-    lo = F.when(F.col("n") == 0, F.col("place")).otherwise(F.shiftright("place", 16))
-    hi = F.when(F.col("n") == 0, F.col("context")).otherwise(F.shiftright("place", 16) + windows + LENGTH)
-    kept = cut(counted.select("key", "doc", "place", lo.alias("lo"), hi.alias("hi"), ((F.col("n") == 0) | (F.col("same") > 1)).alias("settled"), "opened", "bucket"))
-    settled = kept.where("settled").select("doc", "lo", "hi")
-    left = kept.where("opened").groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("opened"))
-    # one of all copies, so that contexts are as many as the opened anchors; copies meet before the shuffle
-    texts = docs.groupBy("doc").agg(F.first("text").alias("text"))
-    contexts = texts.join(left, "doc").select("doc", "text", "opened").mapInPandas(_context_rows, "key long, doc long, at long, bytes binary")
-    bins = max(1, -(-kept.where("opened").count() // GROUP_ROWS))
-    if hot := [r[0] for r in kept.where(F.col("opened") & (F.col("bucket") > hot_key)).select("key").distinct().limit(10_001).collect()]:
-        if len(hot) > 10_000:  # too many to name: all buckets take the way of the hot ones
-            ordinary, frequent = contexts.limit(0), contexts
-        else:
-            ordinary, frequent = contexts.where(~F.col("key").isin(hot)), contexts.where(F.col("key").isin(hot))
-        windows = frequent.mapInPandas(_window_rows, "name long, doc long, at long")
-        twice = windows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-        more = windows.join(twice, "name").select("doc", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
-    else:
-        ordinary, more = contexts, None
-    found = ordinary.groupBy(F.pmod(F.xxhash64("key"), F.lit(bins))).applyInPandas(_repeated, "doc long, lo long, hi long")
+    again = some.join(pairs.where("same > 1").select("key", "c1", "c2"), ["key", "c1", "c2"], "left_semi")
+    settled = rows.where("n = 0").select("doc", F.col("place").alias("lo"), F.col("c1").alias("hi"))
+    settled = settled.union(again.select("doc", F.shiftright("place", 16).alias("lo"), (F.shiftright("place", 16) + windows + LENGTH).alias("hi")))
+    # of anchors that agree, one stands for all against the others of the bucket
+    many = pairs.groupBy("key").agg(F.count("*").alias("open")).where("open > 1")
+    opened = cut(pairs.join(many, "key").select("key", "open", "lead.doc", "lead.place"))
+    usual, hot = opened.where(F.col("open") <= hot_key), opened.where(F.col("open") > hot_key)
+    bins = max(1, -(-usual.count() // GROUP_ROWS))
+    found = _contexts(docs, usual).groupBy(F.pmod(F.xxhash64("key"), F.lit(bins))).applyInPandas(_repeated, "doc long, lo long, hi long")
     out = settled.union(found)
-    return (out.union(more) if more is not None else out).distinct()
+    if not hot.isEmpty():
+        one_by_one = _contexts(docs, hot).mapInPandas(_window_rows, "c1 long, c2 long, doc long, at long")
+        twice = one_by_one.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2")
+        out = out.union(one_by_one.join(twice, ["c1", "c2"], "left_semi").select("doc", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")))
+    return out.distinct()
+
+
+def _contexts(docs: DataFrame, opened: DataFrame) -> DataFrame:
+    """key, doc, first window, bytes of the opened anchors."""
+    left = opened.groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("opened"))
+    # one of all copies, so that contexts are as many as the opened anchors; copies meet before the shuffle
+    texts = maybe_in(docs, F.col("doc"), opened.select(F.col("doc").alias("of")), "of").groupBy("doc").agg(F.first("text").alias("text"))
+    return texts.join(left, "doc").select("doc", "text", "opened").mapInPandas(_context_rows, "key long, doc long, at long, bytes binary")
+
+
+def _text_names(docs: DataFrame, text: Column) -> Column:
+    """A 64-bit hash of the text under which no two different texts of ``docs`` meet."""
+    seed = 0
+    while True:
+        name = F.xxhash64(F.lit(seed), text)
+        each = docs.select(name.alias("doc"), F.sha2(text.cast("binary"), 256).alias("sha")).groupBy("doc").agg(F.min("sha").alias("lo"), F.max("sha").alias("hi"))
+        if each.where("lo <> hi").isEmpty():
+            return name
+        seed += 1
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_key: int = HOT_KEY) -> DataFrame:
-    """doc_id, n_bytes, spans (removed runs [lo, hi) of bytes, in order), kept (the other bytes)."""
+    """doc_id, n_bytes, spans (removed runs [lo, hi) of bytes, in order), kept (the other bytes).
+
+    Texts without repeats stay where they are; only those that may have some are shuffled.
+    """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("doc"))
-    spans = repeated_spans(own.select("doc", "text"), hot_key).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = own.join(spans, "doc", "left").select("id", "text", "spans")
-    return joined.mapInPandas(_removed, "id long, n_bytes long, spans array<array<long>>, kept binary").withColumnRenamed("id", "doc_id")
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
+    own = own.withColumn("doc", _text_names(own, F.col("text")))
+    spans = cut(repeated_spans(own.select("doc", "text"), hot_key).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    may = free_name(own, "may")
+    flagged = marked(own, F.col("doc"), spans.select(F.col("doc").alias("of")), "of", may)
+    none = F.lit(None).cast(spans.schema["spans"].dataType)
+    rest = flagged.where(~F.col(may)).select("id", "text", none.alias("spans"))
+    some = flagged.where(may).join(spans, "doc", "left").select("id", "text", "spans")
+    return rest.union(some).mapInPandas(_removed, "id long, n_bytes long, spans array<array<long>>, kept binary").withColumnRenamed("id", "doc_id")
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from helpers import documents, edge_rows, got, prose
 from pyspark.sql import functions as F
@@ -116,6 +117,21 @@ def test_repeats(spark, monkeypatch, hot, piece):
     assert substrings.remove_repeats(documents(spark, rows).limit(0)).isEmpty()
 
 
+def test_equal_windows():
+    """Bucket pointers against slices, on strings of few letters and of many, with windows at every place."""
+    rng = random.Random(31)
+    for letters in ("a", "ab", "abcdefgh"):
+        for _ in range(30):
+            parts = [("".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) * rng.randint(1, 9)).encode() for _ in range(rng.randint(1, 12))]
+            common = "".join(rng.choice("abcdefgh") for _ in range(rng.choice([150, 199, 200, 203, 260]))).encode()
+            parts = [rng.choice([p, p + common, common + p, p + common + p[:9]]) for p in parts]
+            data, ends = b"".join(parts), np.cumsum([len(p) for p in parts])
+            starts = np.array([e - len(p) + i for p, e in zip(parts, ends, strict=True) for i in range(len(p) - 199) if rng.random() < 0.9], np.int64)
+            times = collections.Counter(data[i : i + 200] for i in starts)
+            want = [times[data[i : i + 200]] > 1 for i in starts]
+            assert substrings.equal_windows(np.frombuffer(data, np.uint8), ends, starts).tolist() == want
+
+
 # --- quality ---
 
 
