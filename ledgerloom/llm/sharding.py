@@ -4,15 +4,17 @@ Rows are ordered by (hash of the text, hash of the id), so equal texts stand tog
 splitters between the shards are found by counting: each round sums the exact bytes of the rows
 between candidate boundaries (64 for every splitter still open) over all partitions, and continues
 inside the bin that holds the splitter's target. A splitter is settled when its bin is lighter than
-the tolerance, or holds one text only; a text heavier than ``GROUP_TOLERANCE`` of a shard is
-divided the same way by the hash of the id, a lighter one goes to the nearer side whole. The driver
+``TOLERANCE`` of a shard, or holds one text only. The law says that shards are near equal: their bytes
+differ from the mean by at most ``NEAR`` of it where rows allow. Equal texts stay together wherever
+that law allows it, that is, where a splitter beside them misses its target by half of ``NEAR`` at
+most; else they are divided at the splitter by the hash of the id, and the result says so. The driver
 gets at most 64 sums for each splitter and round. Then the rows are exchanged once.
 
 The slot is the row's number in its shard. Numbering runs over many sub-buckets of each shard, whose
 sizes are counted beforehand, so that no task holds a shard.
 
 Defined cases: null text has no bytes and counts as a text of its own; null ids are a value like
-others; rows equal in text and id stay together; an empty table has no rows; other columns are
+others; rows equal in text and id stay together and take their slots in any order; an empty table has no rows; other columns are
 carried along.
 """
 
@@ -24,10 +26,10 @@ from pyspark.sql import functions as F
 from .common import cut, free_name, table
 
 SHARDS = 24
-#: Share of a shard's bytes by which a splitter may miss its target where rows allow.
+#: The law: shards' bytes differ from their mean by at most this share of it, where rows allow.
+NEAR = 0.02
+#: Share of a shard's bytes to which a splitter's place is found.
 TOLERANCE = 0.0005
-#: A text with a smaller share of a shard's bytes isn't divided.
-GROUP_TOLERANCE = 0.02
 ROW_BYTES = 8
 BITS, RADIX = 63, 6
 #: Rows of a sub-bucket that one task numbers, and the most sub-buckets of a shard.
@@ -82,7 +84,12 @@ def _nearer(b: dict) -> int:
     return b["lo"] if b["target"] - b["below"] <= b["below"] + b["bytes"] - b["target"] else b["hi"]
 
 
-def splitters(rows: DataFrame, n: int, tolerance: float = TOLERANCE, group_tolerance: float = GROUP_TOLERANCE) -> list[tuple[int, int]]:
+def _missed(b: dict) -> float:
+    """By how many bytes the nearer side of a bin misses the target."""
+    return min(b["target"] - b["below"], b["below"] + b["bytes"] - b["target"])
+
+
+def splitters(rows: DataFrame, n: int, tolerance: float = TOLERANCE, near: float = NEAR) -> list[tuple[int, int]]:
     """n - 1 boundaries (u, v): the rows at or after the i-th belong to shard i + 1 or a later one.
 
     rows: u and v (63-bit keys), size.
@@ -92,7 +99,7 @@ def splitters(rows: DataFrame, n: int, tolerance: float = TOLERANCE, group_toler
         return [(TOP, TOP)] * (n - 1)
     shard = total / n
     first = _refine(rows, "u", None, {i: (total * i / n, 0, 0) for i in range(1, n)}, shard * tolerance)
-    heavy = {i: (b["target"], b["below"], b["lo"]) for i, b in first.items() if b["single"] and b["bytes"] > shard * group_tolerance}
+    heavy = {i: (b["target"], b["below"], b["lo"]) for i, b in first.items() if b["single"] and _missed(b) > shard * near / 2}
     second = _refine(rows.where(F.col("u").isin(*{g for *_, g in heavy.values()})), "v", F.col("u"), heavy, shard * tolerance) if heavy else {}
     out = []
     for i, b in first.items():
@@ -102,8 +109,8 @@ def splitters(rows: DataFrame, n: int, tolerance: float = TOLERANCE, group_toler
 
 
 def shard_by_bytes(docs: DataFrame, n: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``shard`` and ``slot`` (numbered from 0 in each shard); their columns of that name are replaced."""
-    docs = docs.drop("shard", "slot")
+    """``docs`` with ``shard``, ``slot`` (numbered from 0 in each shard) and ``divided`` (equal texts lie in several shards); their columns of that name are replaced."""
+    docs = docs.drop("shard", "slot", "divided")
     text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     u, v = _hash63(text, text.isNull()), _hash63(ident, ident.isNull())
     rows = cut(docs.select(u.alias("u"), v.alias("v"), row_size(text).alias("size")))
@@ -128,11 +135,13 @@ def shard_by_bytes(docs: DataFrame, n: int = SHARDS, id_col: str = "doc_id", tex
     numbered = keyed.withColumn(names["nth"], F.row_number().over(order) - 1)
     # at most n * MOST_SUBS rows of offsets
     out = numbered.join(F.broadcast(starts), names["p"], "left")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{names['p']}.shard").alias("shard"), (F.col(names["nth"]) + F.col(names["before"])).cast("long").alias("slot"))
+    inside = [x for x, y in cuts if y > 0]
+    divided = F.col(names["u"]).isin(*inside) if inside else F.lit(False)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{names['p']}.shard").alias("shard"), (F.col(names["nth"]) + F.col(names["before"])).cast("long").alias("slot"), divided.alias("divided"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     whole = F.coalesce("text", F.lit(""))
     placed = shard_by_bytes(docs.select("doc_id", "text", row_size(F.col("text")).alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32")))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "divided")
