@@ -11,10 +11,20 @@ identifiers written in that alphabet:
   class as seldom as identifiers do;
 * serial correlation of neighbouring characters, against sequences, by Fisher's transformation.
 
-The normal scores are added (Stouffer). The false-discovery rate over all candidates of the corpus
-is held at ``FDR`` by the weighted procedure of Benjamini and Hochberg, with weights in proportion
-to a token's length, as a longer token carries more evidence. The corpus is read once; p-values are
-counted in fixed bins, so the driver gets at most ``BINS`` numbers.
+The three normal scores are added. They aren't independent, and ordinary tokens differ from corpus to
+corpus, so the law of the sum is taken from the corpus (an empirical null in Efron's sense): for each
+encoding its middle is the median of all candidates and its width the distance from there down to the
+16 % quantile, both drawn towards the law of three independent scores as if ``PRIOR`` tokens had
+followed that, and never below it, so that p-values only become more careful. The lower tail of the
+chi-squared statistic is lighter than the normal one, which errs on the same side. The false-discovery
+rate over all candidates of the corpus is held at ``FDR`` by the weighted procedure of Benjamini and
+Hochberg, with weights in proportion to a token's length, as a longer token carries more evidence.
+The corpus is read once; p-values are counted in fixed bins, so the driver gets at most ``BINS``
+numbers, and two for each encoding.
+
+Known shapes are placed by running sums over blocks of matches, and tokens of more than ``PIECE``
+characters are tested in equal pieces whose scores are put together, so that neither many matches nor
+one endless token take more than their share of time and memory.
 
 All of it is DataFrame code. Defined cases: null counts as empty; texts are searched whole; repeated
 rows are each searched for themselves and each of their tokens is a candidate; an empty table has no
@@ -23,6 +33,8 @@ candidates; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +66,24 @@ ENCODINGS = {
 CLASS_CHANGE, SEQUENCE = 0.3, 0.5
 FDR = 0.01
 BINS = 3000
+#: Tokens whose scores the fitted law is drawn from beside those of the corpus.
+PRIOR = 50
+#: Characters of a token that are tested at once, and lengths that are summed up in a block.
+PIECE, BLOCK = 4096, 256
+
+
+def running(lengths: Column) -> Column:
+    """Of each of the lengths the sum of those before it; block by block, as arrays can't be appended to in place."""
+    size = F.size(lengths)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
+    upto = lambda values, begin: F.aggregate(values, F.array(begin), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def placed(parts: Column) -> Column:
+        begins = upto(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda s, x: s + x)), F.lit(0))
+        each = F.zip_with(parts, F.slice(begins, F.lit(1), F.size(parts)), upto)
+        return F.flatten(F.transform(each, lambda e: F.slice(e, F.lit(1), F.size(e) - 1)))
+
+    return F.when(size > 0, let(parts, placed)).otherwise(F.array().cast("array<int>"))
 
 
 def spans_of(text: Column, pattern: str, least: int = 0, group: int = 0) -> Column:
@@ -61,23 +91,22 @@ def spans_of(text: Column, pattern: str, least: int = 0, group: int = 0) -> Colu
 
     Matches whose ``group`` is shorter than ``least`` are left out, after they took their place.
     """
-    rx = F.lit(pattern)
+    rx, none = F.lit(pattern), F.expr("cast(array() as array<struct<start:int,end:int>>)")
 
     def placed(hits: Column) -> Column:
-        def walk(parts: Column) -> Column:
-            begin = F.struct(F.length(F.get(parts["gaps"], F.lit(0))).alias("at"), F.lit(0).alias("i"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), lambda g: F.length(g))
+        sizes = F.transform(hits, lambda h: F.length(h))
 
-            def step(acc: Column, hit: Column) -> Column:
-                end = acc["at"] + F.length(hit)
-                gap = F.coalesce(F.length(F.get(parts["gaps"], acc["i"] + 1)), F.lit(0))
-                own = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
-                keep = F.length(F.get(parts["values"], acc["i"])) >= least if least else F.lit(True)
-                return F.struct((end + gap).alias("at"), (acc["i"] + 1).alias("i"), F.when(keep, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+        def spans(v: Column) -> Column:
+            begins = F.zip_with(running(F.zip_with(v["gaps"], v["sizes"], lambda g, n: g + n)), v["gaps"], lambda before, g: before + g)
+            return F.zip_with(begins, v["sizes"], lambda a, n: F.struct(a.alias("start"), (a + n).alias("end")))
 
-            return F.aggregate(hits, begin, step, lambda acc: acc["out"])
-
-        values = F.regexp_extract_all(text, rx, F.lit(group)) if least else hits
-        return F.when(F.size(hits) > 0, let(F.struct(F.split(text, pattern, -1).alias("gaps"), values.alias("values")), walk)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+        found = let(F.struct(gaps.alias("gaps"), sizes.alias("sizes")), spans)
+        if least:
+            values = F.transform(F.regexp_extract_all(text, rx, F.lit(group)), lambda v: F.length(v) >= least)
+            kept = F.filter(F.zip_with(found, values, lambda s, ok: F.struct(s.alias("s"), ok.alias("ok"))), lambda x: x["ok"])
+            found = F.transform(kept, lambda x: x["s"])
+        return F.when(F.size(hits) > 0, found).otherwise(none)
 
     return let(F.regexp_extract_all(text, rx, F.lit(0)), placed)
 
@@ -90,61 +119,94 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, q).otherwise(1 - q)
 
 
+def _piece_score(text: Column, alphabet: Column, coincide: Column) -> Column:
+    """The sum of the three scores of one piece of a token."""
+    n = F.length(text).cast("double")
+
+    def tested(c: Column) -> Column:
+        codes, k = c["codes"], F.length(alphabet).cast("double")
+        squares = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda s, x: s + F.pow(F.size(F.filter(codes, lambda y: y == x)).cast("double"), F.lit(2.0)))
+        chi = squares * k / n - n
+        excess = n * (k * coincide - 1)
+        uniform = (k - 1 + excess - chi) / F.sqrt(2 * (k - 1 + 2 * excess))
+        changes = F.size(F.regexp_extract_all(F.translate(text, "+/=", ""), F.lit("[0-9]+|[a-z]+|[A-Z]+"), F.lit(0))) - 1
+        runs = (changes - (n - 1) * CLASS_CHANGE) / F.sqrt((n - 1) * CLASS_CHANGE * (1 - CLASS_CHANGE))
+        mean = F.aggregate(codes, F.lit(0.0), lambda s, x: s + x) / n
+
+        def correlated(m: Column) -> Column:
+            square = F.aggregate(codes, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
+            cross = F.aggregate(F.zip_with(codes, F.slice(codes, 2, F.size(codes)), lambda x, y: F.coalesce((x - m) * (y - m), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+            r = F.when(square > 0, F.least(F.abs(cross / square), F.lit(0.999))).otherwise(F.lit(0.999))
+            return (F.atanh(F.lit(SEQUENCE)) - F.atanh(r)) * F.sqrt(n - 3)
+
+        return uniform + runs + let(mean, correlated)
+
+    codes = F.transform(F.split(text, ""), lambda ch: (F.instr(alphabet, ch) - 1).cast("double"))
+    return let(F.struct(codes.alias("codes")), tested)
+
+
 def randomness(token: Column) -> Column:
-    """The normal score of a token against ordinary text; high: random."""
+    """encoding and score of a token: how random it looks against ordinary text in that encoding; 3 independent normal scores would have a sum of variance 3."""
     core = F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", "")
 
     def scored(v: Column) -> Column:
-        text, n = v["core"], F.length(v["core"]).cast("double")
-        pick = lambda i: F.when(text.rlike(ENCODINGS["hex"][0]), F.lit(ENCODINGS["hex"][i])).when(text.rlike(ENCODINGS["base32"][0]), F.lit(ENCODINGS["base32"][i])).otherwise(F.lit(ENCODINGS["base64"][i]))
-        lower = F.when(text.rlike(ENCODINGS["hex"][0]), F.lower(text)).otherwise(text)
-
-        def tested(c: Column) -> Column:
-            codes, k = c["codes"], c["k"]
-            squares = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda s, x: s + F.pow(F.size(F.filter(codes, lambda y: y == x)).cast("double"), F.lit(2.0)))
-            chi = squares * k / n - n
-            excess = n * (k * c["coincide"] - 1)
-            uniform = (k - 1 + excess - chi) / F.sqrt(2 * (k - 1 + 2 * excess))
-            changes = F.size(F.regexp_extract_all(F.translate(text, "+/=", ""), F.lit("[0-9]+|[a-z]+|[A-Z]+"), F.lit(0))) - 1
-            runs = (changes - (n - 1) * CLASS_CHANGE) / F.sqrt((n - 1) * CLASS_CHANGE * (1 - CLASS_CHANGE))
-            mean = F.aggregate(codes, F.lit(0.0), lambda s, x: s + x) / n
-
-            def correlated(m: Column) -> Column:
-                square = F.aggregate(codes, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
-                cross = F.aggregate(F.zip_with(codes, F.slice(codes, 2, F.size(codes)), lambda x, y: F.coalesce((x - m) * (y - m), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-                r = F.when(square > 0, F.least(F.abs(cross / square), F.lit(0.999))).otherwise(F.lit(0.999))
-                return (F.atanh(F.lit(SEQUENCE)) - F.atanh(r)) * F.sqrt(n - 3)
-
-            return (uniform + runs + let(mean, correlated)) / F.sqrt(F.lit(3.0))
-
-        codes = lambda x: F.transform(F.split(x["text"], ""), lambda ch: (F.instr(x["alphabet"], ch) - 1).cast("double"))
-        made = let(F.struct(lower.alias("text"), pick(1).alias("alphabet")), lambda x: F.struct(codes(x).alias("codes"), F.length(x["alphabet"]).cast("double").alias("k"), pick(2).alias("coincide")))
-        return F.when(n >= TOKEN - 4, let(made, tested)).otherwise(F.lit(-9.0))
+        text, n = v["core"], F.length(v["core"])
+        is_hex, is_32 = text.rlike(ENCODINGS["hex"][0]), text.rlike(ENCODINGS["base32"][0])
+        kind = F.when(is_hex, "hex").when(is_32, "base32").otherwise("base64")
+        pick = lambda i: F.when(is_hex, F.lit(ENCODINGS["hex"][i])).when(is_32, F.lit(ENCODINGS["base32"][i])).otherwise(F.lit(ENCODINGS["base64"][i]))
+        lower = F.when(is_hex, F.lower(text)).otherwise(text)
+
+        def pieced(x: Column) -> Column:
+            size = F.ceil(n / x["pieces"]).cast("int")
+            total = F.aggregate(F.sequence(F.lit(0), x["pieces"] - 1), F.lit(0.0), lambda acc, i: acc + _piece_score(F.substring(x["text"], i * size + 1, size), x["alphabet"], x["coincide"]))
+            return total / F.sqrt(x["pieces"].cast("double"))
+
+        made = F.struct(lower.alias("text"), pick(1).alias("alphabet"), pick(2).alias("coincide"), F.ceil(n / PIECE).cast("int").alias("pieces"))
+        return F.struct(kind.alias("encoding"), F.when(n >= TOKEN - 4, let(made, pieced)).otherwise(F.lit(-99.0)).alias("score"))
 
     return let(F.struct(core.alias("core")), scored)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base (known shapes: start, kind number, end) and candidates (start, end, score)."""
+    """doc_id, base (known shapes: start, kind number, end) and candidates (start, end, encoding, score)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
     base = F.sort_array(F.concat(marked(spans_of(text, ASSIGN, LEAST_VALUE, 2), 0), marked(spans_of(text, ACCESS), 1), marked(spans_of(text, HEX), 2)))
-    tokens = F.transform(spans_of(text, CANDIDATE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), randomness(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("score")))
+    tokens = F.transform(spans_of(text, CANDIDATE), lambda s: let(randomness(F.substring(text, s["start"] + 1, s["end"] - s["start"])), lambda r: F.struct(s["start"].alias("start"), s["end"].alias("end"), r["encoding"].alias("encoding"), r["score"].alias("score"))))
     return docs.select(F.col(id_col).alias("doc_id"), base.alias("base"), tokens.alias("candidates"))
 
 
-def discovered(found: DataFrame, fdr: float = FDR) -> tuple[float, int | None]:
-    """Mean length of the candidates, and the bin from which on they are discoveries (None: none is)."""
-    tokens = found.select(F.explode("candidates").alias("c")).select((F.col("c.end") - F.col("c.start")).alias("n"), "c.score")
+def fitted(tokens: DataFrame) -> dict[str, tuple[float, float]]:
+    """Middle and width of the law of ordinary tokens' scores, by encoding; from encoding and score of all candidates."""
+    width = math.sqrt(3)
+    laws = dict.fromkeys(ENCODINGS, (0.0, width))
+    for r in tokens.groupBy("encoding").agg(F.count("*").alias("n"), F.percentile_approx("score", [0.16, 0.5], 10_000).alias("q")).collect():
+        share = r["n"] / (r["n"] + PRIOR)
+        low, middle = r["q"]
+        laws[r["encoding"]] = (max(0.0, share * middle), max(width, share * (middle - low) + (1 - share) * width))
+    return laws
+
+
+def discovered(found: DataFrame, fdr: float = FDR) -> tuple[dict[str, tuple[float, float]], float, int | None]:
+    """The laws of ordinary tokens, the mean length of the candidates, and the bin from which on they are discoveries (None: none is)."""
+    tokens = found.select(F.explode("candidates").alias("c")).select((F.col("c.end") - F.col("c.start")).alias("n"), "c.encoding", "c.score")
+    laws = fitted(tokens)
     total, mean = tokens.agg(F.count("*"), F.avg("n")).first()
     if not total:
-        return 1.0, None
+        return laws, 1.0, None
     at, best = 0, None
-    for b, count in sorted(tokens.groupBy(_bin(F.col("score"), F.col("n"), mean).alias("bin")).count().collect(), reverse=True):
+    for b, count in sorted(tokens.groupBy(_bin(_standard(F.col("encoding"), F.col("score"), laws), F.col("n"), mean).alias("bin")).count().collect(), reverse=True):
         at += count
         if 10 ** (-b / 10) * total / at <= fdr:
             best = b
-    return mean, best
+    return laws, mean, best
+
+
+def _standard(encoding: Column, score: Column, laws: dict[str, tuple[float, float]]) -> Column:
+    out = F.lit(None).cast("double")
+    for name, (middle, width) in laws.items():
+        out = F.when(encoding == name, (score - middle) / width).otherwise(out)
+    return out
 
 
 def _bin(score: Column, n: Column, mean: float) -> Column:
@@ -155,9 +217,9 @@ def _bin(score: Column, n: Column, mean: float) -> Column:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
     """doc_id, base and spans: arrays of (start, kind number, end); spans also has the random tokens."""
     found = cut(scan(docs, id_col, text_col))
-    mean, least = discovered(found, fdr)
+    laws, mean, least = discovered(found, fdr)
     apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    random = F.filter("candidates", lambda c: (_bin(c["score"], c["end"] - c["start"], mean) >= (BINS + 1 if least is None else least)) & apart(c))
+    random = F.filter("candidates", lambda c: (_bin(_standard(c["encoding"], c["score"], laws), c["end"] - c["start"], mean) >= (BINS + 1 if least is None else least)) & apart(c))
     more = F.transform(random, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return found.select("doc_id", "base", F.sort_array(F.concat("base", more)).alias("spans"))
 
