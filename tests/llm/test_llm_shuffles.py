@@ -250,7 +250,7 @@ def test_shards(spark):
     rows = [(i, prose(rng, rng.randint(0, 60))) for i in range(3000)] + [(5000 + i, "hot text of many copies") for i in range(1500)] + edge_rows(rng)[:4]
     docs = documents(spark, rows, extra=True)
     placed = sharding.shard_by_bytes(docs, 24).select(*docs.columns, "shard", "slot") if "shard" not in docs.columns else sharding.shard_by_bytes(docs, 24)
-    assert sorted(placed.columns) == sorted(docs.columns)
+    assert sorted(placed.columns) == sorted([*docs.columns, "divided"])
     sized = placed.withColumn("size", sharding.row_size(F.col("text")))
     by = sized.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count_distinct("slot").alias("d")).collect()
     mean = sum(r["b"] for r in by) / 24
