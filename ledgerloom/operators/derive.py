@@ -70,6 +70,14 @@ def block_weights(blocks: DataFrame) -> DataFrame:
     return blocks.select(F.col("height").alias("block_height"), F.coalesce(weight, F.lit(0)).cast("long").alias("weight"))
 
 
+def flat_weights(creates: DataFrame, spends: DataFrame, txs: DataFrame) -> DataFrame:
+    """:func:`block_weights` of derived rows: outputs, spends, and the one input of each transaction (txid, block_height) that spends nothing."""
+    n = lambda df, height: df.groupBy(F.col(height).alias("block_height")).agg(F.count("*").alias("weight"))
+    first = txs.join(spends.select(F.col("spent_by_txid").alias("txid")), "txid", "left_anti")
+    each = n(creates, "block_height").unionByName(n(spends, "spent_in_block")).unionByName(n(first, "block_height"))
+    return each.groupBy("block_height").agg(F.sum("weight").alias("weight"))
+
+
 def violations(blocks: DataFrame) -> DataFrame:
     """height and reason of blocks without hash, height, time, transactions or a transaction's id."""
     rules = {

@@ -67,6 +67,7 @@ SELECTS = {
     "processed_blocks": "from blocks",
     "tx_refs": "from refs",
     "block_weights": "select block_height, sum(greatest(spent, 1) + made)::bigint as weight from nested_tx group by 1",
+    "nested_block_weights": "select block_height, sum(greatest(spent, 1) + made)::bigint as weight from nested_tx group by 1",
     "output_addresses": "select address, count(*) as outputs from creates where address <> '' group by 1",
     "duplicate_outputs": "select output_key, count(*) as n from creates_log group by 1 having count(*) > 1",
     "duplicate_spends": "select output_key as spent_output_key, count(*) as n from creates_log where l_returnflag = 'R' and next_key is not null group by 1 having count(*) > 1",
@@ -125,6 +126,8 @@ SELECTS = {
       union all select text, 1, 'transaction', tx.txid, tx.block_height from q join tx on tx.txid = trim(text)
       union all select text, 2, 'block', block_hash, block_height from q join blocks on block_hash = trim(text)
       union all select text, 3, 'address', text, null from q where text in (select address from movements)""",
+    "decoded_blocks": "select block_height, block_time, tx_count, true as hashed from blocks",
+    "decoded_outputs": "select block_height, tx_index, p as vout, value_base, address <> '' as is_spendable, true as is_coinbase from pos",
     "list_blocks": "select block_height, block_hash, block_time, tx_count from blocks, c where block_height % 7 <> 3 and block_height <= tail - 30 and block_height > tail - 80",
     "get_block": """select ref, b.block_height, b.block_hash, b.tx_count as total_count, t.tx_index, t.txid, t.input_count, t.output_count, t.output_total, t.fee_base from
       (select block_height::varchar as ref, block_height from blocks where block_height % 50 = 0 union all select block_hash, block_height from blocks where block_height % 50 = 1

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts
 from ..operators import audit, derive, explorer, ledger, maintain, mempool, sequence, versioned
+from ..sources import raw_blocks
 from .analytics import curated, guarded_query
 from .oracle import ORACLE_SQL
 from .tables import Ledger
@@ -101,6 +102,18 @@ def snapshot_violations(x):
     return derive.violations(broken)
 
 
+@query
+def decoded_blocks(x):
+    decoded = raw_blocks.decode_blocks(x.wire, strict=True)
+    return decoded.select(F.col("height").alias("block_height"), F.col("block.time").alias("block_time"), F.col("block.nTx").cast("long").alias("tx_count"), (F.length("block.hash") == 64).alias("hashed"))
+
+
+@query
+def decoded_outputs(x):
+    nested = raw_blocks.nested_blocks(raw_blocks.decode_blocks(x.wire))
+    return derive.derive_creates(nested).select("block_height", "tx_index", "vout", "value_base", "is_spendable", "is_coinbase")
+
+
 @query
 def creates(x):
     return derive.derive_creates(x.nested)
@@ -123,6 +136,11 @@ def tx_refs(x):
 
 @query
 def block_weights(x):
+    return derive.flat_weights(x.creates, x.spends, x.tx)
+
+
+@query
+def nested_block_weights(x):
     return derive.block_weights(x.nested)
 
 

@@ -1,19 +1,22 @@
 """The driver's order tables seen as a ledger.
 
-An order is a transaction, its date a block, its lines are outputs to their suppliers. Returned lines
+Outputs and spends are derived once and kept as fact tables in order of height, as the service keeps
+them; everything else reads these. An order is a transaction, its date a block, its lines are outputs to their suppliers. Returned lines
 are spent by the customer's next order. Events are mempool entries, watches and audited requests.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import format_amount
 from ..operators import derive, ledger
 from ..operators.versioned import latest_by
+from ..sources.files import kept
 
 
 class Ledger:
@@ -58,12 +61,23 @@ class Ledger:
     def latest(self) -> DataFrame:
         return latest_by(self.creates_log, ["output_key"], [F.desc("version"), F.asc("l_partkey"), F.asc("l_suppkey"), F.asc("l_extendedprice")])
 
+    def _kept(self, name: str, df: DataFrame, height: str) -> DataFrame:
+        return kept(self.spark, df, f"{name}-{hashlib.sha1(self.sf_dir.encode()).hexdigest()[:16]}", [height, *(["output_key"] if name == "creates" else ["spent_output_key"])])
+
     @cached_property
     def creates(self) -> DataFrame:
-        return self.latest.select("output_key", "txid", "tx_index", "vout", "block_height", "block_hash", "block_time", "address", "value_base", "is_spendable")
+        return self._kept("creates", self._creates, "block_height")
 
     @cached_property
     def spends(self) -> DataFrame:
+        return self._kept("spends", self._spends, "spent_in_block")
+
+    @property
+    def _creates(self) -> DataFrame:
+        return self.latest.select("output_key", "txid", "tx_index", "vout", "block_height", "block_hash", "block_time", "address", "value_base", "is_spendable")
+
+    @property
+    def _spends(self) -> DataFrame:
         taken = self.latest.where("l_returnflag = 'R' and next_key is not null").select("output_key", "next_key")
         by = self.tx.select(F.col("o_orderkey").alias("next_key"), F.col("txid").alias("spent_by_txid"), F.col("block_height").alias("spent_in_block"), F.col("tx_index").alias("spent_tx_index"))
         nth = F.row_number().over(Window.partitionBy("spent_by_txid").orderBy("output_key")) - 1
@@ -86,6 +100,28 @@ class Ledger:
         tx = self.tx.select("txid", "tx_index", "block_height", "block_hash", "block_time", before.alias("previous_hash"))
         return derive.nest(outs.withColumn("value", format_amount(F.col("value_base"))), spends, tx)
 
+    @cached_property
+    def wire(self) -> DataFrame:
+        """Blocks as they travel (height, hex): each transaction has a coinbase input and pays a hash of each address, or carries data where there is none."""
+
+        def little(value: Column, n: int) -> Column:
+            big = F.lpad(F.hex(value), 2 * n, "0")
+            return F.concat(*[F.substring(big, 2 * i + 1, 2) for i in reversed(range(n))])
+
+        def compact(n: Column) -> Column:
+            return F.when(n < 0xFD, little(n, 1)).when(n < 1 << 16, F.concat(F.lit("fd"), little(n, 2))).otherwise(F.concat(F.lit("fe"), little(n, 4)))
+
+        script = F.when(F.col("address") != "", F.concat(F.lit("1976a914"), F.sha1("address"), F.lit("88ac"))).otherwise("016a")
+        out = F.struct("vout", F.concat(little(F.col("value_base"), 8), script).alias("x"))
+        outs = self.creates.groupBy("txid").agg(F.sort_array(F.collect_list(out)).alias("outs"))
+        tx = self.tx.select("txid", "tx_index", "block_height", "block_time").join(outs, "txid", "left")
+        body = F.array_join(F.transform(F.coalesce("outs", F.array().cast(outs.schema["outs"].dataType)), lambda o: o["x"]), "")
+        first = F.concat(F.lit("0100000001" + "00" * 32 + "ffffffff04"), little(F.col("tx_index"), 4), F.lit("ffffffff"))
+        each = F.concat(first, compact(F.greatest(F.coalesce(F.size("outs"), F.lit(0)), F.lit(0)).cast("long")), body, F.lit("00000000"))
+        whole = tx.select("block_height", "block_time", F.struct("tx_index", each.alias("x")).alias("t")).groupBy("block_height", "block_time").agg(F.sort_array(F.collect_list("t")).alias("t"))
+        head = F.concat(F.lit("01000000" + "11" * 32 + "22" * 32), little(F.col("block_time"), 4), F.lit("f0ff0f1e67860100"))
+        return whole.select(F.col("block_height").alias("height"), F.concat(head, compact(F.size("t").cast("long")), F.array_join(F.transform("t", lambda t: t["x"]), "")).alias("hex"))
+
     @cached_property
     def utxo(self) -> DataFrame:
         return ledger.current_utxo(self.creates, self.spends)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from functools import cache
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +55,37 @@ def read_facts(spark: SparkSession, path: str, name: str) -> DataFrame:
     return text(spark.read.parquet(f"{path}/{name}")).join(done, "window_id", "left_semi").drop("window_id")
 
 
+def fact_folder(spark: SparkSession) -> str | None:
+    """Where a session keeps the facts that it derives: in the shared checkpoint folder.
+
+    Where none is set, a local session uses a temporary folder, and a cluster keeps no facts.
+    """
+    have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not have and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        return None
+    return f"{have.rstrip('/') if have else _local_folder()}/facts-{spark.sparkContext.applicationId}"
+
+
+@cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+
+
+def kept(spark: SparkSession, df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """``df`` as a table that the session keeps, written once and in order, so that reads skip what they don't ask for."""
+    folder = fact_folder(spark)
+    if folder is None:
+        return df
+    path = f"{folder}/{name}"
+    try:
+        return spark.read.schema(df.schema).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error.getCondition()):
+            raise
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: State tables of a snapshot.
 STATE = ["utxo", "balances", "applied_blocks"]
 
