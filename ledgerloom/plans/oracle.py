@@ -207,6 +207,7 @@ SELECTS = {
     "mempool_fee_distribution": "select count(*) as samples, round(avg(fee_rate::double), 4) as average, round(quantile_cont(fee_rate::double, 0.5), 4) as median from samples",
     "mempool_retained": "select txid, sampled_at from samples where sampled_at > (select max(sampled_at) from samples) - 3600",
     "watch_matches": "select watch_id, address, txid, seen_at, paid, outputs from matches",
+    "watch_feeds": "select txid, case when seen_at <= (select max(created_at) from watches) then 'catchup' else 'live' end as source from payments",
     "watch_outcomes": """select w.watch_id, case when m.watch_id is null then 'timeout' else 'appeared' end as outcome, m.txid, coalesce(m.seen_at, created_at + 300) as ended_at from watches w left join
       (select m.* from matches m join watches w on w.watch_id = m.watch_id where seen_at >= created_at and seen_at < created_at + 300 qualify row_number() over (partition by m.watch_id order by seen_at, txid) = 1) m on m.watch_id = w.watch_id""",
     "mempool_arrivals": "from snaps s where not exists (select 1 from snaps o where o.snapshot = s.snapshot - 1 and o.txid = s.txid)",

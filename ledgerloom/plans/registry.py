@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import amounts
 from ..operators import audit, derive, explorer, ledger, maintain, mempool, sequence, versioned
 from ..sources import raw_blocks
+from ..streaming.mempool import feeds
 from .analytics import curated, guarded_query
 from .oracle import ORACLE_SQL
 from .tables import Ledger
@@ -769,6 +770,13 @@ def watch_matches(x):
     return mempool.watch_matches(x.watches, x.payments)
 
 
+@query
+def watch_feeds(x):
+    # what a watcher that starts at the newest watch finds in the pool, and what comes later
+    start = F.lit(x.watches.agg(F.max("created_at")).first()[0] or 0)
+    return feeds(x.payments.where(F.col("seen_at") <= start), x.payments.where(F.col("seen_at") > start)).select("txid", "source")
+
+
 @query
 def watch_outcomes(x):
     return mempool.watch_outcomes(x.watches, mempool.watch_matches(x.watches, x.payments))

@@ -58,16 +58,17 @@ def balances(spark: SparkSession, path: str) -> DataFrame:
     return ledger.balances(state(spark, path).where("spent_by_txid is null"))
 
 
-def apply_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+def apply_batch(batch: DataFrame, batch_id: int, path: str, strict: bool = False) -> None:
+    """Write a batch's facts; ``strict``: a spend without its output, or of a spent one, is an error (a join with the whole state)."""
     spark = batch.sparkSession
     batch.persist()
     try:
-        _apply(spark, batch, batch_id, path)
+        _apply(spark, batch, batch_id, path, strict)
     finally:
         batch.unpersist()
 
 
-def _apply(spark: SparkSession, batch: DataFrame, batch_id: int, path: str) -> None:
+def _apply(spark: SparkSession, batch: DataFrame, batch_id: int, path: str, strict: bool) -> None:
     known = canonical_blocks(spark, path)
     if known is not None:
         low, high = batch.agg(F.min("height"), F.max("height")).first()
@@ -80,10 +81,28 @@ def _apply(spark: SparkSession, batch: DataFrame, batch_id: int, path: str) -> N
     blocks = derive.derive_processed_blocks(batch)
     fork = None if known is None else maintain.reorg_height(blocks, known).first()[0]
     tables = {"creates": derive.derive_creates(batch), "spends": derive.derive_spends(batch), "processed_blocks": blocks.withColumn("replaces_from", F.lit(fork).cast("long"))}
+    if strict:
+        before = _state_before(spark, path, batch_id, fork)
+        maintain.require_prevouts(tables["creates"].limit(0).transform(_stateless) if before is None else before, tables["creates"], tables["spends"])
     for name, df in tables.items():
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}/batch_id={batch_id}")
 
 
-def follow(blocks: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+def _stateless(creates: DataFrame) -> DataFrame:
+    return creates.select("output_key", F.lit(None).cast("string").alias("spent_by_txid"), F.lit(None).cast("long").alias("spent_in_block"), F.lit(None).cast("long").alias("input_index"))
+
+
+def _state_before(spark: SparkSession, path: str, batch_id: int, fork: int | None) -> DataFrame | None:
+    """The state that a batch builds on: of the blocks that count, without its own earlier attempt and what it replaces."""
+    counted = canonical_blocks(spark, path)
+    if counted is None:
+        return None
+    kept = counted.where(F.col("batch_id") < batch_id)
+    kept = kept if fork is None else kept.where(F.col("block_height") < fork)
+    own = lambda name: spark.read.parquet(f"{path}/{name}").join(kept.select(F.col("block_height").alias(HEIGHT[name]), "batch_id"), [HEIGHT[name], "batch_id"], "left_semi").drop("batch_id")
+    return maintain.state_of(own("creates"), own("spends"))
+
+
+def follow(blocks: DataFrame, path: str, checkpoint: str, strict: bool = False, **trigger) -> StreamingQuery:
     """Start keeping the ledger of a stream of nested blocks under ``path``."""
-    return blocks.writeStream.foreachBatch(lambda batch, i: apply_batch(batch, i, path)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return blocks.writeStream.foreachBatch(lambda batch, i: apply_batch(batch, i, path, strict)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts
-from ledgerloom.operators import audit, derive, ledger, maintain, mempool, sequence, versioned
+from ledgerloom.operators import audit, derive, explorer, ledger, maintain, mempool, sequence, versioned
 
 COIN = 10**8
 
@@ -251,3 +251,23 @@ def test_folds_across_batches(spark):
         assert found == expect
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_single_reads(spark):
+    """One argument is a table of one row."""
+    blocks = spark.createDataFrame([(5, "h5", 2), (7, "abc", 1)], "block_height long, block_hash string, tx_count long")
+    refs = spark.createDataFrame([("t1", 5), ("77", 5)], "txid string, block_height long")
+    owners = spark.createDataFrame([("abc",), ("abc",)], "address string")
+    find = lambda q: rows(explorer.search(explorer.one(spark, "text", q), refs, blocks, owners), "priority", "kind", "found", "block_height")
+    assert find(" 5 ") == [(0, "block", "5", 5)] and find("77") == [] and find(" ") == [] and find("t1") == [(1, "transaction", "t1", 5)]
+    assert find("abc") == [(2, "block", "abc", 7), (3, "address", "abc", None)]
+    assert rows(explorer.list_blocks(blocks, 8, 2, 1), "block_height") == [(7,)] and rows(explorer.list_blocks(blocks, -1, 1, 1), "block_height") == [(5,)]
+    with pytest.raises(ValueError):
+        explorer.list_blocks(blocks, 8, 501, 0)
+    stored = spark.createDataFrame([(5, "old", 2), (9, "h9", 3)], "block_height long, block_hash string, tx_count long")
+    facts = spark.createDataFrame([(5, i, f"x{i}", 1, 1, 10, 1) for i in range(4)] + [(9, 0, "y", 1, 1, 5, None)], "block_height long, tx_index long, txid string, input_count long, output_count long, output_total long, fee_base long")
+    get = lambda ref: rows(explorer.get_block(explorer.one(spark, "ref", ref), blocks, stored, facts, 2, 1), "block_hash", "total_count", "tx_index", "txid")
+    assert get("5") == [("h5", 2, 1, "x1"), ("h5", 2, 2, "x2")] == get("old") and get("nothing") == []
+    nested = spark.createDataFrame([(h, f"h{h}", [("t", [], [])]) for h in (3, 4, 5000)], "height long, hash string, tx array<struct<txid:string,vin:array<int>,vout:array<int>>>")
+    where = lambda tail, done: rows(explorer.raw_transactions(explorer.one(spark, "txid", "t"), nested, tail, done), "block_height", "tx_index")
+    assert where(4, 0) == [(4, 0)] and where(4, 4) == [] and where(5000, -1) == [(5000, 0)] and where(4999, -1) == []

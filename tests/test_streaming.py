@@ -33,6 +33,20 @@ def test_block_stream_with_reorganization(spark, tmp_path):
     assert maintain.missing_prevouts(block_stream.read_table(spark, out, "spends"), block_stream.read_table(spark, out, "creates")).isEmpty()
 
 
+def test_strict_block_stream(spark, tmp_path):
+    """A spend of an output that isn't there, or is spent already, stops a strict stream; a fork spends what it replaces anew."""
+    import pytest
+
+    out = f"{tmp_path}/out"
+    fork = [block(2, [("tx-9", [("tx-1", 1)], [("other", 58)])], "x")]
+    for i, part in enumerate((GOLDEN[:2], GOLDEN[2:], GOLDEN[2:], fork)):
+        block_stream.apply_batch(frame(spark, part), i, out, strict=True)
+    assert rows(block_stream.read_table(spark, out, "processed_blocks"), "block_height", "block_hash")[-1] == (2, "h2x")
+    for bad, what in (([("tx-30", [("nowhere", 0)], [("z", 1)])], "isn't there"), ([("tx-31", [("tx-1", 1)], [("z", 1)])], "has spent")):
+        with pytest.raises(ValueError, match=what):
+            block_stream.apply_batch(frame(spark, [block(3, bad, "x")]), 9, out, strict=True)
+
+
 def test_samples(spark, tmp_path):
     entry = json.dumps({"time": 1780000000, "height": 6000000, "vsize": 250, "size": 300, "fee": "0.01", "depends": ["a", " "]})
     bad = json.dumps({"vsize": 0, "size": -1, "fees": {"base": "0.5"}})
