@@ -83,6 +83,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
         self.open: list[tuple[str, bool, bool, int, bool, int, int]] = []  # tag, silent, boilerplate, container, heading, mark, floor
+        self.counts: dict[str, int] = {}  # how often each tag is open
         self.marks: list[int] = []
         self.groups: list[tuple[int, int]] = [(-1, -1)]
         self.links = 0
@@ -114,6 +115,7 @@ class Lines(HTMLParser):
                 if self.groups[group][1] == group:
                     floor = len(self.marks)
             self.open.append((tag, silent or tag in SKIP, out, group, heading or tag in HEADINGS, mark, floor))
+            self.counts[tag] = self.counts.get(tag, 0) + 1
         if tag in BLOCK:
             self._new()
 
@@ -124,9 +126,10 @@ class Lines(HTMLParser):
             if tag == "br":
                 self._new()
             return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
+        while self.counts.get(tag):  # a stray end tag closes nothing, and isn't looked for
+            last = self.open.pop()[0]
+            self.counts[last] -= 1
+            if last == tag:
                 break
         self.lines[-1][1] += 1
         if tag in BLOCK or tag in SKIP:
