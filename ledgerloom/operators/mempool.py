@@ -72,7 +72,8 @@ def fee_distribution(samples: DataFrame) -> DataFrame:
     ranked = inside.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(order), F.lit(0)))
     ends = ranked.agg(F.max(F.when(middle(low), F.col("fee_rate"))).alias("low"), F.max(F.when(middle(high), F.col("fee_rate"))).alias("high"))
     whole = samples.agg(F.count("*").alias("samples"), F.round(F.avg(F.col("fee_rate").cast("double")), 4).alias("average"))
-    return whole.crossJoin(ends).select("samples", "average", F.round((F.col("low").cast("double") + F.col("high")) / 2, 4).alias("median"))  # one row each
+    both = whole.unionByName(ends, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("samples", "average", "low", "high")])  # of two rows
+    return both.select("samples", "average", F.round((F.col("low").cast("double") + F.col("high")) / 2, 4).alias("median"))
 
 
 def watch_matches(watches: DataFrame, outputs: DataFrame, seconds: int = SESSION_S) -> DataFrame:
