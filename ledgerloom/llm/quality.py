@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, SPACES, cut, let, table
+from .common import SPACE_RUN, SPACES, cut, free_name, let, marked, table
 
 MIN_WORDS = 50
 ALPHA = 0.02
@@ -230,12 +230,20 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they are.
 
-    The counts are made twice, once to fit and once to filter, so that no text is shuffled or stored.
+    Counts depend on the text alone, so the pass that fits the cutoffs also tells, by a bitmap of
+    hashed texts and strata, which rows are certainly kept; only the others are counted again. No text
+    is shuffled or stored.
     """
-    cutoffs = _small(cut(fit_cutoffs(cut(features(docs, id_col, text_col, stratum)), labels)))
-    counted = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{stratum}`").alias("stratum"), text_counts(F.col(f"`{text_col}`")).alias("c"))
-    judged = judge(counted.select("row", "stratum", "c.*").withColumn("base_failed", base_failed()), cutoffs)
-    return judged.where("kept").select("row.*")
+    text, of = F.col(f"`{text_col}`"), F.col(f"`{stratum}`")
+    mark = free_name(docs, "mark")
+    keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), of.alias("stratum"), text.alias("text"), F.xxhash64(text, of).alias("key"))
+    rows = cut(keyed.select("doc_id", "stratum", "key", text_counts(F.col("text")).alias("c")).select("doc_id", "stratum", "key", "c.*").withColumn("base_failed", base_failed()))
+    cutoffs = _small(cut(fit_cutoffs(rows.drop("key"), labels)))
+    rejected = judge(rows, cutoffs).where("not kept").select("key")
+    flagged = marked(docs, F.xxhash64(text, of), rejected, "key", mark)
+    counted = flagged.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), of.alias("stratum"), F.col(mark).alias("mark"), F.when(F.col(mark), text_counts(text)).alias("c"))
+    judged = judge(counted.select("row", "stratum", "mark", "c.*").withColumn("base_failed", base_failed()), cutoffs)
+    return judged.where("not mark or kept").select("row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
