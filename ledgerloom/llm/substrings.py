@@ -42,7 +42,7 @@ PIECE, BATCH = 4 << 20, 1 << 20
 #: Open anchors of a bucket that is refined in one group (some 3 MB of contexts).
 HOT_KEY = 10_000
 #: Contexts that one group of the window comparison holds on average.
-GROUP_ROWS = 8000
+GROUP_ROWS = 3000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -228,18 +228,13 @@ def _anchor_rows(batches):
 
 
 def _context_rows(batches):
-    """Texts with their open anchors to contexts: key, doc, first window, bytes."""
+    """Texts with the keys and places of their open anchors to contexts: key, doc, first window, bytes."""
     for batch in batches:
-        for doc, text, opened in zip(batch["doc"], batch["text"], batch["opened"], strict=True):
-            b, out = text.encode(), []
-            for x in opened:
-                at, n = x["place"] >> 16, (x["place"] & 255) + 1
-                out.append((x["key"], doc, at, b[at : at + n + LENGTH - 1]))
-                if len(out) >= 10_000:
-                    yield pd.DataFrame(out, columns=["key", "doc", "at", "bytes"])
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=["key", "doc", "at", "bytes"])
+        for doc, text, keys, places in zip(batch["doc"], batch["text"], batch["keys"], batch["places"], strict=True):
+            b = text.encode()
+            for i in range(0, len(keys), 10_000):
+                at, n = places[i : i + 10_000] >> 16, (places[i : i + 10_000] & 255) + LENGTH
+                yield pd.DataFrame({"key": keys[i : i + 10_000], "doc": doc, "at": at, "bytes": [b[x:y] for x, y in zip(at.tolist(), (at + n).tolist(), strict=True)]})
 
 
 def _windows(group: pd.DataFrame):
@@ -279,12 +274,12 @@ def _window_rows(batches):
 
 
 def _removed(batches):
-    """Texts with their spans to (id, n_bytes, spans, kept)."""
+    """Texts with the begins and ends of their spans to (id, n_bytes, spans, kept)."""
     for batch in batches:
         out = []
-        for i, text, spans in zip(batch["id"], batch["text"], batch["spans"], strict=True):
+        for i, text, begins, ends in zip(batch["id"], batch["text"], batch["begins"], batch["ends"], strict=True):
             b, runs = text.encode(), []
-            for lo, hi in sorted((x["lo"], x["hi"]) for x in spans) if spans is not None else ():
+            for lo, hi in sorted(zip(begins.tolist(), ends.tolist(), strict=True)) if begins is not None else ():
                 if runs and lo <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], hi)
                 else:
@@ -324,10 +319,10 @@ def repeated_spans(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
 
 def _contexts(docs: DataFrame, opened: DataFrame) -> DataFrame:
     """key, doc, first window, bytes of the opened anchors."""
-    left = opened.groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("opened"))
+    left = opened.groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("o")).select("doc", F.col("o.key").alias("keys"), F.col("o.place").alias("places"))
     # one of all copies, so that contexts are as many as the opened anchors; copies meet before the shuffle
     texts = maybe_in(docs, F.col("doc"), opened.select(F.col("doc").alias("of")), "of").groupBy("doc").agg(F.first("text").alias("text"))
-    return texts.join(left, "doc").select("doc", "text", "opened").mapInPandas(_context_rows, "key long, doc long, at long, bytes binary")
+    return texts.join(left, "doc").select("doc", "text", "keys", "places").mapInPandas(_context_rows, "key long, doc long, at long, bytes binary")
 
 
 def _text_names(docs: DataFrame, text: Column) -> Column:
@@ -349,12 +344,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
     own = own.withColumn("doc", _text_names(own, F.col("text")))
-    spans = cut(repeated_spans(own.select("doc", "text"), hot_key).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    spans = repeated_spans(own.select("doc", "text"), hot_key).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("s"))
+    spans = cut(spans.select("doc", F.col("s.lo").alias("begins"), F.col("s.hi").alias("ends")))
     may = free_name(own, "may")
     flagged = marked(own, F.col("doc"), spans.select(F.col("doc").alias("of")), "of", may)
-    none = F.lit(None).cast(spans.schema["spans"].dataType)
-    rest = flagged.where(~F.col(may)).select("id", "text", none.alias("spans"))
-    some = flagged.where(may).join(spans, "doc", "left").select("id", "text", "spans")
+    none = F.lit(None).cast("array<long>")
+    rest = flagged.where(~F.col(may)).select("id", "text", none.alias("begins"), none.alias("ends"))
+    some = flagged.where(may).join(spans, "doc", "left").select("id", "text", "begins", "ends")
     return rest.union(some).mapInPandas(_removed, "id long, n_bytes long, spans array<array<long>>, kept binary").withColumnRenamed("id", "doc_id")
 
 
