@@ -268,11 +268,12 @@ class NearDuplicates:
     def buckets(self) -> DataFrame:
         """key, id, popularity: the buckets with two sets at least.
 
-        Members of a bucket are counted before the shuffle, and a hot bucket's may be split in the join.
+        Members of a bucket are counted before the shuffle; those that are alone in theirs don't travel
+        again, told apart by a bitmap of fixed size, and a hot bucket's may be split in the join.
         """
         each = self.classes.select("id", F.explode("bands").alias("key"))
-        filled = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-        shared = cut(each.join(filled, "key"))
+        filled = cut(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+        shared = cut(maybe_in(each, F.col("key"), filled.select(F.col("key").alias("bucket")), "bucket").join(filled, "key"))
         return shared.select("key", "id").join(shared.groupBy("id").agg(F.sum("c").alias("popularity")), "id")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
