@@ -184,7 +184,7 @@ class Codec:
         yield reader.decode(b"", True)
 
 
-def _broadcast(spark: SparkSession, path: str):
+def file_broadcast(spark: SparkSession, path: str):
     """The tokenizer's file, for the executors."""
     with open(path, "rb") as file:
         content = file.read(MOST_FILE + 1)
@@ -195,7 +195,7 @@ def _broadcast(spark: SparkSession, path: str):
 
 def encode_bpe(docs: DataFrame, path: str | None = None, text_col: str = "text", name: str = "bpe", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (columns ``keep``) with a struct column ``name`` of the token ids of each text."""
-    content = _broadcast(docs.sparkSession, path or default_tokenizer())
+    content = file_broadcast(docs.sparkSession, path or default_tokenizer())
 
     def make():
         import numpy as np
@@ -208,7 +208,7 @@ def encode_bpe(docs: DataFrame, path: str | None = None, text_col: str = "text",
 
 def decode_bpe(docs: DataFrame, ids_col: str, path: str | None = None, name: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (columns ``keep``) with a struct column ``name`` of the text of the ids in ``ids_col``; null ids have an empty text."""
-    content = _broadcast(docs.sparkSession, path or default_tokenizer())
+    content = file_broadcast(docs.sparkSession, path or default_tokenizer())
 
     def make():
         import numpy as np
@@ -224,7 +224,7 @@ def round_trip(docs: DataFrame, path: str | None = None, text_col: str = "text",
 
     One pass encodes each slice, decodes its ids and feeds both digests, so ids never leave the task.
     """
-    content = _broadcast(docs.sparkSession, path or default_tokenizer())
+    content = file_broadcast(docs.sparkSession, path or default_tokenizer())
 
     def make() -> Callable:
         own = Codec(content.value)

@@ -36,11 +36,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as compressed Parquet under the shared folder and read it back; for wide rows."""
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as compressed Parquet under the shared folder; what was written, and its path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as compressed Parquet under the shared folder and read it back; for wide rows."""
+    return stored_at(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove what :func:`stored_at` wrote, once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:

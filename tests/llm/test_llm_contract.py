@@ -42,7 +42,7 @@ def folder(spark, tmp_path_factory):
 
 
 def test_every_operator_is_registered():
-    assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_op4(spark, folder):
