@@ -11,10 +11,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .guard import Refused, check_analyzed, check_parsed
+
 MOST_ROWS, DEFAULT_ROWS, MOST_S, MOST_CHARACTERS = 1000, 100, 7 * 86400, 8000
 VIEWS = ("transactions", "balances", "mempool_samples")
-#: What a text is read for names without: comments and quoted strings.
-_ASIDE = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", re.S)
 
 
 def curated(transactions: DataFrame, balances: DataFrame, samples: DataFrame) -> dict[str, DataFrame]:
@@ -58,31 +58,20 @@ def time_window(start: int | str, end: int | str) -> tuple[int, int]:
 
 
 def checked_sql(spark: SparkSession, sql: str) -> str:
-    """The text of one SELECT that names no table but the curated views; an error for anything else."""
+    """The text of one SELECT over the curated views without the semicolons at its end; ``guard.Refused`` for anything else."""
     text = re.sub(r"(;\s*)+$", "", sql.strip())
-    bare = _ASIDE.sub(" ' ", text)
     if not text or len(text) > MOST_CHARACTERS:
-        raise ValueError(f"a query has 1 to {MOST_CHARACTERS} characters")
-    if ";" in bare or "`" in bare:
-        raise ValueError("only one statement, without back-quoted names, is allowed")
-    if not re.match(r"(select|with)\b", bare.strip(), re.I):
-        raise ValueError("only SELECT is allowed")
-    if re.search(r"select\s+(all\s+|distinct\s+)?(\w+\s*\.\s*)?\*|,\s*(\w+\s*\.\s*)?\*", bare, re.I):
-        raise ValueError("columns must be named")
-    named = {w.lower() for w in re.findall(r"\w+", bare)}
-    catalog = spark.catalog
-    known = {x.name for x in catalog.listCatalogs()} | {x.name for x in catalog.listDatabases()} | {"global_temp"} | {x.name for x in catalog.listTables()}
-    if other := sorted(named & {x.lower() for x in known} - set(VIEWS)):
-        raise ValueError(f"only {', '.join(VIEWS)} can be read, not {', '.join(other)}")
+        raise Refused(f"a query has 1 to {MOST_CHARACTERS} characters")
+    check_parsed(spark, text, set(VIEWS))
     return text
 
 
 def guarded_query(spark: SparkSession, sql: str, views: dict[str, DataFrame], start: int | str, end: int | str, finalized: int, limit: int = DEFAULT_ROWS) -> Guarded:
     """A SELECT over the curated views, [start, end), blocks up to ``finalized``, ``limit`` rows at most.
 
-    The text runs in a session of its own, whose views are cut before it sees them, in which files
-    can't be read as tables; as a subquery, so that it can't be a command. Tables of the shared
-    catalog are refused by name. It may use ``:from_time``, ``:to_time`` and ``:finalized``.
+    The text's plan is checked (:mod:`guard`) as parsed and as analyzed. It runs in a session of its
+    own, whose views are cut before it sees them, in which files can't be read as tables; as a
+    subquery, so that it can't be a command. It may use ``:from_time``, ``:to_time`` and ``:finalized``.
     """
     lo, hi = time_window(start, end)
     if not 1 <= limit <= MOST_ROWS:
@@ -101,6 +90,7 @@ def guarded_query(spark: SparkSession, sql: str, views: dict[str, DataFrame], st
     session.conf.set("spark.sql.runSQLOnFiles", "false")
     try:
         rows = session.sql(f"select * from (\n{text}\n) limit {int(limit)}", args={"from_time": lo, "to_time": hi, "finalized": finalized})
+        check_analyzed(rows, set(own))
         columns = rows.dtypes
     finally:
         for name in own:
