@@ -63,6 +63,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidied(batches):
+    """Pass batches on; at the end give freed memory back to the system, as Spark keeps Python workers for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+        if trim:
+            trim(0)
+
+
 #: Rows and bytes that one call of an annotating function gets at most (a longer single text is a call of its own).
 CALL_ROWS, CALL_BYTES = 1000, 2 << 20
 
@@ -90,6 +105,9 @@ def annotate(docs: DataFrame, text_col: str, make: Callable[[], Callable], out:
     at, kind = cols.index(text_col), to_arrow_type(out)
 
     def run(batches):
+        yield from tidied(annotated(batches))
+
+    def annotated(batches):
         fn = make()
         for batch in batches:
             column = batch.column(at)

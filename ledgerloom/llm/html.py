@@ -4,7 +4,8 @@ The standard library's parser reads each page as a stream of events. They are ga
 one for each block of text, with the length of the text and of its links and the number of tags
 (text-to-tag ratio, as in content extraction by tag ratios). The ratios are smoothed by a Gaussian
 over neighbouring lines, and a threshold found by clustering the smoothed values in two groups
-selects the content lines of every page. What elements say of themselves are features beside it:
+selects the content lines of every page, with lines whose own ratio is above it (a paragraph between
+headings). What elements say of themselves are features beside it:
 
 * navigation, headers and footers of the page, asides, forms and scripts are left out and count with a
   ratio of zero; so do elements whose class or id alone names them a notice, an advert, comments and
@@ -15,16 +16,23 @@ selects the content lines of every page. What elements say of themselves are fea
 * an article or main element is content if the threshold selects a line in it, and then with its short
   lines. If such elements hold most of the selected text, nothing outside them is content;
 * elsewhere the short lines of a container go with it if most of the text that it directly holds is
-  selected, and headings go with what follows them.
-
-Defined cases: null or empty pages have empty text; unclosed, stray and unknown tags are tolerated;
-pages are read whole; repeated rows are read each for itself; other columns are kept or not read.
+  selected, headings go with what follows them, and lists, tables and quotations go with the content if
+  it stands before and after them in the container that holds them;
+* ``LEAST_SIMILAR`` or more containers of one kind and class beside each other, each of them a short
+  line and others without a heading, are replies of readers and left out, if text with a high ratio
+  that isn't of their kind stands before them, and neither in the container nor in the article or main
+  element that holds them.
+
+Defined cases: null or empty pages have empty text; unclosed, stray and unknown tags are tolerated, and
+what a page ends with after its last ``>`` is text; pages are read whole, in time proportional to their
+length whatever they hold; repeated rows are read each for itself; other columns are kept or not read.
 """
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
+from html.parser import HTMLParser, attrfind_tolerant, tagfind_tolerant
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +55,11 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LINKED, MOSTLY_LINKED = 0.2, 0.5
 #: An element marked by its class is taken at its word if it has fewer characters for a tag.
 LEAST_RATIO = 50
+#: Containers that go with the content around them; how many containers like one another, and how short their first line, make replies.
+WITHIN = frozenset("ul ol dl table blockquote figure details".split())
+LEAST_SIMILAR, SHORT = 3, 60
+#: A character reference of so many digits is beyond all characters.
+_HUGE = re.compile(r"&#[0-9]{1000,}")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: Classes or ids, also joined by hyphens or numbered, that mark what isn't content unless the ratio says otherwise.
 MARKS = frozenset(
@@ -73,8 +86,8 @@ def marked(named: str, main: bool) -> bool:
 class Lines(HTMLParser):
     """Gathers lines: [text parts, tags, characters in links, left out, number of the container, heading?, marked element, floor].
 
-    ``groups`` has for each container the number of the one around it (always a lower one) and of
-    the article or main element that it lies in or is itself (-1: none). ``marks`` has for each
+    ``groups`` has for each container the number of the one around it (always a lower one), that of
+    the article or main element that it lies in or is itself (-1: none), its tag and its classes. ``marks`` has for each
     element marked by its class the one around it (lower, or -1); those of a line under its floor stand
     around its article or main element and don't count.
     """
@@ -85,10 +98,49 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, bool, int, bool, int, int]] = []  # tag, silent, boilerplate, container, heading, mark, floor
         self.counts: dict[str, int] = {}  # how often each tag is open
         self.marks: list[int] = []
-        self.groups: list[tuple[int, int]] = [(-1, -1)]
+        self.groups: list[tuple[int, int, str, str]] = [(-1, -1, "", "")]
         self.links = 0
+        self.unfinished: set[int] = set()  # where attributes begin that no end of a tag follows
+        self.endless: dict[str, int] = {}  # from where on a comment or section has no end
         self._new()
 
+    def read(self, page: str) -> None:
+        """Read a whole page, once."""
+        at = page.rfind(">") + 1  # nothing that begins behind it ends
+        self.rawdata = _HUGE.sub("&#1114112", page[:at])
+        self.close()
+        if at < len(page):
+            self.handle_data(unescape(_HUGE.sub("&#1114112", page[at:])))
+
+    def check_for_whole_start_tag(self, i):
+        """-1 for a tag without an end; what is found not to end is remembered, so that it isn't read again from each ``<`` in it."""
+        at = tagfind_tolerant.match(self.rawdata, i + 1).end()
+        if at in self.unfinished:
+            return -1
+        end = super().check_for_whole_start_tag(i)
+        while end < 0 and at not in self.unfinished:
+            self.unfinished.add(at)
+            one = attrfind_tolerant.match(self.rawdata, at)
+            at = one.end() if one else at
+        return end
+
+    def _endless(self, kind: str, i: int, end: str) -> bool:
+        if i < self.endless.get(kind, len(self.rawdata) + 1) and self.rawdata.find(end, i) < 0:
+            self.endless[kind] = i
+        return i >= self.endless.get(kind, len(self.rawdata) + 1)
+
+    def parse_comment(self, i, report=1):
+        if i >= self.endless.get("comment", len(self.rawdata) + 1):
+            return -1
+        if (end := super().parse_comment(i, report)) < 0:
+            self.endless["comment"] = i
+        return end
+
+    def parse_marked_section(self, i, report=1):
+        """A section ends at ``]]>``, one of unknown kind at ``>``."""
+        end = "]]>" if self.rawdata.startswith("[CDATA[", i + 2) else ">"
+        return -1 if self._endless(end, i, end) else self.rawdata.find(end, i) + len(end)
+
     def _new(self) -> None:
         _, silent, out, group, heading, mark, floor = self.open[-1] if self.open else NOTHING
         self.lines.append([[], 1, 0, out or silent, group, heading, mark, floor])
@@ -110,7 +162,7 @@ class Lines(HTMLParser):
                 self.marks.append(mark)
                 mark = len(self.marks) - 1
             if tag in GROUPS or role == "main":
-                self.groups.append((group, len(self.groups) if tag in MAIN or role == "main" else self.groups[group][1]))
+                self.groups.append((group, len(self.groups) if tag in MAIN or role == "main" else self.groups[group][1], tag, " ".join(v for k, v in attrs if k == "class" and v)))
                 group = len(self.groups) - 1
                 if self.groups[group][1] == group:
                     floor = len(self.marks)
@@ -163,7 +215,7 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def link_lists(lines: list[tuple], groups: list[tuple[int, int]], ratio: list[float], cut: float) -> list[bool]:
+def link_lists(lines: list[tuple], groups: list[tuple[int, int, str, str]], ratio: list[float], cut: float) -> list[bool]:
     """Is each container a link list or teaser, or does it lie in one?"""
     own, whole = [[0, 0] for _ in groups], [[0, 0, False] for _ in groups]  # text, links, a line above the threshold?
     for (text, _, links, out, group, *_), r in zip(lines, ratio, strict=True):
@@ -177,7 +229,7 @@ def link_lists(lines: list[tuple], groups: list[tuple[int, int]], ratio: list[fl
         whole[g][1] += own[g][1]
         if (around := groups[g][0]) >= 0:
             whole[around] = [whole[around][0] + whole[g][0], whole[around][1] + whole[g][1], whole[around][2] or whole[g][2]]
-    for g, (around, _) in enumerate(groups):
+    for g, (around, *_) in enumerate(groups):
         text, links, high = whole[g]
         found.append((around >= 0 and found[around]) or (not high and links > 0 and links >= LINKED * text))
     # what a container holds directly says nothing of the containers in it
@@ -215,7 +267,60 @@ def smoothed(ratio: list[float]) -> list[float]:
     return smooth
 
 
-def selected(lines: list[tuple], groups: list[tuple[int, int]], high: list[bool], usable: list[bool], doubted: list[bool]) -> list[bool]:
+def replies(lines: list[tuple], groups: list[tuple[int, int, str, str]], ratio: list[float]) -> list[bool]:
+    """Does each container lie in, or is it, one of several that look like replies of readers to what comes before?"""
+    first: list[tuple | None] = [None] * len(groups)
+    shape, began = [[0, 0] for _ in groups], [len(lines)] * len(groups)  # lines, headings; the first line
+    for i, line in enumerate(lines):
+        g = line[4]
+        first[g], began[g] = first[g] or line, min(began[g], i)
+        shape[g][0] += 1
+        shape[g][1] += line[5]
+    for g in range(len(groups) - 1, 0, -1):
+        around = groups[g][0]
+        shape[around] = [a + b for a, b in zip(shape[around], shape[g], strict=True)]
+        if began[g] < began[around]:
+            first[around], began[around] = first[g], began[g]
+    kinds: dict[tuple, list[int]] = {}
+    for g, (around, _, tag, named) in enumerate(groups):
+        if named and first[g] and len(first[g][0]) < SHORT and shape[g][0] > 1 and not shape[g][1]:
+            kinds.setdefault((around, tag, named), []).append(g)
+    kinds = {k: own for k, own in kinds.items() if len(own) >= LEAST_SIMILAR}
+    alike = {g for own in kinds.values() for g in own}
+    like = [False] * len(groups)
+    for g, (around, *_) in enumerate(groups):
+        like[g] = g in alike or (around >= 0 and like[around])
+    # where text that isn't of their kind stands: the first such line, containers and article elements that hold some
+    rich = [(i, line[4]) for i, (line, r) in enumerate(zip(lines, ratio, strict=True)) if r > LEAST_RATIO and not like[line[4]]]
+    start, holders, declared = rich[0][0] if rich else len(lines), {g for _, g in rich}, {groups[g][1] for _, g in rich} - {-1}
+    found = [False] * len(groups)
+    for (around, *_), own in kinds.items():
+        if around not in holders and groups[around][1] not in declared:
+            for g in own:
+                found[g] = began[g] > start
+    for g, (around, *_) in enumerate(groups):
+        found[g] = found[g] or (around >= 0 and found[around])
+    return found
+
+
+def within(lines: list[tuple], groups: list[tuple[int, int, str, str]], kept: list[bool]) -> list[bool]:
+    """Does each container lie in a list, table or quotation with content before and after it in the container that holds it?"""
+    began, first, last = [-1] * len(groups), [len(lines)] * len(groups), [-1] * len(groups)
+    for i, (line, k) in enumerate(zip(lines, kept, strict=True)):
+        g = line[4]
+        began[g] = i if began[g] < 0 else began[g]
+        if k:
+            first[g], last[g] = min(first[g], i), i
+    for g in range(len(groups) - 1, 0, -1):
+        if began[g] >= 0 and (began[groups[g][0]] < 0 or began[g] < began[groups[g][0]]):
+            began[groups[g][0]] = began[g]
+    found = [False] * len(groups)
+    for g, (around, _, tag, _) in enumerate(groups):
+        found[g] = around >= 0 and (found[around] or (tag in WITHIN and first[around] < began[g] < last[around]))
+    return found
+
+
+def selected(lines: list[tuple], groups: list[tuple[int, int, str, str]], high: list[bool], usable: list[bool], doubted: list[bool]) -> list[bool]:
     """The lines of the content: those ``high``, and of the others ``usable`` those that their elements tie to them; ``doubted`` ones (marked by a class) have no say against article and main elements."""
     chosen = [False] * len(groups)
     for (*_, group, _, _, _), x in zip(lines, high, strict=True):
@@ -235,7 +340,8 @@ def selected(lines: list[tuple], groups: list[tuple[int, int]], high: list[bool]
     kept = [k or x or (use and 0 < own[line[4]][1] <= 2 * own[line[4]][0]) for k, x, use, line in zip(kept, high, usable, lines, strict=True)]
     for i in range(len(lines) - 2, -1, -1):
         kept[i] = kept[i] or (usable[i] and lines[i][5] and kept[i + 1])
-    return kept
+    between = within(lines, groups, kept)
+    return [k or (use and between[line[4]]) for k, use, line in zip(kept, usable, lines, strict=True)]
 
 
 def main_text(page: str | None) -> dict:
@@ -243,14 +349,17 @@ def main_text(page: str | None) -> dict:
     if not page:
         return {"text": "", "lines": 0, "threshold": None}
     reader = Lines()
-    reader.feed(page)
-    reader.close()
+    reader.read(page)
     # HTML's white space; other space characters of a text are kept as one space too
     lines = [(" ".join("".join(parts).split()), *rest) for parts, *rest in reader.lines]
     lines = [x for x in lines if x[0]]
     if not lines:
         return {"text": "", "lines": 0, "threshold": None}
     ratio = [0.0 if out else max(0, len(text) - links) / tags for text, tags, links, out, *_ in lines]
+    answers = replies(lines, reader.groups, ratio)
+    if any(answers):
+        lines = [(*line[:3], line[3] or answers[line[4]], *line[4:]) for line in lines]
+        ratio = [0.0 if line[3] else r for line, r in zip(lines, ratio, strict=True)]
     whole, marks = sum(len(line[0]) for line in lines if not line[3]), held(lines, reader.marks)
     valid = [text < whole and (2 * text < whole or n == 1) for text, _, _, n in marks]
     doubted = covered(lines, reader.marks, valid)
@@ -268,7 +377,7 @@ def main_text(page: str | None) -> dict:
     usable = [not line[3] and not lists[line[4]] for line in lines]
     if not any(usable):  # nothing but links
         usable = [not line[3] for line in lines]
-    high = [use and s > cut for use, s in zip(usable, smooth, strict=True)]
+    high = [use and (s > cut or r > cut) for use, s, r in zip(usable, smooth, ratio, strict=True)]
     kept = selected(lines, reader.groups, high if any(high) else usable, usable, covered(lines, reader.marks, [True] * len(marks)))
     found = [line[0] for line, k in zip(lines, kept, strict=True) if k]
     return {"text": " ".join(found), "lines": len(found), "threshold": cut}
