@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, free_name, stored_at, table
+from .common import discard, free_name, stored_at, table, tidied
 
 SCALE, DIMS, CLUSTERS, ROUNDS, SEED = 1024, 64, 8, 10, 3
 #: Largest component, and the most components of all centroids together (they travel with the code).
@@ -147,7 +147,7 @@ def _pass(rows: DataFrame, columns: list[str], centroids, lost, last: bool) -> D
             parts = pa.array([part, *[None] * (batch.num_rows - 1)], part_type)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(cluster, pa.int32()), pa.array(lower), pa.array(distance), parts], names=[*kept, "cluster", "lower", "distance", "part"])
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(lambda batches: tidied(run(batches)), out)
 
 
 def _summed(rows: DataFrame) -> dict[int, dict]:

@@ -63,19 +63,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tidied(batches):
-    """Pass batches on; at the end give freed memory back to the system, as Spark keeps Python workers for later tasks."""
+def tidy() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers for later tasks."""
     import ctypes
 
     import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
+
+
+def tidied(batches):
+    """Pass a task's batches on, with :func:`tidy` before and after."""
+    tidy()
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
-        if trim:
-            trim(0)
+        tidy()
 
 
 #: Rows and bytes that one call of an annotating function gets at most (a longer single text is a call of its own).

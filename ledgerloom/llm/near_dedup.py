@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, cut, free_name, marked, maybe_in, table
+from .common import annotate, cut, free_name, marked, maybe_in, table, tidied
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -279,7 +279,7 @@ class NearDuplicates:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
         sig = self.classes.select("id", "sig")
-        close = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").mapInPandas(_agree(self.least), "a long, b long")
+        close = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").mapInPandas(lambda rows, f=_agree(self.least): tidied(f(rows)), "a long, b long")
         return self.confirmed(cut(close))
 
     def sets(self, ids: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ class NearDuplicates:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         sets = self.sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
-        return cut(both.mapInPandas(_similar(self.percent), "a long, b long"))
+        return cut(both.mapInPandas(lambda rows, f=_similar(self.percent): tidied(f(rows)), "a long, b long"))
 
     def links(self) -> DataFrame:
         """Verified links (a, b) that connect every component."""

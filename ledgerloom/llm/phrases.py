@@ -6,9 +6,10 @@ between the overlapping nodes of its first and its last ``max_words - 1`` words.
 the last 1, 2, ... ``max_words - 1`` words are noted as corrections. All shorter counts follow: a
 phrase is followed by a word or ends its piece, so its count is the flow out of it, plus its correction.
 
-Edges are counted task by task in a table of bounded size and then summed up by Spark. Edges below
-``min_count`` can be no candidates and are merged into one rest for each node, with its corrections.
-What is left is compacted: a node with one edge in and one out is an inner node of a path, each path
+Edges and corrections are counted task by task in a table of bounded size and shuffled once, by their
+node, so that Spark sums up edges and the flow out of each node where they arrive; what is below
+``min_count`` can be no candidate and only goes on as flow out of shorter nodes. What is left is
+compacted, with a rest for each node (its count less its edges that are left): a node with one edge in and one out is an inner node of a path, each path
 becomes one row of words and weights, and an inner node's count is read off it (weight out plus
 rest); only nodes where paths begin or end need their flow summed up. Inner nodes find the head of
 their path by pointer doubling. Nodes that have none after ``ROUNDS`` rounds (in circles, or further
@@ -22,8 +23,9 @@ longer candidate that has ``share`` percent of their count are left out.
 Defined cases: a null text has no words, a null language is ``und``; empty and blank pieces have no
 words; pieces shorter than an edge live in the corrections alone; texts and pieces of any length are
 taken whole, in chunks; repeated rows count each; further columns aren't read; an empty table gives
-no rows. Hot phrases and languages are summed up before each shuffle; ranks are taken within shares
-of a language first, so no task holds a language.
+no rows. Hot phrases are counted before the shuffle, so a node's task gets a row for each different
+edge of each task at most, which it aggregates as a stream; ranks are taken within shares of a language
+first, so no task holds a language.
 """
 
 from __future__ import annotations
@@ -35,14 +37,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, stored, table
+from .common import cut, stored, table, tidied
 
 MAX_WORDS, MIN_COUNT, SHARE, TOP, UNNAMED = 3, 10, 50, 2000, "und"
 #: Different edges and bytes of pieces that a task counts before it gives them on; words counted at once.
 HELD, HELD_BYTES, CHUNK = 150_000, 16 << 20, 20_000
 #: Rounds of pointer doubling, and shares into which a language is dealt to be ranked.
 ROUNDS, SHARES = 12, 64
-_EDGES = T.StructType([T.StructField("lang", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("node", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+#: A node is its language, a tab (which no word has) and its words.
+_EDGES = T.StructType([T.StructField("node", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+_SIFTED = T.StructType([*_EDGES, T.StructField("k", T.IntegerType())])
 _BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]")
 
 
@@ -70,30 +74,32 @@ class _Held:
             self.ends.setdefault(lang, Counter())[tuple(words[-k:])] += 1
 
     def given(self):
-        import pyarrow as pa
-
-        lang, k, node, word, n = [], [], [], [], []
+        node, word, n = [], [], []
         for of, counted in self.edges.items():
-            lang += [of] * len(counted)
-            k += [self.most - 1] * len(counted)
+            head = of.encode() + b"\t"
             for t, c in counted.items():
-                node.append(b" ".join(t[:-1]))
+                node.append(head + b" ".join(t[:-1]))
                 word.append(t[-1])
                 n.append(c)
         for of, counted in self.ends.items():
-            lang += [of] * len(counted)
+            head = of.encode() + b"\t"
             word += [None] * len(counted)
             for t, c in counted.items():
-                k.append(len(t))
-                node.append(b" ".join(t))
+                node.append(head + b" ".join(t))
                 n.append(c)
         self.edges, self.ends, self.bytes = {}, {}, 0
-        text = lambda x: pa.array(x, pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(k, pa.int32()), text(node), text(word), pa.array(n, pa.int64())], names=_EDGES.names)
+        return _batch(node, word, n)
+
+
+def _batch(node: list, word: list, n: list, *more):
+    import pyarrow as pa
+
+    text = lambda x: pa.array(x, pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([text(node), text(word), pa.array(n, pa.int64()), *(pa.array(x, pa.int32()) for x in more)], names=[*_EDGES.names, *["k"] * len(more)])
 
 
 def edges(docs: DataFrame, max_words: int = MAX_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, k (words of the node), node, word (null: an end of pieces), n; a key may have rows of many tasks."""
+    """node, word (null: an end of pieces), n; a key may have rows of many tasks."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col), F.lit(UNNAMED)).alias("lang"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches):
@@ -106,14 +112,52 @@ def edges(docs: DataFrame, max_words: int = MAX_WORDS, text_col: str = "text", l
                         yield held.given()
         yield held.given()
 
-    return rows.mapInArrow(run, _EDGES)
+    return rows.mapInArrow(lambda batches: tidied(run(batches)), _EDGES)
 
 
 def graph(counted: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
-    """Summed-up edges of ``min_count`` or more, and with a null word the rest of each node."""
-    key = ["lang", "k", "node", "word"]
-    whole = counted.groupBy(*key).agg(F.sum("n").alias("n"))
-    return whole.withColumn("word", F.when(F.col("n") >= min_count, F.col("word"))).groupBy(*key).agg(F.sum("n").alias("n"))
+    """lang, k, node, word, n: edges, and with a null word the counts of nodes, if they are ``min_count`` or more.
+
+    With k below ``max_words - 1``: flow out of shorter nodes, in parts; k 0: words of the language, in parts.
+    """
+    whole = counted.repartition("node").groupBy("node", "word").agg(F.sum("n").alias("n"))
+    none = F.lit(None).cast("string")
+    both = F.explode(F.when(F.col("word").isNotNull() & (F.col("n") >= min_count), F.array(none, F.col("word"))).otherwise(F.array(none)))
+    nodes = whole.select("node", both.alias("word"), "n").groupBy("node", "word").agg(F.sum("n").alias("n"))  # where they are
+
+    def sift(batches):
+        shorter: Counter = Counter()
+        for batch in batches:
+            node, word, n, k = [], [], [], []
+            rows = zip(batch.column("node").cast("binary").to_pylist(), batch.column("word").cast("binary").to_pylist(), batch.column("n").to_pylist(), strict=True)
+            for name, w, c in rows:
+                at = name.rindex(b"\t") + 1
+                size = name.count(b" ", at) + 1
+                if size == max_words - 1 and c >= min_count:
+                    node.append(name)
+                    word.append(w)
+                    n.append(c)
+                    k.append(size)
+                if w is None:
+                    shorter[name[:at]] += c
+                    if size < max_words - 1:
+                        shorter[name] += c
+                    for _ in range(min(size, max_words - 1) - 1):
+                        name = name[: name.rindex(b" ")]
+                        shorter[name] += c
+            yield _batch(node, word, n, k)
+            if len(shorter) > HELD:
+                yield given(shorter)
+                shorter = Counter()
+        yield given(shorter)
+
+    def given(shorter):
+        names = list(shorter)
+        return _batch(names, [None] * len(names), list(shorter.values()), [0 if x.endswith(b"\t") else x.count(b" ", x.rindex(b"\t")) + 1 for x in names])
+
+    found = nodes.mapInArrow(lambda batches: tidied(sift(batches)), _SIFTED)
+    words = F.substring_index("node", "\t", -1)
+    return found.select(F.expr("left(node, length(node) - length(substring_index(node, '\t', -1)) - 1)").alias("lang"), "k", words.alias("node"), "word", "n")
 
 
 def _moved(node: Column, word: Column, max_words: int) -> Column:
@@ -140,6 +184,13 @@ def inner_nodes(links: DataFrame) -> DataFrame:
     return cut(further(now).where("more = 0").select("lang", "node", "head", "d"))
 
 
+def rests(weighted: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+    """lang, node, rest: the count of each node less the edges that the graph has of it."""
+    own = weighted.where(F.col("k") == max_words - 1)
+    out = own.where("word is not null").groupBy("lang", "node").agg(F.sum("n").alias("out"))
+    return own.where("word is null").join(out, ["lang", "node"], "left").select("lang", "node", (F.col("n") - F.coalesce("out", F.lit(0))).alias("rest"))
+
+
 def paths(weighted: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """The compacted graph: lang, words, weights, rests.
 
@@ -149,7 +200,7 @@ def paths(weighted: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     w = F.col("word")
     links = weighted.where(w.isNotNull()).select("lang", "node", "word", "n", _moved(F.col("node"), w, max_words).alias("to"))
     inner = inner_nodes(links)
-    rest = weighted.where(w.isNull() & (F.col("k") == max_words - 1)).select("lang", "node", F.col("n").alias("rest"))
+    rest = rests(weighted, max_words)
     source = inner.join(rest, ["lang", "node"], "left").select("lang", "node", F.col("head").alias("head_from"), F.col("d").alias("d_from"), F.coalesce("rest", F.lit(0)).cast("long").alias("rest"))
     target = inner.select("lang", F.col("node").alias("to"), F.col("head").alias("head_to"), F.col("d").alias("d_to"))
     placed = links.join(source, ["lang", "node"], "left").join(target, ["lang", "to"], "left")
@@ -166,14 +217,13 @@ def phrase_counts(weighted: DataFrame, compact: DataFrame, max_words: int = MAX_
     longest = steps.select("lang", F.lit(max_words).alias("k"), F.col("edge").alias("phrase"), "n")
     within = steps.where("i > 0").select("lang", F.lit(max_words - 1).alias("k"), F.col("node").alias("phrase"), (F.col("n") + F.col("rest")).alias("n"))
     # flow out of the nodes where paths begin or end: their paths' first weights and their rest
-    rest = weighted.where(F.col("word").isNull() & (F.col("k") == max_words - 1)).select("lang", F.col("node").alias("phrase"), "n")
+    rest = rests(weighted, max_words).select("lang", F.col("node").alias("phrase"), F.col("rest").alias("n"))
     rest = rest.join(within.select("lang", "phrase"), ["lang", "phrase"], "left_anti")
     ends = steps.where("i = 0").select("lang", F.col("node").alias("phrase"), "n").unionByName(rest).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     found = longest.unionByName(within).unionByName(ends.select("lang", F.lit(max_words - 1).alias("k"), "phrase", "n"))
-    if max_words > 2:  # flow out of shorter nodes: all that begins with them
-        sizes = F.explode(F.sequence(F.lit(1), F.least(F.col("k"), F.lit(max_words - 2))))
-        begun = weighted.select("lang", "node", "n", sizes.alias("k")).select("lang", "k", F.expr("substring_index(node, ' ', k)").alias("phrase"), "n")
-        found = found.unionByName(begun.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).select("lang", "k", "phrase", "n"))
+    # flow out of shorter nodes: all that begins with them
+    begun = weighted.where((F.col("k") > 0) & (F.col("k") < max_words - 1)).groupBy("lang", "k", F.col("node").alias("phrase")).agg(F.sum("n").alias("n"))
+    found = found.unionByName(begun)
     return found.where(F.col("n") >= min_count)
 
 
@@ -192,7 +242,7 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
         raise ValueError("phrases have 2 words or more and a count of 1 or more")
     weighted = stored(graph(edges(docs, max_words, text_col, lang_col), max_words, min_count), "graph")
     counts = stored(phrase_counts(weighted, stored(paths(weighted, max_words), "paths"), max_words, min_count), "phrases")
-    total = weighted.groupBy("lang").agg(F.sum("n").alias("n"))
+    total = weighted.where("k = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     found = counts.where("k > 1").select("lang", "k", "phrase", F.col("n").alias("a"))
     inside = found.where("k > 2").select("lang", F.explode(_parts(F.col("phrase"), F.col("k"), 2, False)).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     left = found.join(inside, ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {share} * a").drop("longer")

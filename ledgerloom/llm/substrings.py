@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, marked, maybe_in, stored, table
+from .common import cut, free_name, marked, maybe_in, stored, table, tidied
 
 LENGTH, GRAM = 200, 32
 #: Windows in one piece of a long text, and bytes of short texts that are worked on together.
@@ -294,7 +294,7 @@ def _removed(batches):
 
 def repeated_spans(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """doc, lo, hi: parts of the texts of ``docs`` (doc, text) in which every window repeats; they may overlap."""
-    rows = stored(docs.where(F.octet_length("text") >= LENGTH).mapInPandas(_anchor_rows, "key long, c1 long, c2 long, doc long, place long, n long"), "anchors")
+    rows = stored(docs.where(F.octet_length("text") >= LENGTH).mapInPandas(lambda rows: tidied(_anchor_rows(rows)), "key long, c1 long, c2 long, doc long, place long, n long"), "anchors")
     # buckets are counted before the shuffle, and the anchors that are alone in theirs never travel
     full = rows.where("n > 0").groupBy("key").agg(F.sum("n").alias("all")).where("all > 1").select("key")
     some = maybe_in(rows.where("n > 0"), F.col("key"), full.withColumnRenamed("key", "bucket"), "bucket")
@@ -311,7 +311,7 @@ def repeated_spans(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     found = _contexts(docs, usual).groupBy(F.pmod(F.xxhash64("key"), F.lit(bins))).applyInPandas(_repeated, "doc long, lo long, hi long")
     out = settled.union(found)
     if not hot.isEmpty():
-        one_by_one = _contexts(docs, hot).mapInPandas(_window_rows, "c1 long, c2 long, doc long, at long")
+        one_by_one = _contexts(docs, hot).mapInPandas(lambda rows: tidied(_window_rows(rows)), "c1 long, c2 long, doc long, at long")
         twice = one_by_one.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2")
         out = out.union(one_by_one.join(twice, ["c1", "c2"], "left_semi").select("doc", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")))
     return out.distinct()
@@ -322,7 +322,7 @@ def _contexts(docs: DataFrame, opened: DataFrame) -> DataFrame:
     left = opened.groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("o")).select("doc", F.col("o.key").alias("keys"), F.col("o.place").alias("places"))
     # one of all copies, so that contexts are as many as the opened anchors; copies meet before the shuffle
     texts = maybe_in(docs, F.col("doc"), opened.select(F.col("doc").alias("of")), "of").groupBy("doc").agg(F.first("text").alias("text"))
-    return texts.join(left, "doc").select("doc", "text", "keys", "places").mapInPandas(_context_rows, "key long, doc long, at long, bytes binary")
+    return texts.join(left, "doc").select("doc", "text", "keys", "places").mapInPandas(lambda rows: tidied(_context_rows(rows)), "key long, doc long, at long, bytes binary")
 
 
 def _text_names(docs: DataFrame, text: Column) -> Column:
@@ -351,7 +351,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     none = F.lit(None).cast("array<long>")
     rest = flagged.where(~F.col(may)).select("id", "text", none.alias("begins"), none.alias("ends"))
     some = flagged.where(may).join(spans, "doc", "left").select("id", "text", "begins", "ends")
-    return rest.union(some).mapInPandas(_removed, "id long, n_bytes long, spans array<array<long>>, kept binary").withColumnRenamed("id", "doc_id")
+    return rest.union(some).mapInPandas(lambda rows: tidied(_removed(rows)), "id long, n_bytes long, spans array<array<long>>, kept binary").withColumnRenamed("id", "doc_id")
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

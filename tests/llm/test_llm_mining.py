@@ -94,6 +94,7 @@ def test_paths_hold_every_edge_once(spark, monkeypatch, rounds):
     rows = phrases.paths(weighted).collect()
     own = Counter((r["lang"], tuple(r["words"][i : i + 3]), n) for r in rows for i, n in enumerate(r["weights"]))
     assert max(own.values()) == 1 and set(own) == {(r["lang"], (*r["node"].split(" "), r["word"]), r["n"]) for r in weighted.where("word is not null").collect()}
+    assert {r["k"] for r in weighted.where("word is not null").collect()} == {2}
     longest = max(len(r["weights"]) for r in rows)
     assert longest == 38 if rounds == 12 else longest <= 2**rounds + 2
     # no two paths could be one: where a path ends and exactly one begins, another edge goes in or out, or a round is closed
