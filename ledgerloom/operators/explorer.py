@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.amounts import txid_of
 from . import ledger
 from .sequence import checked_page
 from .versioned import latest_by
@@ -140,10 +139,12 @@ def raw_transactions(txids: DataFrame, snapshots: DataFrame, sync_tail: int, pro
 
 
 def transaction_refs(txids: DataFrame, refs: DataFrame, creates: DataFrame, utxo: DataFrame) -> DataFrame:
-    """Where transactions stand: by their reference, else by an output that they made, else by one that is unspent."""
+    """Where transactions stand: by their reference, else by an output that they made, else by one that is unspent.
+
+    ``creates`` and ``utxo`` need not hold other transactions' rows.
+    """
     asked = txids.select("txid").distinct()
     place = lambda df, rank: df.withColumn("rank", F.lit(rank)).select("txid", "block_height", "tx_index", "rank").join(asked, "txid", "left_semi")
-    by_key = lambda df: df.withColumn("txid", txid_of(F.col("output_key")))
     # a version of a reference, so that the newest counts
-    own = place(refs, 0).unionByName(place(by_key(creates), 1)).unionByName(place(by_key(utxo), 2))
+    own = place(refs, 0).unionByName(place(creates, 1)).unionByName(place(utxo, 2))
     return latest_by(own, ["txid"], [F.asc("rank"), F.desc("block_height"), F.asc("tx_index")]).withColumnRenamed("rank", "source")

@@ -15,9 +15,13 @@ def first_count(record: Column, *names: str) -> Column:
     return F.coalesce(*[json_count(json_part(record, f"$.{n}")) for n in names])
 
 
-def _fee_or_nested(record: Column) -> Column:
-    """``fee`` if it is a number or a text that isn't blank, else ``fees.base``."""
-    own, nested = json_part(record, "$.fee"), json_part(record, "$.fees.base")
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its columns worked out once, where Spark would put their expressions into each use of them; no shuffle."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def _fee_or_nested(own: Column, nested: Column) -> Column:
+    """The amount of ``own`` (the part "fee") if it is a number or a text that isn't blank, else of ``nested`` ("fees.base")."""
     text = F.trim(F.try_variant_get(own, "$", "string"))
     usable = (json_kind(own) == "number") | ((json_kind(own) == "text") & (text != ""))
     return F.when(F.coalesce(usable, F.lit(False)), json_units(own)).otherwise(json_units(nested))
@@ -25,9 +29,10 @@ def _fee_or_nested(record: Column) -> Column:
 
 def sampled(entries: DataFrame) -> DataFrame:
     """Samples of snapshot entries (fetched_at, txid, raw JSON)."""
-    parsed = entries.withColumn("record", F.try_parse_json("raw_json"))
+    parsed = settled(entries.select("fetched_at", "txid", F.try_parse_json("raw_json").alias("record")))
     record = F.col("record")
-    counted = parsed.select("fetched_at", "txid", first_count(record, "time").alias("entry_time"), first_count(record, "height").alias("entry_height"), first_count(record, "vsize", "size").alias("size_bytes"), _fee_or_nested(record).cast("long").alias("fee_base"))
+    parts = settled(parsed.select("fetched_at", "txid", first_count(record, "time").alias("entry_time"), first_count(record, "height").alias("entry_height"), first_count(record, "vsize", "size").alias("size_bytes"), json_part(record, "$.fee").alias("fee"), json_part(record, "$.fees.base").alias("base")))
+    counted = settled(parts.select("fetched_at", "txid", "entry_time", "entry_height", "size_bytes", _fee_or_nested(F.col("fee"), F.col("base")).cast("long").alias("fee_base")))
     return counted.select(F.date_trunc("second", "fetched_at").alias("sampled_at"), "txid", "entry_time", "entry_height", "size_bytes", "fee_base", fee_rate(F.col("fee_base"), F.col("size_bytes")).alias("fee_rate"))
 
 
@@ -59,6 +64,7 @@ RATE_BITS = 16
 
 def fee_distribution(samples: DataFrame) -> DataFrame:
     """Samples, average and median of the rates. The median is read from counts: first the bucket, then the rate in it."""
+    samples = settled(samples.select("fee_rate"))
     rates = samples.where("fee_rate is not null").groupBy("fee_rate").agg(F.count("*").alias("n"))
     bucket = F.shiftright("fee_rate", RATE_BITS)
     buckets = rates.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"))

@@ -177,6 +177,10 @@ SELECTS = {
     "hex_units": "select output_key, value_base::decimal(38,0) as units from creates",
     # the rule: user:password@ of a url, and what follows a name and "=" up to white space
     "redact_text": "select c_custkey, 'http://' || case when c_custkey % 2 = 0 then '***:***@' else c_name || '@' end || 'host/x?' || case c_custkey % 3 when 0 then 'Token=*** end' when 1 then 'PASSWORD=*** end' else 'key=' || c_custkey || '&a=1 end' end as redacted from customer",
+    "backfilled_in_place": "select txid, block_height, (fee_base + case when block_height > half then 1000 else 0 end)::decimal(38,0) as fee_base from transactions, c",
+    "materialized_in_place": "select output_key, address, value_base, tail as version, balance from utxo left join balances using (address), c",
+    "followed_state": "select txid || ':' || p as output_key, address, value_base, spent_by_txid, spent_in_block, balance from pos left join spends on spent_output_key = output_key left join balances using (address)",
+    "outputs_by_key": "select output_key, address, value_base, block_height, spent_by_txid, spent_in_block from history where output_key in (select txid || ':1' from tx where o_orderkey % 50 = 0)",
     "apply_window_utxo": "from state",
     "apply_window_balances": "from balances",
     "missing_prevouts": "select spent_output_key, spent_by_txid from late_spends where spent_output_key in (select output_key from late_creates)",

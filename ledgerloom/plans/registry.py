@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts
 from ..operators import audit, derive, explorer, ledger, maintain, mempool, sequence, versioned
-from ..sources import raw_blocks
+from ..sources import heights, raw_blocks
+from ..sources.files import fact_folder, publish_state, read_published
+from ..streaming import blocks
 from ..streaming.mempool import feeds
 from .analytics import curated, guarded_query
 from .oracle import ORACLE_SQL
@@ -500,7 +503,16 @@ def raw_transactions(x):
 @query
 def transaction_refs(x):
     refs = derive.derive_tx_refs(x.nested, "core_process").where(F.col("block_height") <= x.edge(HALF))
-    return explorer.transaction_refs(x.asked_txids, refs, x.creates.where(F.col("block_height") <= x.edge(TENTH)), x.utxo)
+    own = x.outputs_of(x.asked_txids)
+    return explorer.transaction_refs(x.asked_txids, refs, own.where(F.col("block_height") <= x.edge(TENTH)), own.where("spent_by_txid is null"))
+
+
+@query
+def outputs_by_key(x):
+    # single outputs: the second of every 50th order
+    own = x.outputs_of(x.asked_txids)
+    keys = x.asked_txids.select(F.concat("txid", F.lit(":1")).alias("output_key"))
+    return versioned.lookup(own, keys, ["output_key"]).select("output_key", "address", "value_base", "block_height", "spent_by_txid", "spent_in_block")
 
 
 # --- functions ---
@@ -652,6 +664,44 @@ def backfilled_transactions(x):
     return maintain.backfill_facts(stored, x.creates, x.spends, x.edge(HALF)).select("txid", "block_height", "fee_base")
 
 
+def _folder(x, name):
+    """A new folder for tables that a query writes and reads back."""
+    folder = fact_folder(x.spark)
+    if folder is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def backfilled_in_place(x):
+    # as above, but stored in buckets of heights, of which the older half is written anew
+    path, facts = _folder(x, "backfill"), x.transactions.withColumn("fee_base", (F.col("fee_base") + 1000).cast(amounts.AMOUNT))
+    heights.replace(x.spark, path, {"transactions": facts}, {"transactions": "block_height"}, 0, x.tail, max(1, x.tail // 16))
+    maintain.backfill_in_place(x.spark, path, x.creates, x.spends, 0, x.edge(HALF))
+    return heights.read(x.spark, path, "transactions").select("txid", "block_height", "fee_base")
+
+
+@query
+def materialized_in_place(x):
+    # the state of the older half is published first, and then that of the whole chain in its place
+    path = _folder(x, "state")
+    for h in (x.edge(HALF), x.tail):
+        publish_state(maintain.materialize(x.creates, x.spends, x.blocks, h), path)
+    state = read_published(x.spark, path)
+    return state["utxo"].join(state["balances"].select("address", "balance"), "address", "left").select("output_key", "address", "value_base", "version", "balance")
+
+
+@query
+def followed_state(x):
+    # the chain arrives in batches, with a tail of other hashes that the last batch replaces
+    path, h, e = _folder(x, "followed"), F.col("height"), x.edge(TENTH)
+    fork = x.nested.where(h >= e).withColumn("hash", F.concat(F.lit("fork"), h.cast("string")))
+    for i, batch in enumerate([x.nested.where(h < e), fork, x.nested.where(h >= e)]):
+        blocks.apply_batch(batch, i, path)
+    kept = blocks.state(x.spark, path).join(blocks.balances(x.spark, path).select("address", "balance"), "address", "left")
+    return kept.select("output_key", "address", "value_base", "spent_by_txid", "spent_in_block", "balance")
+
+
 @query
 def online_heights(x):
     tails = x.blocks.agg((F.max("block_height") - 50).alias("tail"), F.max("block_height").alias("target"))

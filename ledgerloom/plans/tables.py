@@ -16,7 +16,12 @@ from pyspark.sql import functions as F
 from ..functions.amounts import format_amount
 from ..operators import derive, ledger
 from ..operators.versioned import latest_by
-from ..sources.files import kept
+from ..sources import manifest
+from ..sources.files import fact_folder, kept
+from ..sources.keyed import KeyedTable
+
+#: Rows of a bucket of the copy by transaction.
+ROWS_PER_BUCKET = 1 << 16
 
 
 class Ledger:
@@ -61,8 +66,31 @@ class Ledger:
     def latest(self) -> DataFrame:
         return latest_by(self.creates_log, ["output_key"], [F.desc("version"), F.asc("l_partkey"), F.asc("l_suppkey"), F.asc("l_extendedprice")])
 
+    @cached_property
+    def stamp(self) -> str:
+        """What tells the tables that facts derive from from their later state."""
+        return "|".join(manifest.stamp(self.spark, f"{self.sf_dir}/{name}.parquet") for name in ("lineitem", "orders"))
+
     def _kept(self, name: str, df: DataFrame, height: str) -> DataFrame:
-        return kept(self.spark, df, f"{name}-{hashlib.sha1(self.sf_dir.encode()).hexdigest()[:16]}", [height, *(["output_key"] if name == "creates" else ["spent_output_key"])])
+        return kept(self.spark, df, name, [height, *(["output_key"] if name == "creates" else ["spent_output_key"])], self.stamp)
+
+    def outputs_of(self, txids: DataFrame) -> DataFrame:
+        """Outputs of transactions (txid), with their spend, from a copy of the ledger in buckets of transactions: only theirs are read."""
+        folder = fact_folder(self.spark)
+        if folder is None:
+            return self.history.join(txids.select("txid").distinct(), "txid", "left_semi")
+        columns = ["output_key", "txid", "tx_index", "vout", "block_height", "address", "value_base", "is_spendable", "spent_by_txid", "spent_in_block", "input_index"]
+        rows = self.history.select(*columns)
+        path = f"{folder}/by-transaction-{hashlib.sha256(self.stamp.encode()).hexdigest()[:16]}"
+        table = KeyedTable(path, "outputs", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), ("output_key",), lambda: F.col("txid"), ROWS_PER_BUCKET)
+        number, content = manifest.current(self.spark, path)
+        if not number:
+            content = {"outputs": [table.load(rows, self.creates.count())]}
+            try:
+                manifest.commit(self.spark, path, 0, content)
+            except manifest.Conflict:  # made by another query meanwhile
+                content = manifest.current(self.spark, path)[1]
+        return table.lookup(self.spark, content["outputs"], txids, ["txid"])
 
     @cached_property
     def creates(self) -> DataFrame:

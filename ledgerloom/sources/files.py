@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
+import uuid
 from functools import cache
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.derive import block_schema
+from . import manifest
 
 MEMPOOL = "fetched_at timestamp, entries map<string,string>"
 #: Fact tables in the order in which a window is written: a window counts once its blocks are there.
@@ -71,21 +73,45 @@ def _local_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
 
 
-def kept(spark: SparkSession, df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """``df`` as a table that the session keeps, written once and in order, so that reads skip what they don't ask for."""
+def kept(spark: SparkSession, df: DataFrame, name: str, order: list[str], stamp: str = "") -> DataFrame:
+    """``df`` as a table that the session keeps, written once and in order, so that reads skip what they don't ask for.
+
+    The rows go to a new folder; a file that names it is put in place last and only once. So a table
+    that is still being written, or whose writer died, isn't read, and of two writers one counts.
+    ``stamp`` tells the source from its later state: another stamp is another table.
+    """
     folder = fact_folder(spark)
     if folder is None:
         return df
-    path = f"{folder}/{name}"
-    try:
-        return spark.read.schema(df.schema).parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error.getCondition()):
-            raise
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    pointer = f"{folder}/{name}-{hashlib.sha256(stamp.encode()).hexdigest()[:16]}.current"
+    if (path := manifest.read_text(spark, pointer)) is None:
+        path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(path)
+        if not manifest.put_new(spark, pointer, path):
+            manifest.remove(spark, path)
+            path = manifest.read_text(spark, pointer)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def publish_state(tables: dict[str, DataFrame], path: str) -> None:
+    """Put state tables in the place of those under ``path``, all at once; a writer that dies leaves the old ones."""
+    spark = next(iter(tables.values())).sparkSession
+    number, content = manifest.current(spark, path)
+    known, dropped = dict(content.get("state", {})), []
+    for name, df in tables.items():
+        folder = f"{name}/{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(f"{path}/{folder}")
+        dropped += [known[name]["folder"]] if name in known else []
+        known[name] = {"folder": folder, "schema": df._jdf.schema().toDDL()}
+    manifest.commit(spark, path, number, content | {"state": known}, dropped)
+
+
+def read_published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of :func:`publish_state`, all of one commit."""
+    state = manifest.current(spark, path)[1].get("state", {})
+    return {name: spark.read.schema(of["schema"]).parquet(f"{path}/{of['folder']}") for name, of in state.items()}
+
+
 #: State tables of a snapshot.
 STATE = ["utxo", "balances", "applied_blocks"]
 

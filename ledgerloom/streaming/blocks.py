@@ -1,108 +1,169 @@
-"""A stream of nested blocks kept as fact tables, through replays and reorganizations.
+"""A stream of nested blocks kept as tables by key, through replays and reorganizations.
 
-Each micro-batch writes its facts under its own number, so a repeated batch overwrites itself, and
-the processed blocks last, so an unfinished one is not seen. A batch that brings another block for a
-known height notes the height from which it replaces what earlier batches wrote; readers leave that out.
+Four tables are kept: outputs with the spend that took them, blocks, the outputs that each block
+touched (a journal), and balances. A micro-batch looks up what its keys ask for, works out the new
+rows, adds them as runs and commits all tables with its own number in one manifest; so it counts
+wholly or not at all, and a repeated batch is left out. Tables are merged as they grow
+(:mod:`..sources.keyed`), so what a batch reads depends on its keys, not on how long the log is.
+
+A batch that brings another block for a known height replaces all blocks from there on: the journal
+names the outputs that they touched, which become what they were before. A spend of an output that
+isn't there, or that is spent already, is an error unless ``strict`` is off.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import derive, ledger, maintain
+from ..functions.amounts import AMOUNT, total, txid_of
+from ..operators import derive, maintain
 from ..operators.versioned import latest_by
+from ..sources import manifest
+from ..sources.keyed import GONE, KeyedTable
 
-HEIGHT = {"creates": "block_height", "spends": "spent_in_block", "processed_blocks": "block_height"}
+CREATE = ["output_key", "txid", "tx_index", "vout", "block_height", "block_hash", "block_time", "address", "value_base", "is_spendable", "is_coinbase"]
+SPEND = ["spent_by_txid", "spent_in_block", "spent_tx_index", "input_index"]
+#: Heights whose blocks share a bucket.
+HEIGHTS = 1000
 
 
-def _log(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{path}/processed_blocks")
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error.getCondition()):
-            return None
-        raise
-
-
-def canonical_blocks(spark: SparkSession, path: str) -> DataFrame | None:
-    """The blocks that count: of each height the newest batch's, unless a later batch replaced it."""
-    log = _log(spark, path)
-    if log is None:
-        return None
-    # what a batch replaces has a lower batch number and the height or more: of each batch the blocks
-    # below the least height that a later one replaces count; the window has one row for each batch
-    later = Window.orderBy(F.desc("batch_id")).rowsBetween(Window.unboundedPreceding, -1)
-    floors = log.groupBy("batch_id").agg(F.min("replaces_from").alias("from_height")).withColumn("floor", F.min("from_height").over(later))
-    counted = log.join(floors.select("batch_id", "floor"), "batch_id").where("floor is null or block_height < floor").drop("floor")
-    return latest_by(counted, ["block_height"], [F.desc("batch_id")])
+class Tables:
+    """The tables under a path."""
+
+    def __init__(self, path: str):
+        range_of = lambda: F.floor(F.col("block_height") / HEIGHTS)
+        self.outputs = KeyedTable(path, "outputs", "output_key string, txid string, tx_index bigint, vout bigint, block_height bigint, block_hash string, block_time bigint, address string, value_base bigint, is_spendable boolean, is_coinbase boolean, spent_by_txid string, spent_in_block bigint, spent_tx_index bigint, input_index bigint", ("output_key",), lambda: F.col("txid"))
+        self.blocks = KeyedTable(path, "blocks", "block_height bigint, block_hash string, block_time bigint, tx_count bigint, previous_hash string", ("block_height",), range_of)
+        self.journal = KeyedTable(path, "journal", "block_height bigint, output_key string", ("block_height", "output_key"), range_of)
+        self.balances = KeyedTable(path, "balances", f"address string, balance {AMOUNT}, outputs bigint", ("address",), lambda: F.col("address"))
+        self.all = (self.outputs, self.blocks, self.journal, self.balances)
+
+
+def _runs(content: dict, table: KeyedTable) -> list[dict]:
+    return content.get("runs", {}).get(table.name, [])
+
+
+def _committed(spark: SparkSession, path: str) -> dict:
+    number, content = manifest.current(spark, path)
+    if not number:
+        raise ValueError(f"no ledger is kept under {path}")
+    return content
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A fact table's rows that belong to blocks that count."""
-    counted = canonical_blocks(spark, path)
+    """creates, spends or processed_blocks, of all blocks that count."""
+    content, t = _committed(spark, path), Tables(path)
     if name == "processed_blocks":
-        return counted.drop("batch_id", "replaces_from")
-    own = counted.select(F.col("block_height").alias(HEIGHT[name]), "batch_id")
-    return spark.read.parquet(f"{path}/{name}").join(own, [HEIGHT[name], "batch_id"], "left_semi").drop("batch_id")
+        return t.blocks.read(spark, _runs(content, t.blocks))
+    rows = t.outputs.read(spark, _runs(content, t.outputs))
+    if name == "creates":
+        return rows.where("block_height is not null").select(*CREATE)
+    if name == "spends":
+        return rows.where("spent_by_txid is not null").select(F.col("output_key").alias("spent_output_key"), *SPEND)
+    raise ValueError(f"no table {name}")
+
+
+def outputs_of(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """The outputs whose ``output_key`` is among ``keys``, with their spend; reads the buckets of the keys only."""
+    content, t = _committed(spark, path), Tables(path)
+    return t.outputs.lookup(spark, _runs(content, t.outputs), keys.select("output_key", txid_of(F.col("output_key")).alias("txid")), ["output_key"])
 
 
 def state(spark: SparkSession, path: str) -> DataFrame:
     """Outputs with their spend, of all blocks that count."""
-    return maintain.state_of(read_table(spark, path, "creates"), read_table(spark, path, "spends"))
+    content, t = _committed(spark, path), Tables(path)
+    rows = t.outputs.read(spark, _runs(content, t.outputs)).where("block_height is not null")
+    return rows.select("output_key", "txid", "block_height", "address", "value_base", "is_spendable", "spent_by_txid", "spent_in_block", "input_index")
 
 
 def balances(spark: SparkSession, path: str) -> DataFrame:
-    return ledger.balances(state(spark, path).where("spent_by_txid is null"))
+    content, t = _committed(spark, path), Tables(path)
+    return t.balances.read(spark, _runs(content, t.balances)).select("address", F.lit("").alias("asset_address"), "balance")
 
 
-def apply_batch(batch: DataFrame, batch_id: int, path: str, strict: bool = False) -> None:
-    """Write a batch's facts; ``strict``: a spend without its output, or of a spent one, is an error (a join with the whole state)."""
+def apply_batch(batch: DataFrame, batch_id: int, path: str, strict: bool = True, source: str = "") -> None:
+    """Apply a batch of nested blocks; ``batch_id`` counts the batches of ``source`` (a stream's checkpoint)."""
     spark = batch.sparkSession
+    number, content = manifest.current(spark, path)
+    if content.get("batches", {}).get(source, -1) >= batch_id:
+        return
     batch.persist()
+    held = [batch]
     try:
-        _apply(spark, batch, batch_id, path, strict)
+        _apply(spark, batch, number, content, path, strict, {"batches": content.get("batches", {}) | {source: batch_id}}, held)
     finally:
-        batch.unpersist()
+        for df in held:
+            df.unpersist()
 
 
-def _apply(spark: SparkSession, batch: DataFrame, batch_id: int, path: str, strict: bool) -> None:
-    known = canonical_blocks(spark, path)
-    if known is not None:
-        low, high = batch.agg(F.min("height"), F.max("height")).first()
-        # a repeated batch starts anew; only heights of the batch can be known or replaced
-        known = known.where((F.col("batch_id") < batch_id) & F.col("block_height").between(-1 if low is None else low, -1 if high is None else high))
-        done = known.select(F.col("block_height").alias("height"), F.col("block_hash").alias("hash"))
-        batch = batch.join(done, ["height", "hash"], "left_anti")
+def _apply(spark: SparkSession, batch: DataFrame, number: int, content: dict, path: str, strict: bool, mark: dict, held: list[DataFrame]) -> None:
+    t = Tables(path)
+    runs = {table.name: _runs(content, table) for table in t.all}
+    known = t.blocks.lookup(spark, runs["blocks"], batch.select(F.col("height").alias("block_height")))
+    batch = batch.join(known.select(F.col("block_height").alias("height"), F.col("block_hash").alias("hash")), ["height", "hash"], "left_anti")
     if (bad := derive.violations(batch).first()) is not None:
         raise ValueError(f"block {bad['block_height']}: {bad['reason']}")
-    blocks = derive.derive_processed_blocks(batch)
-    fork = None if known is None else maintain.reorg_height(blocks, known).first()[0]
-    tables = {"creates": derive.derive_creates(batch), "spends": derive.derive_spends(batch), "processed_blocks": blocks.withColumn("replaces_from", F.lit(fork).cast("long"))}
+    blocks, creates, spends = derive.derive_processed_blocks(batch).persist(), derive.derive_creates(batch).persist(), derive.derive_spends(batch).persist()
+    held += [blocks, creates, spends]
+    fork, top = maintain.reorg_height(blocks, known).first()[0], blocks.agg(F.max("block_height")).first()[0]
+    tail = content.get("tail", -1)
+    replaced = spark.range(tail + 1 if fork is None else fork, tail + 1).select(F.col("id").alias("block_height"))
+    undone = t.journal.lookup(spark, runs["journal"], replaced, ["block_height"])
+    # the outputs that the batch and what it replaces touch, as they are and as they were before what it replaces
+    touched = creates.select("output_key").unionByName(spends.select(F.col("spent_output_key").alias("output_key"))).unionByName(undone.select("output_key")).distinct()
+    now = t.outputs.lookup(spark, runs["outputs"], touched.withColumn("txid", txid_of(F.col("output_key")))).persist()
+    held.append(now)
+    before = now if fork is None else _before(now, fork)
     if strict:
-        before = _state_before(spark, path, batch_id, fork)
-        maintain.require_prevouts(tables["creates"].limit(0).transform(_stateless) if before is None else before, tables["creates"], tables["spends"])
-    for name, df in tables.items():
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}/batch_id={batch_id}")
-
-
-def _stateless(creates: DataFrame) -> DataFrame:
-    return creates.select("output_key", F.lit(None).cast("string").alias("spent_by_txid"), F.lit(None).cast("long").alias("spent_in_block"), F.lit(None).cast("long").alias("input_index"))
-
-
-def _state_before(spark: SparkSession, path: str, batch_id: int, fork: int | None) -> DataFrame | None:
-    """The state that a batch builds on: of the blocks that count, without its own earlier attempt and what it replaces."""
-    counted = canonical_blocks(spark, path)
-    if counted is None:
-        return None
-    kept = counted.where(F.col("batch_id") < batch_id)
-    kept = kept if fork is None else kept.where(F.col("block_height") < fork)
-    own = lambda name: spark.read.parquet(f"{path}/{name}").join(kept.select(F.col("block_height").alias(HEIGHT[name]), "batch_id"), [HEIGHT[name], "batch_id"], "left_semi").drop("batch_id")
-    return maintain.state_of(own("creates"), own("spends"))
-
-
-def follow(blocks: DataFrame, path: str, checkpoint: str, strict: bool = False, **trigger) -> StreamingQuery:
+        maintain.require_prevouts(before, creates, spends)
+    after = _after(before, creates, spends)
+    gone = now.join(after.select("output_key"), "output_key", "left_anti")
+    at = number + 1
+    marked = lambda df, flag: df.withColumn(GONE, F.lit(flag))
+    fresh = {"outputs": t.outputs.write(marked(after, False).unionByName(marked(gone, True)), at)}
+    journal = creates.select("block_height", "output_key").unionByName(spends.select(F.col("spent_in_block").alias("block_height"), F.col("spent_output_key").alias("output_key"))).distinct()
+    fresh["journal"] = t.journal.write(marked(journal, False).unionByName(marked(undone.join(journal, ["block_height", "output_key"], "left_anti"), True)), at)
+    left = t.blocks.lookup(spark, runs["blocks"], replaced).join(blocks.select("block_height"), "block_height", "left_anti")
+    fresh["blocks"] = t.blocks.write(marked(blocks, False).unionByName(marked(left, True)), at)
+    # balances change by what the run that was just written changes
+    written = t.outputs.versions(spark, [fresh["outputs"]])
+    change = _worth(written.where(f"not {GONE}"), 1).unionByName(_worth(now, -1)).groupBy("address").agg(total(F.col("value")).alias("value"), F.sum("n").alias("n")).where("value <> 0 or n <> 0")
+    old = t.balances.lookup(spark, runs["balances"], change.select("address"))
+    new = change.join(old, "address", "left").select("address", (F.coalesce("balance", F.lit(0).cast(AMOUNT)) + F.col("value")).cast(AMOUNT).alias("balance"), (F.coalesce("outputs", F.lit(0)) + F.col("n")).alias("outputs"))
+    fresh["balances"] = t.balances.write(new.withColumn(GONE, F.col("outputs") == 0), at)
+    dropped = []
+    for table in t.all:
+        runs[table.name], old_folders = table.compacted(spark, [*runs[table.name], fresh[table.name]])
+        dropped += old_folders
+    tail = tail if top is None else top if fork is not None else max(tail, top)
+    manifest.commit(spark, path, number, {"runs": runs, "tail": tail} | mark, dropped)
+
+
+def _before(now: DataFrame, fork: int) -> DataFrame:
+    """Outputs as they were before the blocks from ``fork`` on."""
+    own = now.where(F.col("block_height").isNull() | (F.col("block_height") < fork))
+    return own.withColumns({c: F.when(F.col("spent_in_block") < fork, F.col(c)) for c in SPEND}).where("block_height is not null or spent_by_txid is not null")
+
+
+def _after(before: DataFrame, creates: DataFrame, spends: DataFrame) -> DataFrame:
+    """Outputs after a batch; one that is known stays, and so does a recorded spend. Spends without an output are rows without a height."""
+    made = creates.join(before.where("block_height is not null").select("output_key"), "output_key", "left_anti")
+    own = before.select(*[F.col(c) for c in CREATE], *[F.col(c).alias(f"old_{c}") for c in SPEND]).unionByName(made.select(*CREATE), allowMissingColumns=True)
+    own = latest_by(own, ["output_key"], [F.desc(F.col("block_height").isNotNull()), F.asc("tx_index"), F.asc("vout")])
+    taken = latest_by(spends.withColumnRenamed("spent_output_key", "output_key"), ["output_key"], [F.asc("spent_in_block"), F.asc("spent_tx_index"), F.asc("input_index")])
+    both = own.join(taken, "output_key", "full_outer")
+    first = lambda c: F.when(F.col("old_spent_by_txid").isNotNull(), F.col(f"old_{c}")).otherwise(F.col(c)).alias(c)
+    return both.select("output_key", F.coalesce("txid", txid_of(F.col("output_key"))).alias("txid"), *CREATE[2:], *[first(c) for c in SPEND])
+
+
+def _worth(rows: DataFrame, sign: int) -> DataFrame:
+    """What unspent outputs add to (or take from) their addresses."""
+    own = rows.where("is_spendable and address <> '' and spent_by_txid is null")
+    return own.select("address", (F.col("value_base") * sign).alias("value"), F.lit(sign).cast("long").alias("n"))
+
+
+def follow(blocks: DataFrame, path: str, checkpoint: str, strict: bool = True, **trigger) -> StreamingQuery:
     """Start keeping the ledger of a stream of nested blocks under ``path``."""
-    return blocks.writeStream.foreachBatch(lambda batch, i: apply_batch(batch, i, path, strict)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return blocks.writeStream.foreachBatch(lambda batch, i: apply_batch(batch, i, path, strict, checkpoint)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
