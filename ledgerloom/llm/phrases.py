@@ -6,7 +6,7 @@ between the overlapping nodes of its first and its last ``max_words - 1`` words.
 the last 1, 2, ... ``max_words - 1`` words are noted as corrections. All shorter counts follow: a
 phrase is followed by a word or ends its piece, so its count is the flow out of it, plus its correction.
 
-Edges and corrections are counted task by task in a table of bounded size and shuffled once, by their
+Edges and corrections are counted task by task over a bounded number of words and shuffled once, by their
 node, so that Spark sums up edges and the flow out of each node where they arrive; what is below
 ``min_count`` can be no candidate and only goes on as flow out of shorter nodes. What is left is
 compacted, with a rest for each node (its count less its edges that are left): a node with one edge in and one out is an inner node of a path, each path
@@ -22,7 +22,7 @@ longer candidate that has ``share`` percent of their count are left out.
 
 Defined cases: a null text has no words, a null language is ``und``; empty and blank pieces have no
 words; pieces shorter than an edge live in the corrections alone; texts and pieces of any length are
-taken whole, in chunks; repeated rows count each; further columns aren't read; an empty table gives
+taken whole, in parts; repeated rows count each; further columns aren't read; an empty table gives
 no rows. Hot phrases are counted before the shuffle, so a node's task gets a row for each different
 edge of each task at most, which it aggregates as a stream; ranks are taken within shares of a language
 first, so no task holds a language.
@@ -31,7 +31,6 @@ first, so no task holds a language.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,8 +39,8 @@ from pyspark.sql import types as T
 from .common import cut, stored, table, tidied
 
 MAX_WORDS, MIN_COUNT, SHARE, TOP, UNNAMED = 3, 10, 50, 2000, "und"
-#: Different edges and bytes of pieces that a task counts before it gives them on; words counted at once.
-HELD, HELD_BYTES, CHUNK = 150_000, 16 << 20, 20_000
+#: Words, and their bytes, whose edges a task counts before it gives them on; a longer piece is held in parts.
+HELD, HELD_BYTES = 500_000, 32 << 20
 #: Rounds of pointer doubling, and shares into which a language is dealt to be ranked.
 ROUNDS, SHARES = 12, 64
 #: A node is its language, a tab (which no word has) and its words.
@@ -50,52 +49,86 @@ _SIFTED = T.StructType([*_EDGES, T.StructField("k", T.IntegerType())])
 _BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]")
 
 
+class _Ids(dict):
+    """A number for each word, in order of first sight."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
 class _Held:
-    """Edges and piece ends that a task has counted and not yet given on."""
+    """Words of pieces whose edges and ends a task hasn't yet given on."""
 
     def __init__(self, max_words: int):
-        self.most, self.bytes = max_words, 0
-        self.edges: dict[str, Counter] = {}
-        self.ends: dict[str, Counter] = {}
+        self.most, self.langs = max_words, _Ids()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words, self.sizes, self.lang, self.ended, self.bytes = [], [], [], [], 0
 
     def full(self) -> bool:
-        return self.bytes > HELD_BYTES or sum(map(len, self.edges.values())) + sum(map(len, self.ends.values())) > HELD
+        return len(self.words) >= HELD or self.bytes > HELD_BYTES
 
     def add(self, lang: str, piece: bytes):
-        """Count a piece; batches come out whenever enough is held."""
-        words, most = piece.split(), self.most  # space and tab: the other white space ends a piece
-        self.bytes += len(piece)
-        for at in range(0, len(words) - most + 1, CHUNK):
-            some = words[at : at + CHUNK + most - 1]
-            self.edges.setdefault(lang, Counter()).update(zip(*(some[i:] for i in range(most)), strict=False))
-            if self.full():
-                yield self.given()
-        for k in range(1, min(most - 1, len(words)) + 1):
-            self.ends.setdefault(lang, Counter())[tuple(words[-k:])] += 1
+        """Hold a piece; batches come out whenever enough is held."""
+        words = piece.split()  # space and tab: the other white space ends a piece
+        while len(words) > HELD:  # a part overlaps the next, so that each edge lies in one
+            part, words = words[:HELD], words[HELD - self.most + 1 :]
+            yield from self._hold(lang, part, False)
+        if words:
+            yield from self._hold(lang, words, True)
+
+    def _hold(self, lang: str, words: list[bytes], ended: bool):
+        self.words += words
+        self.sizes.append(len(words))
+        self.lang.append(self.langs[lang])
+        self.ended.append(ended)
+        self.bytes += sum(map(len, words))
+        if self.full():
+            yield from self.given()
 
     def given(self):
-        node, word, n = [], [], []
-        for of, counted in self.edges.items():
-            head = of.encode() + b"\t"
-            for t, c in counted.items():
-                node.append(head + b" ".join(t[:-1]))
-                word.append(t[-1])
-                n.append(c)
-        for of, counted in self.ends.items():
-            head = of.encode() + b"\t"
-            word += [None] * len(counted)
-            for t, c in counted.items():
-                node.append(head + b" ".join(t))
-                n.append(c)
-        self.edges, self.ends, self.bytes = {}, {}, 0
-        return _batch(node, word, n)
-
-
-def _batch(node: list, word: list, n: list, *more):
+        """Batches of the edges and ends of what is held, equal ones as one row."""
+        import numpy as np
+        import pyarrow as pa
+
+        if not self.words:
+            return
+        ids = _Ids()
+        word = np.fromiter(map(ids.__getitem__, self.words), np.int64, len(self.words))
+        vocabulary = pa.array(list(ids), pa.binary())
+        langs = pa.array([x.encode() for x in self.langs], pa.binary())
+        sizes, lang, ended = np.array(self.sizes), np.array(self.lang, np.int64), np.array(self.ended)
+        begins = np.cumsum(sizes) - sizes
+        count = np.maximum(0, sizes - self.most + 1)
+        starts = np.repeat(begins - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        yield _counted(word, vocabulary, langs, starts, np.repeat(lang, count), self.most, True)
+        for k in range(1, self.most):
+            some = ended & (sizes >= k)
+            yield _counted(word, vocabulary, langs, (begins + sizes)[some] - k, lang[some], k, False)
+        self._clear()
+
+
+def _counted(word, vocabulary, langs, starts, lang, size: int, edge: bool):
+    """A batch of the different runs of ``size`` words that begin at ``starts``, with how many there are."""
+    import numpy as np
     import pyarrow as pa
-
-    text = lambda x: pa.array(x, pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([text(node), text(word), pa.array(n, pa.int64()), *(pa.array(x, pa.int32()) for x in more)], names=[*_EDGES.names, *["k"] * len(more)])
+    import pyarrow.compute as pc
+
+    key, most, n = lang, len(langs), len(vocabulary)
+    for i in range(size):
+        if most > (1 << 62) // n:  # numbers for what is there instead of for what could be
+            key, most = np.unique(key, return_inverse=True)[1], len(key) + 1
+        key, most = key * n + word[starts + i], most * n
+    _, first, count = np.unique(key, return_index=True, return_counts=True)
+    at = starts[first]
+    parts = [vocabulary.take(pa.array(word[at + i])) for i in range(size)]
+    whole = parts[: size - edge]
+    names = pc.binary_join_element_wise(*whole, pa.scalar(b" ", pa.binary())) if len(whole) > 1 else whole[0]
+    node = pc.binary_join_element_wise(langs.take(pa.array(lang[first])), names, pa.scalar(b"\t", pa.binary()))
+    last = parts[-1] if edge else pa.nulls(len(at), pa.binary())
+    return pa.RecordBatch.from_arrays([node.cast(pa.string()), last.cast(pa.string()), pa.array(count.astype(np.int64))], names=_EDGES.names)
 
 
 def edges(docs: DataFrame, max_words: int = MAX_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -108,9 +141,7 @@ def edges(docs: DataFrame, max_words: int = MAX_WORDS, text_col: str = "text", l
             for i, lang in enumerate(batch.column("lang").to_pylist()):
                 for piece in _BREAK.split(batch.column("text")[i].as_py().lower()):  # of bytes: A-Z only
                     yield from held.add(lang, piece)
-                    if held.full():
-                        yield held.given()
-        yield held.given()
+        yield from held.given()
 
     return rows.mapInArrow(lambda batches: tidied(run(batches)), _EDGES)
 
@@ -126,34 +157,43 @@ def graph(counted: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_C
     nodes = whole.select("node", both.alias("word"), "n").groupBy("node", "word").agg(F.sum("n").alias("n"))  # where they are
 
     def sift(batches):
-        shorter: Counter = Counter()
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        parts, held = [], 0
         for batch in batches:
-            node, word, n, k = [], [], [], []
-            rows = zip(batch.column("node").cast("binary").to_pylist(), batch.column("word").cast("binary").to_pylist(), batch.column("n").to_pylist(), strict=True)
-            for name, w, c in rows:
-                at = name.rindex(b"\t") + 1
-                size = name.count(b" ", at) + 1
-                if size == max_words - 1 and c >= min_count:
-                    node.append(name)
-                    word.append(w)
-                    n.append(c)
-                    k.append(size)
-                if w is None:
-                    shorter[name[:at]] += c
-                    if size < max_words - 1:
-                        shorter[name] += c
-                    for _ in range(min(size, max_words - 1) - 1):
-                        name = name[: name.rindex(b" ")]
-                        shorter[name] += c
-            yield _batch(node, word, n, k)
-            if len(shorter) > HELD:
-                yield given(shorter)
-                shorter = Counter()
-        yield given(shorter)
-
-    def given(shorter):
-        names = list(shorter)
-        return _batch(names, [None] * len(names), list(shorter.values()), [0 if x.endswith(b"\t") else x.count(b" ", x.rindex(b"\t")) + 1 for x in names])
+            node, n = batch.column("node"), batch.column("n")
+            words = pc.replace_substring_regex(node, r"(?s)^.*\t", "")
+            k = pc.add(pc.count_substring(words, " "), 1).cast(pa.int32())
+            batch = pa.RecordBatch.from_arrays([*batch.columns, k], names=_SIFTED.names)
+            yield batch.filter(pc.and_(pc.equal(k, max_words - 1), pc.greater_equal(n, min_count)))
+            # what flows into shorter nodes, and into the language
+            flow = batch.filter(pc.is_null(batch.column("word"))).select(["node", "n", "k"])
+            own = flow.filter(pc.less(flow.column("k"), max_words - 1))
+            some = [own.columns, [pc.replace_substring_regex(flow.column("node"), r"(?s)[^\t]*$", ""), flow.column("n"), pa.array([0] * flow.num_rows, pa.int32())]]
+            for _ in range(max_words - 2):
+                flow = flow.filter(pc.greater(flow.column("k"), 1))
+                flow = pa.RecordBatch.from_arrays([pc.replace_substring_regex(flow.column("node"), " [^ ]*$", ""), flow.column("n"), pc.subtract(flow.column("k"), 1).cast(pa.int32())], names=["node", "n", "k"])
+                some.append(flow.columns)
+            parts.append(summed(pa.concat_tables([pa.table(list(x), names=["node", "n", "k"]) for x in some])))
+            held += parts[-1].num_rows
+            if held > HELD:
+                parts = [summed(pa.concat_tables(parts))]
+                held = parts[0].num_rows
+                if held > HELD // 2:
+                    yield from given(parts)
+                    parts, held = [], 0
+        yield from given(parts)
+
+    def summed(flow):
+        out = flow.group_by(["node", "k"]).aggregate([("n", "sum")])
+        return out.select(["node", "n_sum", "k"]).rename_columns(["node", "n", "k"])
+
+    def given(parts):
+        import pyarrow as pa
+
+        for part in summed(pa.concat_tables(parts)).to_batches() if parts else []:
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.nulls(part.num_rows, pa.string()), part.column("n"), part.column("k")], names=_SIFTED.names)
 
     found = nodes.mapInArrow(lambda batches: tidied(sift(batches)), _SIFTED)
     words = F.substring_index("node", "\t", -1)

@@ -65,8 +65,7 @@ def phrase_rows():
 @pytest.mark.parametrize(("max_words", "least", "top"), [(3, 10, 2000), (2, 3, 7), (4, 5, 2000), (5, 20, 3)])
 def test_phrases(spark, monkeypatch, max_words, least, top):
     rows = phrase_rows()
-    monkeypatch.setattr(phrases, "HELD", 300)
-    monkeypatch.setattr(phrases, "CHUNK", 7)
+    monkeypatch.setattr(phrases, "HELD", 29 if max_words == 4 else 300)
     docs = documents(spark, [(i, t, lang, "s") for i, (t, lang) in enumerate(rows)], extra=max_words == 4).repartition(5)
     found = got(phrases.collocations(docs, max_words, least, top=top), *COLUMNS)
     assert found == plain_phrases(rows, max_words, least, top=top) and len({r[0] for r in found}) >= 2
