@@ -1,17 +1,14 @@
-"""Mempool streams: samples, first sight of transactions, one-shot watches.
+"""Mempool streams: samples, first sight of transactions, matches of watches.
 
 The batch forms are in ``operators.mempool``; the functions here give streaming DataFrames. Event
-times bound the state: what is later than the watermark is left out.
+times bound the state: what is later than the watermark is left out. Sessions of watches and other
+folds by key are in :mod:`stateful`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import mempool
 from ..sources.files import mempool_entries
@@ -43,52 +40,3 @@ def matches(transactions: DataFrame, watches: DataFrame) -> DataFrame:
     paid = F.aggregate(own, F.lit(0).cast("decimal(38,0)"), lambda s, o: (s + o["value_base"]).cast("decimal(38,0)"))
     hit = paid_to.withColumn("paid", paid).join(watches.select("watch_id", "address", "min_value"), "address")
     return hit.where(F.col("paid") >= F.coalesce("min_value", F.lit(0))).select("watch_id", "txid", "seen_at", "paid")
-
-
-def sessions(events: DataFrame, seconds: int = mempool.SESSION_S, delay: str = "10 seconds") -> DataFrame:
-    """One outcome per watch from a stream of events (watch_id, kind, txid, at).
-
-    ``kind`` is "open" or "match". The first match within the session closes it; else a timeout comes
-    once the watermark has passed its end. A match that comes before its opening waits for it until
-    the watermark is past it, when the opening would be too late itself. A closed watch is remembered,
-    and its events are ignored, until the watermark is past its session; then the state goes, as
-    openings from before are late.
-    """
-    length = seconds * 1000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, closed, waiting = state.get if state.exists else (None, False, [])
-        waiting, out, watermark = [tuple(x) for x in waiting], None, state.getCurrentWatermarkMs()
-        if state.hasTimedOut:
-            if opened is not None and not closed:
-                out = ("timeout", None, opened + length)
-            if opened is not None or all(ms < watermark for ms, _ in waiting):
-                state.remove()
-            else:
-                waiting = [x for x in waiting if x[0] >= watermark]
-                state.update((None, False, waiting))
-                state.setTimeoutTimestamp(max(waiting[0][0], watermark) + 1)
-        else:
-            for rows in batches:
-                ms = (rows["at"] - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1)
-                for kind, txid, at in zip(rows["kind"], rows["txid"], ms.tolist(), strict=True):
-                    if closed:
-                        break
-                    if kind == "open":
-                        opened = at if opened is None else min(opened, at)
-                    else:
-                        waiting.append((at, txid))
-            if opened is not None and not closed:
-                hits = sorted(x for x in waiting if opened <= x[0] < opened + length)
-                waiting = []
-                if hits:
-                    out, closed = ("appeared", hits[0][1], hits[0][0]), True
-            waiting = sorted(waiting)
-            state.update((opened, closed, waiting))
-            end = opened + length if opened is not None else waiting[0][0] if waiting else watermark
-            state.setTimeoutTimestamp(max(end, watermark) + 1)
-        if out:
-            yield pd.DataFrame([(key[0], out[0], out[1], pd.Timestamp(out[2], unit="ms"))], columns=["watch_id", "outcome", "txid", "ended_at"])
-
-    keyed = events.withWatermark("at", delay).groupBy("watch_id")
-    return keyed.applyInPandasWithState(step, "watch_id long, outcome string, txid string, ended_at timestamp", "opened long, closed boolean, waiting array<struct<at:bigint,txid:string>>", "append", GroupStateTimeout.EventTimeTimeout)

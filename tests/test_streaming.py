@@ -77,44 +77,3 @@ def test_first_seen_and_matches(spark, tmp_path):
     unique = frame_.orderBy(F.size("outputs").desc()).limit(1).union(frame_.where("txid = 't2'"))
     assert rows(mempool_stream.matches(unique, watches), "watch_id", "txid", "paid") == [(1, "t1", 11), (3, "t1", 1), (3, "t2", 1)]
     assert rows(mempool_stream.feeds(unique.select("txid"), unique.select("txid")), "txid", "source") == [("t1", "catchup"), ("t1", "live"), ("t2", "catchup"), ("t2", "live")]
-
-
-def test_watch_sessions(spark, tmp_path):
-    src = f"{tmp_path}/events"
-    schema = "watch_id long, kind string, txid string, at timestamp"
-    day = "2026-06-01 12:"
-    parts = [
-        [(1, "open", None, "00:00"), (2, "open", None, "00:00"), (3, "open", None, "00:00")],
-        [(1, "match", "x", "01:00"), (1, "match", "w", "02:00"), (3, "match", "late", "06:00")],
-        [(9, "open", None, "30:00")],
-        [(1, "match", "again", "31:00"), (9, "match", "y", "31:00")],
-    ]
-    for part in parts:
-        spark.createDataFrame([(*r[:3], day + r[3]) for r in part], "watch_id long, kind string, txid string, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(schema).parquet(src)
-        mempool_stream.sessions(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
-    got = sorted((r["watch_id"], r["outcome"], r["txid"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert got == [(1, "appeared", "x"), (2, "timeout", None), (3, "timeout", None), (9, "appeared", "y")]
-
-
-def test_watch_sessions_wait_and_end(spark, tmp_path):
-    """A match that comes before its opening counts, and a closed or unopened watch leaves no state."""
-    src, out, check = f"{tmp_path}/events", f"{tmp_path}/out", f"{tmp_path}/check"
-    schema = "watch_id long, kind string, txid string, at timestamp"
-    day = "2026-06-01 12:"
-    parts = [
-        [(1, "match", "x", "00:05"), (2, "match", "before", "00:01"), (5, "open", None, "00:00")],
-        [(1, "open", None, "00:02"), (2, "open", None, "00:04")],
-        [(2, "match", "y", "00:30"), (1, "open", None, "00:26"), (3, "match", "never opened", "00:40")],
-        [(5, "match", "z", "01:00")],
-        [(9, "open", None, "40:00")],
-        [(9, "match", "w", "41:00"), (8, "open", None, "59:00")],
-    ]
-    for part in parts:
-        spark.createDataFrame([(*r[:3], day + r[3]) for r in part], "watch_id long, kind string, txid string, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
-        stream = mempool_stream.sessions(spark.readStream.schema(schema).parquet(src)).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
-        stream.awaitTermination()
-    got = sorted((r["watch_id"], r["outcome"], r["txid"]) for r in spark.read.parquet(out).collect())
-    assert got == [(1, "appeared", "x"), (2, "appeared", "y"), (5, "appeared", "z"), (9, "appeared", "w")]
-    left = spark.read.format("statestore").load(check).select("key.watch_id").collect()
-    assert {r["watch_id"] for r in left} <= {8, 9}
