@@ -1,26 +1,38 @@
 """Operators over ordered heights and keys.
 
-Windows without a partition key run only over rows that were summed up before (a row per block or
-per key bucket), never over facts.
+Running sums have two levels: sums of spans of keys, whose order alone is global (a row for each
+``SPAN`` heights), and a scan inside each span. So no task holds all blocks, let alone facts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Keys of a span.
+SPAN = 10_000
+
+
+def running_sum(rows: DataFrame, key: str, value: Column, name: str = "upto") -> DataFrame:
+    """``rows`` (a row for each whole-number ``key``) with the sum of ``value`` over all keys up to their own."""
+    span, part = F.floor(F.col(key) / SPAN), F.col("_part")
+    own = rows.withColumns({"_span": span, "_part": value})
+    spans = own.groupBy("_span").agg(F.sum(part).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum(part).over(Window.partitionBy("_span").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    return own.join(spans.select("_span", before.alias("_before")), "_span").withColumn(name, (F.col("_before") + inside).cast("long")).drop("_span", "_part", "_before")
+
 
 def equal_work_buckets(counts: DataFrame, key: str, n: str, size: int) -> DataFrame:
     """Least key of each bucket of about ``size`` rows; ``counts`` has a row per key."""
-    run = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    bucket = F.floor(F.sum(n).over(run) / size).cast("long")
-    return counts.select(key, bucket.alias("bucket")).groupBy("bucket").agg(F.min(key).alias("first_key"))
+    bucket = F.floor(F.col("upto") / size).cast("long")
+    return running_sum(counts.select(key, n), key, F.col(n)).select(key, bucket.alias("bucket")).groupBy("bucket").agg(F.min(key).alias("first_key"))
 
 
 def sync_frontier(heights: DataFrame, base: int) -> DataFrame:
     """The highest height up to which all heights above ``base`` are there; ``base`` if the next is missing."""
     own = heights.where(F.col("block_height") > base).select("block_height").distinct()
-    run = own.withColumn("gap", F.col("block_height") - F.row_number().over(Window.orderBy("block_height")))
+    run = running_sum(own, "block_height", F.lit(1)).withColumn("gap", F.col("block_height") - F.col("upto"))
     return run.agg(F.coalesce(F.max(F.when(F.col("gap") == base, F.col("block_height"))), F.lit(base)).cast("long").alias("frontier"))
 
 
@@ -33,10 +45,10 @@ def chain_violations(blocks: DataFrame, stored: DataFrame | None = None) -> Data
         first = blocks.agg(F.min("block_height").alias("first"))  # one row
         below = stored.select("block_height", "block_hash").join(F.broadcast(first), F.col("block_height") == F.col("first") - 1)
         blocks = blocks.select("block_height", "block_hash", "previous_hash").unionByName(below.select("block_height", "block_hash", F.lit(None).cast("string").alias("previous_hash")))
-    w = Window.orderBy("block_height")
-    own = blocks.select("block_height", "previous_hash", F.lag("block_height").over(w).alias("before"), F.lag("block_hash").over(w).alias("hash_before"))
-    reason = F.when(F.col("block_height") != F.col("before") + 1, "gap").when(~F.col("previous_hash").eqNullSafe(F.col("hash_before")), "previous hash")
-    return own.where("before is not null").select("block_height", reason.alias("reason")).where("reason is not null")
+    own = blocks.select("block_height", "previous_hash").join(F.broadcast(blocks.agg(F.min("block_height").alias("lowest"))), F.col("block_height") > F.col("lowest"))  # one row
+    below = blocks.select((F.col("block_height") + 1).alias("block_height"), F.col("block_hash").alias("hash_before"), F.lit(True).alias("known"))
+    reason = F.when(F.col("known").isNull(), "gap").when(~F.col("previous_hash").eqNullSafe(F.col("hash_before")), "previous hash")
+    return own.join(below, "block_height", "left").select("block_height", reason.alias("reason")).where("reason is not null")
 
 
 def contiguous_range(blocks: DataFrame) -> DataFrame:
