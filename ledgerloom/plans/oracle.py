@@ -52,7 +52,33 @@ matches as (select watch_id, w.address, txid, min(seen_at) as seen_at, sum(value
 audit as (select event_id as audit_event_id, user_id as actor, event_type as operation, case when event_type = 'error' then 'failure' else 'success' end as outcome, floor(epoch(ts))::bigint as created_at from events)
 """
 
+#: Base58Check of the hashes that the blocks pay to: 25 bytes as seven numbers of 32 bits, divided by 58 until nothing is left.
+_LIMBS = range(7)
+_DIVIDED = ", ".join(f"c{i} // 58" for i in _LIMBS)
+WIRE = (
+    """
+  , le as (select output_key, txid, vout, address, lpad(to_hex(value_base), 16, '0') as h from creates),
+outs as (select txid, count(*) as n, string_agg(substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)
+  || case when address <> '' then '1976a914' || sha1(address) || '88ac' else '016a' end, '' order by vout) as body from le group by txid),
+wire_tx as (select tx.txid as own, block_height, tx_index, '0100000001' || repeat('00', 32) || 'ffffffff04' || substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2) || 'ffffffff' || lpad(to_hex(coalesce(n, 0)), 2, '0') || coalesce(body, '') || '00000000' as raw
+  from (select *, lpad(to_hex(tx_index), 8, '0') as x from tx) tx left join outs using (txid)),
+hashed_tx as (select own, block_height, tx_index, array_to_string(list_reverse(regexp_extract_all(sha256(unhex(sha256(unhex(raw)))), '..')), '') as txid, length(raw) // 2 as size from wire_tx),
+heads as (select block_height, sha256(unhex(sha256(unhex('01000000' || repeat('11', 32) || repeat('22', 32) || substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2) || 'f0ff0f1e67860100')))) as h
+  from (select *, lpad(to_hex(block_time), 8, '0') as x from blocks) b),
+payload as (select address, '1e' || sha1(address) as p from (select distinct address from creates where address <> '')),
+checked as (select address, '000000' || p || substr(sha256(unhex(sha256(unhex(p)))), 1, 8) as p from payload),
+base58 as (select address, 0 as step, '' as text, """
+    + ", ".join(f"('0x' || substr(p, {8 * i + 1}, 8))::bigint as l{i}" for i in _LIMBS)
+    + " from checked union all select address, step + 1, substr('123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz', (c6 % 58)::int + 1, 1) || text, "
+    + _DIVIDED
+    + " from (select *, c5 % 58 * 4294967296 + l6 as c6 from (select *, c4 % 58 * 4294967296 + l5 as c5 from (select *, c3 % 58 * 4294967296 + l4 as c4 from (select *, c2 % 58 * 4294967296 + l3 as c3 from (select *, c1 % 58 * 4294967296 + l2 as c2 from (select *, c0 % 58 * 4294967296 + l1 as c1 from (select *, l0 as c0 from base58 where greatest(l0, l1, l2, l3, l4, l5, l6) > 0)))))))),\n"
+    + "owners as (select address, arg_max(text, step) as owner from base58 group by address)"
+)
+
 SELECTS = {
+    "decoded_hashes": WIRE + " select block_height, array_to_string(list_reverse(regexp_extract_all(h, '..')), '') as block_hash, repeat('11', 32) as previous_hash from heads",
+    "decoded_transactions": WIRE + " select block_height, tx_index, txid, size from hashed_tx",
+    "decoded_addresses": WIRE + " select h.txid || ':' || p as output_key, pos.block_height, pos.tx_index, coalesce(owner, '') as address from pos join hashed_tx h on h.own = pos.txid left join owners using (address)",
     "latest_creates": "select output_key, version, address, value_base from latest",
     "argmax_facts": "select output_key, address, value_base from latest",
     "utxo_as_of": "select output_key, block_height, value_base from history, c where block_height <= half and (spent_in_block is null or spent_in_block > half)",

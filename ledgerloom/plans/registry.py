@@ -118,6 +118,23 @@ def decoded_outputs(x):
     return derive.derive_creates(nested).select("block_height", "tx_index", "vout", "value_base", "is_spendable", "is_coinbase")
 
 
+@query
+def decoded_hashes(x):
+    return raw_blocks.decode_blocks(x.wire, strict=True).select(F.col("height").alias("block_height"), F.col("block.hash").alias("block_hash"), F.col("block.previousblockhash").alias("previous_hash"))
+
+
+@query
+def decoded_transactions(x):
+    decoded = raw_blocks.decode_blocks(x.wire, strict=True).select("height", F.posexplode("block.tx").alias("tx_index", "t"))
+    return decoded.select(F.col("height").alias("block_height"), F.col("tx_index").cast("long").alias("tx_index"), F.col("t.txid").alias("txid"), "t.size")
+
+
+@query
+def decoded_addresses(x):
+    nested = raw_blocks.nested_blocks(raw_blocks.decode_blocks(x.wire))
+    return derive.derive_creates(nested).select("output_key", "block_height", "tx_index", "address")
+
+
 @query
 def creates(x):
     return derive.derive_creates(x.nested)
