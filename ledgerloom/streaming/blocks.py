@@ -149,11 +149,11 @@ def _before(now: DataFrame, fork: int) -> DataFrame:
 
 def _after(before: DataFrame, creates: DataFrame, spends: DataFrame) -> DataFrame:
     """Outputs after a batch; one that is known stays, and so does a recorded spend. Spends without an output are rows without a height."""
-    made = creates.join(before.where("block_height is not null").select("output_key"), "output_key", "left_anti")
-    own = before.select(*[F.col(c) for c in CREATE], *[F.col(c).alias(f"old_{c}") for c in SPEND]).unionByName(made.select(*CREATE), allowMissingColumns=True)
-    own = latest_by(own, ["output_key"], [F.desc(F.col("block_height").isNotNull()), F.asc("tx_index"), F.asc("vout")])
+    known = before.where("block_height is not null")
+    made = latest_by(creates.select(*CREATE).join(known.select("output_key"), "output_key", "left_anti"), ["output_key"], [F.asc("block_height"), F.asc("tx_index"), F.asc("vout")])
+    old = before.where("spent_by_txid is not null").select("output_key", *[F.col(c).alias(f"old_{c}") for c in SPEND])
     taken = latest_by(spends.withColumnRenamed("spent_output_key", "output_key"), ["output_key"], [F.asc("spent_in_block"), F.asc("spent_tx_index"), F.asc("input_index")])
-    both = own.join(taken, "output_key", "full_outer")
+    both = known.select(*CREATE).unionByName(made).join(old, "output_key", "full_outer").join(taken, "output_key", "full_outer")
     first = lambda c: F.when(F.col("old_spent_by_txid").isNotNull(), F.col(f"old_{c}")).otherwise(F.col(c)).alias(c)
     return both.select("output_key", F.coalesce("txid", txid_of(F.col("output_key"))).alias("txid"), *CREATE[2:], *[first(c) for c in SPEND])
 

@@ -47,6 +47,29 @@ def test_strict_block_stream(spark, tmp_path):
             block_stream.apply_batch(frame(spark, [block(3, bad, "x")]), 9, out, strict=True)
 
 
+def test_spends_before_their_outputs(spark, tmp_path):
+    """Without strictness a spend may come first; it is kept for its output. Another source counts its batches for itself."""
+    import pytest
+
+    out = f"{tmp_path}/out"
+    with pytest.raises(ValueError, match="no ledger"):
+        block_stream.state(spark, out)
+    keys = spark.createDataFrame([("tx-0:0",), ("tx-1:1",), ("none:0",)], "output_key string")
+    for i, part in enumerate((GOLDEN[1:], GOLDEN[:1])):
+        block_stream.apply_batch(frame(spark, part), i, out, strict=False)
+        if not i:
+            assert rows(block_stream.outputs_of(spark, out, keys), "output_key", "block_height", "spent_by_txid")[0] == ("tx-0:0", None, "tx-1")
+    whole = frame(spark, GOLDEN)
+    creates, spends = derive.derive_creates(whole), derive.derive_spends(whole)
+    state = ["output_key", "block_height", "value_base"]
+    assert rows(block_stream.state(spark, out), *state) == rows(maintain.state_of(creates, spends), *state)
+    assert rows(block_stream.balances(spark, out), "address", "balance") == rows(ledger.balances(ledger.current_utxo(creates, spends)), "address", "balance")
+    assert rows(block_stream.read_table(spark, out, "spends"), "spent_output_key", "spent_by_txid") == rows(spends, "spent_output_key", "spent_by_txid")
+    block_stream.apply_batch(frame(spark, [block(3, [("tx-3", [("tx-2", 0)], [("z", 25)])])]), 0, out, source="other")
+    assert {r["output_key"] for r in block_stream.outputs_of(spark, out, keys).collect()} == {"tx-0:0", "tx-1:1"}
+    assert ("z", 2_500_000_000) in rows(block_stream.balances(spark, out), "address", "balance")
+
+
 def test_samples(spark, tmp_path):
     entry = json.dumps({"time": 1780000000, "height": 6000000, "vsize": 250, "size": 300, "fee": "0.01", "depends": ["a", " "]})
     bad = json.dumps({"vsize": 0, "size": -1, "fees": {"base": "0.5"}})
