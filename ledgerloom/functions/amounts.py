@@ -102,6 +102,7 @@ def fee(coinbase: Column, inputs: Column, outputs: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Without credentials in urls and name=value pairs (in either case), and at most 500 characters."""
+    # fixed values: patterns, replacements and length are what results must follow
     hidden = F.regexp_replace(text, r"://[^/@\s]+:[^/@\s]+@", "://***:***@")
     hidden = F.regexp_replace(hidden, r"(?i)(password|token|secret)=\S+", "$1=***")
     return F.left(hidden, F.lit(500))
