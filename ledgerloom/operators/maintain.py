@@ -82,15 +82,14 @@ def backfill_facts(facts: DataFrame, creates: DataFrame, spends: DataFrame, thro
 def backfill_in_place(spark: SparkSession, path: str, creates: DataFrame, spends: DataFrame, low: int, high: int, name: str = "transactions") -> list[str]:
     """Make a stored table of transaction facts anew for the heights from ``low`` to ``high``; only their buckets are written (:mod:`..sources.heights`).
 
-    ``spends`` and ``creates`` hold all that these transactions refer to: outputs that they spend may be older.
+    ``spends`` and ``creates`` hold all that these transactions refer to: outputs that they spend may be
+    older. Spends that carry the value of what they take need no join with ``creates``.
     """
     from ..sources import heights
 
     taken = spends.where(F.col("spent_in_block").between(low, high))
     made = creates.where(F.col("block_height").between(low, high))
-    refer = creates.join(taken.select(F.col("spent_output_key").alias("output_key")), "output_key", "left_semi")
-    facts = ledger.transactions(made.unionByName(refer).dropDuplicates(["output_key"]), taken).where(F.col("block_height").between(low, high))
-    return heights.replace(spark, path, {name: facts.join(made.select("txid").distinct(), "txid", "left_semi")}, {name: "block_height"}, low, high)
+    return heights.replace(spark, path, {name: ledger.transactions_of(made, ledger.valued(taken, creates))}, {name: "block_height"}, low, high)
 
 
 def rewind(state: DataFrame, height: int) -> DataFrame:
