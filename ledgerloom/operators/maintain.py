@@ -68,7 +68,15 @@ def apply_window_strictly(state: DataFrame, creates: DataFrame, spends: DataFram
 def materialize(creates: DataFrame, spends: DataFrame, processed: DataFrame, height: int) -> dict[str, DataFrame]:
     """The tables of the current state as of a height, from the facts up to it: utxo, balances, applied_blocks."""
     made, taken = creates.where(F.col("block_height") <= height), spends.where(F.col("spent_in_block") <= height)
-    utxo = ledger.current_utxo(made, taken)
+    return _state(ledger.current_utxo(made, taken), processed, height)
+
+
+def materialize_outputs(outputs: DataFrame, processed: DataFrame, height: int) -> dict[str, DataFrame]:
+    """:func:`materialize` of outputs that carry the block of their spend (spent_in_block)."""
+    return _state(ledger.unspent(outputs.where(F.col("block_height") <= height), height), processed, height)
+
+
+def _state(utxo: DataFrame, processed: DataFrame, height: int) -> dict[str, DataFrame]:
     blocks = processed.where(F.col("block_height") <= height).select("block_height", "block_hash", "previous_hash")
     return {"utxo": utxo.withColumn("version", F.lit(height).cast("long")), "balances": ledger.balances(utxo), "applied_blocks": blocks}
 
