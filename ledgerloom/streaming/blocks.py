@@ -26,6 +26,8 @@ from ..sources.keyed import BUCKET, GONE, RUN, KeyedTable
 
 CREATE = ["output_key", "txid", "tx_index", "vout", "block_height", "block_hash", "block_time", "address", "value_base", "is_spendable", "is_coinbase"]
 SPEND = ["spent_by_txid", "spent_in_block", "spent_tx_index", "input_index"]
+#: How tables are dealt into buckets; 1 (and none) had the journal by thousands of heights.
+FORMAT = 2
 #: What is stored of an output, and of its spend; the rest follows from its key and its block.
 MADE = ["block_height", "tx_index", "vout", "address", "value_base", "is_spendable", "is_coinbase"]
 MADE_TYPE = "block_height:bigint,tx_index:bigint,vout:bigint,address:string,value_base:bigint,is_spendable:boolean,is_coinbase:boolean"
@@ -58,6 +60,12 @@ def _committed(spark: SparkSession, path: str) -> dict:
     number, content = manifest.current(spark, path)
     if not number:
         raise ValueError(f"no ledger is kept under {path}")
+    return _checked(content, path)
+
+
+def _checked(content: dict, path: str) -> dict:
+    if content and content.get("format") != FORMAT:
+        raise ValueError(f"the ledger under {path} was dealt into buckets in another way; it must be made anew")
     return content
 
 
@@ -110,7 +118,7 @@ def apply_batch(batch: DataFrame, batch_id: int, path: str, strict: bool = True,
     """Apply a batch of nested blocks; ``batch_id`` counts the batches of ``source`` (a stream's checkpoint)."""
     spark = batch.sparkSession
     number, content = manifest.current(spark, path)
-    if content.get("batches", {}).get(source, -1) >= batch_id:
+    if _checked(content, path).get("batches", {}).get(source, -1) >= batch_id:
         return
     batch.persist(StorageLevel.DISK_ONLY)  # tasks need their memory for the shuffle
     held = [batch]
@@ -163,7 +171,7 @@ def _apply(spark: SparkSession, batch: DataFrame, number: int, content: dict, pa
         runs[table.name], old_folders = table.compacted(spark, [*runs[table.name], fresh[table.name]])
         dropped += old_folders
     tail = tail if top is None else top if fork is not None else max(tail, top)
-    manifest.commit(spark, path, number, {"runs": runs, "tail": tail} | mark, dropped)
+    manifest.commit(spark, path, number, {"format": FORMAT, "runs": runs, "tail": tail} | mark, dropped)
 
 
 def _outputs(spark: SparkSession, table: KeyedTable, runs: list[dict], creates: DataFrame, spends: DataFrame, undone: DataFrame | None, fork: int | None, n: int) -> DataFrame:
